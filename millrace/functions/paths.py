@@ -1,0 +1,40 @@
+"""File paths named in the JSON arguments of tool calls."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+# Fixed value: an argument key containing one of these words may hold a path.
+PATH_WORDS = re.compile("path|file|dir|folder|source|destination|target|dest", re.IGNORECASE)
+
+
+def _paths(text: str | None) -> list[str]:
+    try:
+        root = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return []
+    found: dict[str, None] = {}
+    pending = [("", root)]
+    while pending:
+        key, value = pending.pop()
+        if isinstance(value, str):
+            if value.startswith("/") and PATH_WORDS.search(key):
+                found.setdefault(value)
+        elif isinstance(value, list):
+            pending.extend((key, item) for item in reversed(value))
+        elif isinstance(value, dict):
+            pending.extend(reversed(value.items()))
+    return list(found)
+
+
+@F.pandas_udf("array<string>")
+def extract_paths(args: pd.Series) -> pd.Series:
+    """Absolute paths under path-like keys at any depth, in first-seen order.
+
+    No built-in function descends into JSON of unknown depth, hence the Arrow batches.
+    """
+    return args.map(_paths)
