@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from millrace.operators.profile import as_value, column_stats, is_nested, is_num
 # A categorical column has at most 200 values; rarer than 2 rows is infrequent.
 MAX_CATEGORIES = 200
 MIN_FREQUENCY = 2
+MAX_STRATA = 10_000
 
 TEST = "is_test"
 
@@ -199,26 +201,21 @@ class CategoryFeature:
     frequent: list[str]
     infrequent: list[str] = field(default_factory=list)
 
-    @property
-    def rare(self) -> str:
-        """Stand-in for all infrequent values, different from every value."""
-        token = "infrequent"
-        while token in self.frequent or token in self.infrequent:
-            token = f"_{token}"
-        return token
-
     def labels(self) -> list[str]:
-        return [*self.frequent, self.rare] if self.infrequent else list(self.frequent)
+        """Slot names; the sign keeps them from being empty or equal to the rare one."""
+        named = [f"={v}" for v in self.frequent]
+        return [*named, "rare"] if self.infrequent else named
 
     def imputed_sql(self) -> str:
         return f"nvl(CAST({_name(self.column)} AS STRING), {literal(self.mode)})"
 
     def label_sql(self) -> str:
         value = self.imputed_sql()
+        named = f"concat('=', {value})"
         if not self.infrequent:
-            return value
+            return named
         rare = ", ".join(literal(v) for v in self.infrequent)
-        return f"CASE WHEN {value} IN ({rare}) THEN {literal(self.rare)} ELSE {value} END"
+        return f"CASE WHEN {value} IN ({rare}) THEN 'rare' ELSE {named} END"
 
     def slot(self) -> Column:
         """One-hot slot of a row, from 0; null for a value unseen in training."""
@@ -332,8 +329,8 @@ def split(
     """Add ``is_test``: about ``fraction`` of the rows, chosen by a seeded hash of the key.
 
     The default needs no shuffle, and takes the same share of every stratum in
-    expectation. ``exact`` takes ``ceil(fraction * rows)`` rows, of each stratum if one is
-    named; keys should then be unique.
+    expectation. ``exact`` takes ``ceil(fraction * rows)`` rows, in proportion from each
+    stratum if one is named; keys should then be unique.
     """
     key = F.col(key) if isinstance(key, str) else key
     if not exact:
@@ -341,6 +338,18 @@ def split(
     return _exact_split(df, fraction, seed, key, strata)
 
 
+def held_out_sizes(totals: dict, fraction: float) -> dict:
+    """Held-out rows per stratum: ``ceil(fraction * rows)`` overall, shared in proportion."""
+    rows = sum(totals.values())
+    wanted = math.ceil(round(rows * fraction, 6))
+    sizes = {s: n * wanted // rows for s, n in totals.items()}
+    # Largest fractional parts first; equal ones in order of the stratum.
+    left = sorted(totals, key=lambda s: (-(totals[s] * wanted % rows), s is not None, s or ""))
+    for s in left[: wanted - sum(sizes.values())]:
+        sizes[s] += 1
+    return sizes
+
+
 def _exact_split(df: DataFrame, fraction, seed, key: Column, strata: str | None) -> DataFrame:
     """The wanted number of smallest hashes per stratum.
 
@@ -348,37 +357,39 @@ def _exact_split(df: DataFrame, fraction, seed, key: Column, strata: str | None)
     counted in 65,536 buckets, the bucket holding the last wanted row is found from the
     counts, and only that bucket is ranked.
     """
-    stratum = quoted(strata) if strata else F.lit(0)
+    spark = df.sparkSession
+    stratum = quoted(strata).cast("string") if strata else F.lit("")
     rows = df.withColumns(
-        {"__s": stratum.cast("string"), "__h": hash32(seed, key), "__k": key.cast("string")}
+        {"__s": stratum, "__h": hash32(seed, key), "__k": key.cast("string")}
     )
+    totals = rows.groupBy("__s").count().limit(MAX_STRATA + 1).collect()
+    if len(totals) > MAX_STRATA:
+        raise ValueError(f"'{strata}' has more than {MAX_STRATA} classes to hold rows out of")
+    if not totals:
+        return df.withColumn(TEST, F.lit(False))
+    sizes = held_out_sizes({r[0]: r[1] for r in totals}, fraction)
+    wanted = spark.createDataFrame(list(sizes.items()), "__e string, wanted bigint")
+    same = F.col("__s").eqNullSafe(F.col("__e"))
     bucket = F.shiftright("__h", 16)
     upto = Window.partitionBy("__s").orderBy("bucket")
-    whole = Window.partitionBy("__s")
     edge = (
         rows.groupBy("__s", bucket.alias("bucket"))
         .agg(F.count("*").alias("n"))
-        .select(
-            "__s",
-            "bucket",
-            "n",
-            F.sum("n").over(upto).alias("upto"),
-            F.ceil(F.round(F.sum("n").over(whole) * F.lit(float(fraction)), 6)).alias("wanted"),
-        )
+        .withColumn("upto", F.sum("n").over(upto))
+        .join(F.broadcast(wanted), same)
         .where("wanted > upto - n AND wanted <= upto")
-        .select(
-            F.col("__s").alias("__e"), "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("take")
-        )
+        .select("__e", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("take"))
     )
     last = (
-        rows.join(edge, F.col("__s").eqNullSafe(F.col("__e")) & (bucket == F.col("bucket")))
+        rows.join(F.broadcast(edge), same & (bucket == F.col("bucket")))
         .withColumn("rank", F.row_number().over(Window.partitionBy("__s").orderBy("__h", "__k")))
         .where("rank = take")
-        .select(F.col("__s").alias("__e"), F.struct("__h", "__k").alias("__last"))
+        .select("__e", F.struct("__h", "__k").alias("__last"))
     )
     chosen = F.coalesce(F.struct("__h", "__k") <= F.col("__last"), F.lit(False))
+    # At most one row per stratum on the broadcast sides.
     return (
-        rows.join(last, F.col("__s").eqNullSafe(F.col("__e")), "left")
+        rows.join(F.broadcast(last), same, "left")
         .withColumn(TEST, chosen)
         .drop("__s", "__h", "__k", "__e", "__last")
     )

@@ -1,6 +1,6 @@
 """Registered queries: every operator applied to the given tables."""
 
-from millrace.plans import ingest, profiling  # noqa: F401
+from millrace.plans import ingest, profiling, training  # noqa: F401
 from millrace.plans.common import ORACLES, QUERIES
 
 flagship = None

@@ -86,7 +86,7 @@ def all_stats(spark: SparkSession, sf_dir: str) -> dict:
 
 def profile_sql(name: str) -> str:
     return f"""
-    SELECT col AS name, least(n, 1000) AS n_unique, coalesce(n >= 1000, false) AS unique_capped
+    SELECT col AS name, CASE WHEN n IS NOT NULL THEN least(n, 1000) END AS n_unique, coalesce(n >= 1000, false) AS unique_capped
     FROM ({stats_sql(name)})
     """
 
