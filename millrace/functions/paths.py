@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: an argument key containing one of these words may hold a path.
 PATH_WORDS = re.compile("path|file|dir|folder|source|destination|target|dest", re.IGNORECASE)
@@ -31,7 +32,7 @@ def _paths(text: str | None) -> list[str]:
     return list(found)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def extract_paths(args: pd.Series) -> pd.Series:
     """Absolute paths under path-like keys at any depth, in first-seen order.
 

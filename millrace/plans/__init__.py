@@ -1,6 +1,6 @@
 """Registered queries: every operator applied to the given tables."""
 
-from millrace.plans import goals, ingest, profiling, registry, training  # noqa: F401
+from millrace.plans import audit, goals, ingest, profiling, registry, training  # noqa: F401
 from millrace.plans.common import ORACLES, QUERIES
 from millrace.plans.goals import autopilot as flagship
 

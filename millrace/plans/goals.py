@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import goals as words
@@ -137,8 +137,8 @@ REPLY_TASKS = [*words.TASK_NAMES, "other"]
     """,
 )
 def parse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def text(*parts) -> F.Column:
-        return F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    def text(*parts) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
     events = table(spark, sf_dir, "events")
     kind = F.col("event_id") % 7
