@@ -40,9 +40,10 @@ def feature_roles(df: DataFrame, label: str) -> Roles:
     rest = df.drop(label)
     numeric = [f.name for f in rest.schema.fields if is_numeric(f.dataType)]
     other = [f.name for f in rest.schema.fields if f.name not in numeric]
+    texts = [n for n in other if not isinstance(rest.schema[n].dataType, T.BinaryType)]
     few: list[str] = []
-    if other:
-        stats = column_stats(rest.select(*[quoted(n) for n in other]))
+    if texts:
+        stats = column_stats(rest.select(*[quoted(n) for n in texts]))
         few = [c.name for c in stats.columns if c.n_unique is not None
                and c.n_unique <= MAX_CATEGORIES]
     if not numeric and not few:

@@ -28,6 +28,9 @@ PROFILE_SCHEMA = (
     "name:string,dtype:string,n_unique:bigint,unique_capped:boolean,samples:array<string>"
 )
 
+#: Rows of the first look, of which only hashes and lengths reach the driver.
+FIRST_LOOK = 10_000
+
 #: Estimated distinct count from which a column is first tried on a part of its values.
 _TRY_PART_ABOVE = 4 * MAX_UNIQUE
 
@@ -92,50 +95,80 @@ def _text_lengths(df: DataFrame, order_by, sample: int) -> dict[str, float | Non
 def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> TableStats:
     """Row count, distinct counts capped at 1000 and mean text lengths of all columns.
 
-    Exact, in two scans that shuffle little. The first estimates the distinct counts.
-    The second counts distinct values after partial aggregation; a column with many
-    values takes part with a hash-chosen share of its *values*, which proves the cap
-    once 1000 distinct ones are seen. Should the share fall short, the column is counted
-    again in full.
+    Exact, with little shuffled. A first look at 10,000 rows finishes small tables and proves
+    the cap of every column that shows 1000 distinct values there. The other columns are
+    estimated in one scan and counted in a second one, after partial aggregation; where the
+    estimate is high a hash-chosen share of the *values* takes part, which proves the cap
+    once 1000 of them are seen. Should a share fall short, its column is counted in full.
     """
     flat = [f for f in df.schema.fields if not is_nested(f.dataType)]
     texts = [f.name for f in flat if isinstance(f.dataType, T.StringType)]
-    first = [F.count(F.lit(1)).alias("rows")]
-    first += [F.approx_count_distinct(quoted(f.name)).alias(f"u{i}") for i, f in enumerate(flat)]
-    if order_by is None:
-        first += [F.avg(F.length(quoted(n))).alias(f"m{i}") for i, n in enumerate(texts)]
-    seen = df.agg(*first).head()
-    lengths = (
-        {n: seen[f"m{i}"] for i, n in enumerate(texts)}
-        if order_by is None
-        else _text_lengths(df, order_by, sample)
-    )
-
-    shares = {}
-    for i, field in enumerate(flat):
-        estimate = seen[f"u{i}"]
-        shares[field.name] = 1 if estimate <= _TRY_PART_ABOVE else estimate // (2 * MAX_UNIQUE)
-    counts = _distinct_counts(df, shares) if flat and seen.rows else {}
-    short = {n: 1 for n, m in shares.items() if m > 1 and counts.get(n, 0) < MAX_UNIQUE}
-    if short and seen.rows:
-        counts.update(_distinct_counts(df, short))
-
+    rows, counts, lengths = _look(df, flat, texts)
+    if rows == FIRST_LOOK:
+        unproven = [f for f in flat if counts[f.name] < MAX_UNIQUE]
+        rows, estimates, lengths = _estimate(df, unproven, texts)
+        counts.update(_count_unproven(df, estimates))
+    if order_by is not None:
+        lengths = _text_lengths(df, order_by, sample)
     columns = []
     for field in df.schema.fields:
-        nested = is_nested(field.dataType)
-        unique = None if nested else min(counts.get(field.name, 0), MAX_UNIQUE)
-        columns.append(ColumnStat(field.name, field.dataType, unique, lengths.get(field.name)))
-    return TableStats(seen.rows, tuple(columns))
+        n = counts.get(field.name)
+        capped = None if n is None else min(n, MAX_UNIQUE)
+        columns.append(ColumnStat(field.name, field.dataType, capped, lengths.get(field.name)))
+    return TableStats(rows, tuple(columns))
+
+
+def _look(df: DataFrame, flat: list, texts: list[str]) -> tuple[int, dict, dict]:
+    """Rows, distinct counts and mean lengths among the first rows found, in any order."""
+    cells = [F.md5(quoted(f.name)) if f.name in texts else as_value(f) for f in flat]
+    cells = [c.alias(f"v{i}") for i, c in enumerate(cells)]
+    cells += [F.length(quoted(n)).alias(f"l{i}") for i, n in enumerate(texts)]
+    # Taking rows reads one partition, then more only if it was too short.
+    head = df.select(F.lit(True), *cells).take(FIRST_LOOK)
+    columns = list(zip(*head, strict=True))[1:] if head else [()] * len(cells)
+    seen = {f.name: len(set(v) - {None}) for f, v in zip(flat, columns, strict=False)}
+    lengths = {}
+    for name, values in zip(texts, columns[len(flat):], strict=True):
+        known = [v for v in values if v is not None]
+        lengths[name] = sum(known) / len(known) if known else None
+    return len(head), seen, lengths
+
+
+def _estimate(df: DataFrame, unproven: list, texts: list[str]) -> tuple[int, dict, dict]:
+    """Rows, estimated distinct counts and mean lengths of the whole table, in one scan."""
+    wanted = [F.count(F.lit(1)).alias("rows")]
+    wanted += [F.avg(F.length(quoted(n))).alias(f"m{i}") for i, n in enumerate(texts)]
+    wanted += [
+        F.approx_count_distinct(quoted(f.name)).alias(f"u{i}") for i, f in enumerate(unproven)
+    ]
+    seen = df.agg(*wanted).head()
+    estimates = {f.name: seen[f"u{i}"] for i, f in enumerate(unproven)}
+    return seen.rows, estimates, {n: seen[f"m{i}"] for i, n in enumerate(texts)}
+
+
+def _count_unproven(df: DataFrame, estimates: dict[str, int]) -> dict[str, int]:
+    shares = {
+        n: 1 if estimate <= _TRY_PART_ABOVE else estimate // (2 * MAX_UNIQUE)
+        for n, estimate in estimates.items()
+    }
+    counts = _distinct_counts(df, shares)
+    short = {n: 1 for n, m in shares.items() if m > 1 and counts.get(n, 0) < MAX_UNIQUE}
+    counts.update(_distinct_counts(df, short))
+    return {n: counts.get(n, 0) for n in shares}
 
 
 def _distinct_counts(df: DataFrame, shares: dict[str, int]) -> dict[str, int]:
     """Distinct values per column, of those whose hash falls into one of ``m`` parts."""
-    cells = []
+    if not shares:
+        return {}
     names = list(shares)
+    cells = []
     for i, name in enumerate(names):
         value = as_value(df.schema[name])
         if shares[name] > 1:
-            value = F.when(F.pmod(F.xxhash64(value), F.lit(shares[name])) == 0, value)
+            # The hash of the stored value is cheaper than its text, and 0.0 and -0.0 share it.
+            part = F.pmod(F.xxhash64(quoted(name)), F.lit(shares[name])) == 0
+            value = F.when(part, value)
         cells.append(F.struct(F.lit(i).alias("i"), value.alias("value")))
     pairs = df.select(F.inline(F.array(*cells))).where("value is not null")
     counted = pairs.distinct().groupBy("i").count()
@@ -144,9 +177,7 @@ def _distinct_counts(df: DataFrame, shares: dict[str, int]) -> dict[str, int]:
 
 def _first_values(df: DataFrame, name: str, order_by, n: int) -> DataFrame:
     """The first ``n`` non-null values of one column as text."""
-    value = as_value(df.schema[name]) if not is_nested(df.schema[name].dataType) else F.to_json(
-        quoted(name), {"ignoreNullFields": "false"}
-    )
+    value = _text_cell(df.schema[name])
     keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
     rows = df.select(value.alias("value"), *[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)])
     rows = rows.where("value is not null")
@@ -155,26 +186,53 @@ def _first_values(df: DataFrame, name: str, order_by, n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def samples(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> DataFrame:
-    """First non-null values of every column as text: ``(name, position, sample)``."""
-    parts = []
-    for name in df.columns:
+def _text_cell(field: T.StructField) -> Column:
+    if is_nested(field.dataType):
+        return F.to_json(quoted(field.name), {"ignoreNullFields": "false"})
+    return as_value(field)
+
+
+def sample_values(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> dict[str, list[str]]:
+    """First ``n`` non-null values of every column as text, cut to 120 characters."""
+    found: dict[str, list[str]] = {}
+    open_ = list(df.columns)
+    if isinstance(order_by, str):
+        rows = _first_rows(df, order_by, 4 * n)
+        for i, name in enumerate(df.columns):
+            found[name] = [r[i] for r in rows if r[i] is not None][:n]
+        # Shorter lists are final only if these were all the rows.
+        open_ = [c for c in df.columns if len(found[c]) < n] if len(rows) == 4 * n else []
+    for name in open_:
         first = _first_values(df, name, order_by, n)
-        order = [c for c in first.columns if c != "value"] or ["value"]
-        cut = F.substring("value", 1, SAMPLE_CHARS).alias("sample")
-        parts.append(
-            first.select(F.lit(name).alias("name"), F.struct(*order).alias("at"), cut)
-            .groupBy("name")
-            .agg(F.sort_array(F.collect_list(F.struct("at", "sample"))).alias("rows"))
-            .select("name", F.posexplode("rows.sample").alias("position", "sample"))
-        )
-    return reduce(DataFrame.union, parts)
+        cut = first.select(F.substring("value", 1, SAMPLE_CHARS).alias("value"))
+        found[name] = [r.value for r in cut.collect()]
+    return found
+
+
+def _first_rows(df: DataFrame, order_by: str, n: int) -> list:
+    """The first ``n`` rows as short texts.
+
+    Their order keys are looked up alone; the range they span then skips most of the files.
+    """
+    key = quoted(order_by)
+    keys = [r[0] for r in df.select(key).where(key.isNotNull()).orderBy(key).limit(n).collect()]
+    rows = df.where(key <= F.lit(keys[-1])) if len(keys) == n else df.where(key.isNotNull())
+    cells = [
+        F.substring(_text_cell(f), 1, SAMPLE_CHARS).alias(f"v{i}")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return rows.select(key.alias("k"), *cells).orderBy("k").limit(n).drop("k").collect()
+
+
+def samples(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> DataFrame:
+    """The values of :func:`sample_values` as ``(name, position, sample)``."""
+    found = sample_values(df, order_by, n)
+    rows = [(name, i, v) for name, values in found.items() for i, v in enumerate(values)]
+    return df.sparkSession.createDataFrame(rows, "name string, position int, sample string")
 
 
 def profile_rows(df: DataFrame, stats: TableStats, order_by=None) -> list[tuple]:
-    shown: dict[str, list[str]] = {}
-    for row in samples(df, order_by).orderBy("name", "position").collect():
-        shown.setdefault(row.name, []).append(row.sample)
+    shown = sample_values(df, order_by)
     return [
         (
             c.name,
