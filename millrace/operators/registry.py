@@ -144,11 +144,13 @@ def merge_hyperparams(spec: DataFrame, user: DataFrame) -> DataFrame:
     wanted = user.join(spec, "task")
     given = F.nullif(F.try_element_at("values", F.col("name")), F.lit(""))
     yes = F.lower(given).isin("1", "true", "yes")
-    # Numbers are spelled as Python's int() and float() accept them.
-    whole = F.when(given.rlike(r"^\s*[+-]?\d+\s*$"), given.try_cast("bigint"))
+    # Numbers are spelled as Python's int() and float() accept them, "1_000" included.
+    digits = r"\d+(_\d+)*"
+    plain = F.replace(given, F.lit("_"), F.lit(""))
+    whole = F.when(given.rlike(rf"^\s*[+-]?{digits}\s*$"), plain.try_cast("bigint"))
+    decimal = rf"({digits}(\.({digits})?)?|\.{digits})(e[+-]?{digits})?"
     real = F.when(
-        given.rlike(r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"),
-        given.try_cast("double"),
+        given.rlike(rf"(?i)^\s*[+-]?({decimal}|inf(inity)?|nan)\s*$"), plain.try_cast("double")
     )
     value = (
         F.when(F.col("type") == "int", whole.cast("string"))
