@@ -51,43 +51,53 @@ def running_sum(
     )
 
 
-def fill_from(
+def fill(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     value: str,
-    out: str,
-    backward: bool = True,
+    before: str | None = None,
+    after: str | None = None,
     bits: int = SLICE_BITS,
 ) -> DataFrame:
-    """Nearest non-null ``value`` at or before (``backward``) or at or after this row."""
+    """Nearest non-null ``value`` up to this row (``before``) and from it on (``after``).
+
+    Each named output is a struct of the row's order ``at`` and its ``value``, or null. Both
+    directions share one shuffle of the rows.
+    """
     keys = list(keys)
     sliced = _sliced(df, order, bits)
-    direction = (lambda c: F.col(c).asc()) if backward else (lambda c: F.col(c).desc())
-    pick = F.max_by if backward else F.min_by
     known = F.when(F.col(value).isNotNull(), F.col(order))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(direction(_SLICE))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        sliced.groupBy(*keys, _SLICE)
-        .agg(pick(value, known).alias("__edge"))
-        .select(*keys, _SLICE, F.last("__edge", ignorenulls=True).over(earlier).alias(_CARRY))
-    )
-    # A descending running frame: "current row to the end" would rescan the slice per row.
-    inside = (
-        Window.partitionBy(*keys, _SLICE)
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        _with_carry(
-            sliced.withColumn(out, F.last(value, ignorenulls=True).over(inside)), carry, keys
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("value")))
+    whole, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, _SLICE)
+    edges, carries, fills = [], {}, {}
+    # Both are running frames, the second on descending rows: a frame from the current row to
+    # the end would be read again for every row.
+    for out, name, at, pick, down in (
+        (before, "last", F.max, F.max_by, False),
+        (after, "first", F.min, F.min_by, True),
+    ):
+        if not out:
+            continue
+
+        def sort(c: str, down: bool = down):
+            return F.col(c).desc() if down else F.col(c).asc()
+
+        edges += [at(known).alias(f"__{name}_at"), pick(value, known).alias(f"__{name}")]
+        edge = F.when(
+            F.col(f"__{name}_at").isNotNull(),
+            F.struct(F.col(f"__{name}_at").alias("at"), F.col(f"__{name}").alias("value")),
         )
-        .withColumn(out, F.coalesce(F.col(out), F.col(_CARRY)))
-        .drop(_SLICE, _CARRY)
+        earlier = whole.orderBy(sort(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        running = inside.orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
+        carries[out] = F.last(edge, ignorenulls=True).over(earlier).alias(f"{_CARRY}_{name}")
+        fills[out] = F.last(here, ignorenulls=True).over(running), f"{_CARRY}_{name}"
+    carry = sliced.groupBy(*keys, _SLICE).agg(*edges).select(*keys, _SLICE, *carries.values())
+    filled = sliced.withColumns({out: column for out, (column, _) in fills.items()})
+    return (
+        _with_carry(filled, carry, keys)
+        .withColumns({out: F.coalesce(F.col(out), F.col(c)) for out, (_, c) in fills.items()})
+        .drop(_SLICE, *[c for _, c in fills.values()])
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.ordered import SLICE_BITS, running_sum
 from millrace.functions.text import fingerprint
 from millrace.operators.policy import UNDO_WINDOW_MS
+from millrace.session import checkpointed
 
 # Fields of an audit line, its default length, and the expiry note.
 AUDIT_FIELDS = ("id", "ts", "server", "tool", "tier", "status", "note")
@@ -75,27 +76,31 @@ def sweep(state: DataFrame, now_millis: Column, window_ms: int = UNDO_WINDOW_MS)
     )
 
 
-def dedupe_holds(
-    calls: DataFrame, releases: DataFrame, bits: int = SLICE_BITS
-) -> DataFrame:
-    """Calls to be held, each with the id it is held under and whether it is a repeat.
+def with_fingerprint(calls: DataFrame) -> DataFrame:
+    """Calls (``server, tool, args``) with the fingerprint ``fp`` of what they would do."""
+    fp = fingerprint(F.col("server"), F.col("tool"), F.col("args"))
+    return calls.withColumn("fp", fp)
+
+
+def dedupe_holds(calls: DataFrame, releases: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
+    """The id each held call stands under: ``(seq, id, fp, held_as, repeat)``.
 
-    ``calls`` has ``seq, id, server, tool, args``; ``releases`` holds the ledger's
-    transitions out of ``held`` as ``seq, id``. An identical call is a repeat while the
-    earlier one is still held; after its release the next call is recorded anew.
+    ``calls`` has ``seq, id, fp``; ``releases`` holds the ledger's transitions out of
+    ``held`` as ``seq, id``. An identical call is a repeat while the earlier one is still
+    held; after its release the next call is recorded anew.
     """
-    marked = calls.withColumn("fp", fingerprint(F.col("server"), F.col("tool"), F.col("args")))
-    # A release names an action; its fingerprint tells which calls it sets free.
+    # Only these narrow columns travel. Both tables below are used twice and written once.
+    marked = calls.select("seq", "id", "fp")
     first = releases.groupBy("id").agg(F.min("seq").alias("seq"))
     freed = first.join(marked.select("id", "fp"), "id").select("seq", "fp")
-    events = marked.unionByName(freed, allowMissingColumns=True)
+    events = checkpointed(marked.unionByName(freed, allowMissingColumns=True), "hold-events")
     is_call = F.col("id").isNotNull()
-    turns = running_sum(events, ["fp"], "seq", F.when(is_call, 0).otherwise(1), "epoch", bits)
-    turns = turns.where(is_call)
+    released = F.when(is_call, 0).otherwise(1)
+    turns = running_sum(events, ["fp"], "seq", released, "epoch", bits).where(is_call)
+    turns = checkpointed(turns, "hold-turns")
     holder = turns.groupBy("fp", "epoch").agg(F.min_by("id", "seq").alias("held_as"))
     return turns.join(holder, ["fp", "epoch"]).select(
-        "seq", "id", "server", "tool", "args", "held_as",
-        (F.col("id") != F.col("held_as")).alias("repeat"),
+        "seq", "id", "fp", "held_as", (F.col("id") != F.col("held_as")).alias("repeat")
     )
 
 

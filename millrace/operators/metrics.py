@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.ordered import SLICE_BITS, fill_from
+from millrace.functions.ordered import SLICE_BITS, fill
 
 # Keys shown as curves or axes rather than tiles, and the number of tiles.
 NOT_TILES = ("time", "step", "loss", "eval_loss")
@@ -75,23 +75,22 @@ def nearest_step(
     pairing of steps with points.
     """
     asked = wanted.select(key, "step").withColumn("asked", F.lit(True))
-    known = points.select(key, "step", F.struct("step", "y").alias("point"))
-    # One row per step keeps every slice of the fills within its bound.
+    # One row per step keeps every slice of the fill within its bound.
     steps = (
-        asked.unionByName(known, allowMissingColumns=True)
+        asked.unionByName(points.select(key, "step", "y"), allowMissingColumns=True)
         .groupBy(key, "step")
-        .agg(F.max("asked").alias("asked"), F.min("point").alias("point"))
+        .agg(F.max("asked").alias("asked"), F.min("y").alias("y"))
     )
-    before = fill_from(steps, [key], "step", "point", "before", True, bits)
-    around = fill_from(before, [key], "step", "point", "after", False, bits)
+    near = _closer(F.col("step"), F.col("before"), F.col("after"))
     return (
-        around.where("asked")
-        .withColumn("near", _closer(F.col("step"), F.col("before"), F.col("after")))
+        fill(steps, [key], "step", "y", "before", "after", bits)
+        .where("asked")
+        .withColumn("near", near)
         .where("near IS NOT NULL")
-        .select(key, "step", F.col("near.step").alias("near_step"), F.col("near.y").alias("near_y"))
+        .select(key, "step", F.col("near.at").alias("near_step"), F.col("near.value").alias("near_y"))
     )
 
 
 def _closer(step: Column, before: Column, after: Column) -> Column:
-    take_after = before.isNull() | (after["step"] - step < step - before["step"])
+    take_after = before.isNull() | (after["at"] - step < step - before["at"])
     return F.when(after.isNotNull() & take_after, after).otherwise(before)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.ordered import fill_from
+from millrace.functions.ordered import fill
 from millrace.functions.text import seconds_between
 
 # Messages written to job rows.
@@ -55,8 +55,9 @@ def fold_deletes(
     marks = log.where(deletes | (F.col("field") == status)).select(
         key, "seq", deletes.alias("deletes"), F.when(~deletes, F.struct("value")).alias("state")
     )
-    seen = fill_from(marks, [key], "seq", "state", "as_of")
-    gone = seen.where(F.col("deletes") & ~F.col("as_of.value").eqNullSafe(F.lit(running)))
+    seen = fill(marks, [key], "seq", "state", before="as_of")
+    state = F.col("as_of.value.value")
+    gone = seen.where(F.col("deletes") & ~state.eqNullSafe(F.lit(running)))
     kept = log.where(~deletes).join(gone.select(key).distinct(), key, "left_anti")
     return fold_updates(kept, fields, key)
 

@@ -329,7 +329,7 @@ def held_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     releases = ranked.where("nth <= r").select((F.col("seq") + 1).alias("seq"), "id")
     # The key takes r in as well, so that each fingerprint has one r.
     args = F.concat(F.expr("substring(args, 1, length(args) - 1)"), F.lit(',"r":'), F.col("r").cast("string"), F.lit("}"))
-    return found.withColumn("args", args).drop("r"), releases
+    return ledger.with_fingerprint(found.withColumn("args", args).drop("r")), releases
 
 
 HOLDS = f"""
@@ -337,7 +337,7 @@ HOLDS = f"""
       SELECT * REPLACE (rtrim(args, '}}') || ',"r":' || r || '}}' AS args),
              row_number() OVER (PARTITION BY server, tool, args, r ORDER BY seq) AS nth
       FROM ({HELD_CALLS}))
-    SELECT seq, id, server, tool, args,
+    SELECT seq, id, sha256('["' || server || '","' || tool || '",' || args || ']') AS fp,
            CASE WHEN nth <= r + 1 THEN id
                 ELSE max(CASE WHEN nth = r + 1 THEN id END) OVER (PARTITION BY server, tool, args) END AS held_as,
            nth > r + 1 AS repeat

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from millrace.operators.ledger import EXPIRED, dedupe_holds, first_commands, replay
+from millrace.operators.ledger import (
+    EXPIRED,
+    dedupe_holds,
+    first_commands,
+    replay,
+    with_fingerprint,
+)
 from millrace.operators.policy import UNDO_WINDOW_MS
 from millrace.streaming.tables import use_disk_state, write_updates
 
-CALL_SCHEMA = "seq bigint, id string, server string, tool string, args string"
+HOLD_SCHEMA = "seq bigint, id string, fp string"
 
 
 def stream_replay(events: DataFrame, folder: str, checkpoint: str, **trigger):
@@ -39,23 +45,15 @@ def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):
     spark = events.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        calls = batch.where("kind = 'call'").select("seq", "id", "server", "tool", "args")
+        calls = with_fingerprint(batch.where("kind = 'call'")).select("seq", "id", "fp")
         releases = batch.where("kind = 'release'").select("seq", "id")
         open_before = _open_holds(spark, folder, batch_id)
-        known = calls.unionByName(open_before.withColumn("__old", F.lit(True)), True)
-        marked = dedupe_holds(known.drop("__old"), releases).join(
-            open_before.select("id", F.lit(True).alias("__old")), "id", "left"
-        )
-        marked = marked.persist()
-        try:
-            fresh = marked.where("__old IS NULL").drop("__old")
-            fresh.write.mode("overwrite").parquet(f"{folder}/calls/batch_id={batch_id}")
-            still = marked.where("NOT repeat").join(releases.select("id"), "id", "left_anti")
-            still.select("seq", "id", "server", "tool", "args").write.mode("overwrite").parquet(
-                f"{folder}/open/{batch_id}"
-            )
-        finally:
-            marked.unpersist()
+        marked = dedupe_holds(calls.unionByName(open_before), releases)
+        old = open_before.select("id")
+        fresh = marked.join(old, "id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/calls/batch_id={batch_id}")
+        still = marked.where("NOT repeat").join(releases.select("id"), "id", "left_anti")
+        still.select("seq", "id", "fp").write.mode("overwrite").parquet(f"{folder}/open/{batch_id}")
 
     return (
         events.writeStream.option("checkpointLocation", checkpoint)
@@ -67,8 +65,8 @@ def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):
 
 def _open_holds(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     if batch_id == 0:
-        return spark.createDataFrame([], CALL_SCHEMA)
-    return spark.read.schema(CALL_SCHEMA).parquet(f"{folder}/open/{batch_id - 1}")
+        return spark.createDataFrame([], HOLD_SCHEMA)
+    return spark.read.schema(HOLD_SCHEMA).parquet(f"{folder}/open/{batch_id - 1}")
 
 
 class ExpiryTimer(StatefulProcessor):

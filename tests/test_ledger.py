@@ -91,7 +91,7 @@ def test_repeated_holds(spark, seed, bits):
     calls = [(s, i, "srv", k, "{}") for s, i, k in events if k]
     releases = [(s, i) for s, i, k in events if not k]
     got = ledger.dedupe_holds(
-        spark.createDataFrame(calls, CALLS),
+        ledger.with_fingerprint(spark.createDataFrame(calls, CALLS)),
         spark.createDataFrame(releases, "seq bigint, id string"), bits,
     ).collect()
     assert {r.id: r.held_as for r in got} == held(events)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.ordered import fill_from, next_row, running_sum
+from millrace.functions.ordered import fill, next_row, running_sum
 from millrace.operators.corpus import turns_to_pairs
 from millrace.operators.metrics import nearest_step
 
@@ -48,18 +48,22 @@ def test_running_sum(spark, bits):
 
 
 @pytest.mark.parametrize("bits", [0, 2, 5, 20])
-@pytest.mark.parametrize("backward", [True, False])
-def test_fill_from(spark, bits, backward):
+def test_fill(spark, bits):
     rows = made(2)
     expected = {}
     for key, group in by_key(rows).items():
-        last = None
-        for _, seq, value in group if backward else reversed(group):
-            last = value if value is not None else last
-            expected[key, seq] = last
+        for i, (_, seq, _) in enumerate(group):
+            before = [(s, v) for _, s, v in group[: i + 1] if v is not None]
+            after = [(s, v) for _, s, v in group[i:] if v is not None]
+            expected[key, seq] = (before[-1] if before else None, after[0] if after else None)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = fill_from(df, ["key"], "seq", "value", "filled", backward, bits).collect()
-    assert {(r.key, r.seq): r.filled for r in got} == expected
+    got = fill(df, ["key"], "seq", "value", "before", "after", bits).collect()
+    pairs = {(r.key, r.seq): tuple(tuple(s) if s else None for s in (r.before, r.after)) for r in got}
+    assert pairs == expected
+    one = fill(df, ["key"], "seq", "value", after="next", bits=bits).collect()
+    assert {(r.key, r.seq): tuple(r.next) if r.next else None for r in one} == {
+        k: v[1] for k, v in expected.items()
+    }
 
 
 @pytest.mark.parametrize("bits", [0, 2, 20])
