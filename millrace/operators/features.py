@@ -331,7 +331,7 @@ def split(
 
     The default needs no shuffle, and takes the same share of every stratum in
     expectation. ``exact`` takes ``ceil(fraction * rows)`` rows, in proportion from each
-    stratum if one is named; keys should then be unique.
+    stratum if one is named, or a few more where the last key taken has several rows.
     """
     key = F.col(key) if isinstance(key, str) else key
     if not exact:
@@ -381,10 +381,14 @@ def _exact_split(df: DataFrame, fraction, seed, key: Column, strata: str | None)
         .where("wanted > upto - n AND wanted <= upto")
         .select("__e", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("take"))
     )
+    # Rows with equal keys fall on one side, so they are counted before they are ranked.
+    ranked = Window.partitionBy("__e").orderBy("__h", "__k")
     last = (
         rows.join(F.broadcast(edge), same & (bucket == F.col("bucket")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("__s").orderBy("__h", "__k")))
-        .where("rank = take")
+        .groupBy("__e", "take", "__h", "__k")
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(ranked))
+        .where("take > upto - n AND take <= upto")
         .select("__e", F.struct("__h", "__k").alias("__last"))
     )
     chosen = F.coalesce(F.struct("__h", "__k") <= F.col("__last"), F.lit(False))

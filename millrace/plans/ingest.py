@@ -323,11 +323,14 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("s_list_files")
+@query("s_list_files", "SELECT DISTINCT o_orderstatus AS status, true AS has_bytes FROM orders")
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "artifact")
     table(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").parquet(folder)
-    return datasets.list_files(spark, folder)
+    status = F.regexp_extract("file", "^o_orderstatus=([A-Z])/part-", 1)
+    return datasets.list_files(spark, folder).groupBy(status.alias("status")).agg(
+        (F.min("length") > 0).alias("has_bytes")
+    )
 
 
 @query(

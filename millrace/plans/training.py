@@ -234,6 +234,28 @@ def _train(name: str, source: str, task: str, label: str, key: str, **hp):
 
 
 CLASSIFY, REGRESS = "tabular-classification", "tabular-regression"
+
+
+@query(
+    "e_train_sizes",
+    """
+    SELECT ceil(n * 0.2)::BIGINT AS test_rows, n - ceil(n * 0.2)::BIGINT AS train_rows, kept
+    FROM (SELECT count(*) FILTER (c_custkey % 9 <> 0) AS n,
+                 (SELECT count(DISTINCT c_mktsegment) FROM customer) AS kept FROM customer)
+    """,
+)
+def train_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows a whole training run uses, of a table with missing labels."""
+    customer = table(spark, sf_dir, "customer").withColumn(
+        "c_mktsegment", nulled("c_custkey", 9, "c_mktsegment")
+    )
+    settings = {"label_column": "c_mktsegment", "algorithm": "logistic_regression"}
+    trained = train.train_tabular(customer, CLASSIFY, settings, "c_custkey")
+    labels = len(trained.model.stages[-1].getLabels())
+    rows = [(trained.metrics["train_rows"], trained.metrics["test_rows"], labels)]
+    return spark.createDataFrame(rows, "train_rows bigint, test_rows bigint, kept bigint")
+
+
 _train("e_rf_cls", "customer", CLASSIFY, "c_mktsegment", "c_custkey", algorithm="random_forest")
 _train("e_rf_reg", "part", REGRESS, "p_retailprice", "p_partkey", algorithm="random_forest")
 _train("e_gbt_cls", "orders", CLASSIFY, "o_orderstatus", "o_orderkey",
@@ -365,7 +387,13 @@ def _saved(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query("e_save_load")
+@query(
+    "e_save_load",
+    f"""
+    SELECT 'c_mktsegment' AS label_column, col AS feature, 'tabular-classification' AS task
+    FROM ({_roles_sql("customer", "c_mktsegment")}) WHERE role <> 'dropped'
+    """,
+)
 def save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.read.json(f"{_saved(spark, sf_dir)}/columns")
     return meta.select("label_column", F.explode("feature_columns").alias("feature"), "task")

@@ -72,6 +72,16 @@ def test_exact_split_sizes(spark):
     assert hashed.where("is_test").agg(F.max("h")).head()[0] < hashed.where("NOT is_test").agg(F.min("h")).head()[0]
 
 
+def test_exact_split_of_equal_rows(spark):
+    """A third of the rows share one key, which falls on one side as a whole."""
+    df = spark.range(900).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("k"))
+    for fraction in (0.1, 0.4, 0.7):
+        parts = features.split(df, fraction, 3, "k", exact=True)
+        sizes = {r.k: r.n for r in parts.where("is_test").groupBy("k").agg(F.count("*").alias("n")).collect()}
+        assert sizes.get(-1, 0) in (0, 300)
+        assert 900 * fraction <= sum(sizes.values()) <= 900 * fraction + 300
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(5_000)
     one = features.split(df.coalesce(1), 0.2, 42, "id").where("is_test")
