@@ -276,25 +276,38 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXPIRY_WINDOW = 3 * 3600 * 1000
 
+# Every fifth event is an action; some later events change it at once, others after the window.
+EXPIRY_LINES = """
+    SELECT event_id AS seq, ts, CASE WHEN event_id % 5 = 0 THEN 'action' ELSE 'transition' END AS kind,
+           'a' || event_id - event_id % 5 - CASE WHEN event_id % 15 = 8 THEN 100 ELSE 0 END AS id,
+           CASE WHEN event_id % 5 <> 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'passed'
+                ELSE 'applied' END AS status
+    FROM events WHERE event_id % 5 = 0 OR event_id % 15 IN (7, 8)
+"""
+
 
 @query(
     "g_expiry_stream",
     f"""
+    WITH lines AS ({EXPIRY_LINES})
     SELECT 'transition' AS kind, id, 'final' AS status, '{ledger.EXPIRED}' AS note
-    FROM (SELECT 'a' || user_id AS id, arg_max({STATUS_SQL}, event_id) AS status,
-                 max(ts) FILTER (event_id % 5 = 0) AS set_ts
-          FROM events GROUP BY 1)
-    WHERE status = 'applied' AND epoch_us(set_ts) // 1000 + {EXPIRY_WINDOW}
-          < (SELECT epoch_us(max(ts)) // 1000 FROM events)
+    FROM lines a
+    WHERE kind = 'action' AND status = 'applied'
+      AND ts + INTERVAL {EXPIRY_WINDOW} MILLISECONDS < (SELECT max(date_trunc('milliseconds', ts)) FROM lines)
+      AND NOT EXISTS (SELECT 1 FROM lines t WHERE t.kind = 'transition' AND t.id = a.id
+                      AND t.ts BETWEEN a.ts AND a.ts + INTERVAL {EXPIRY_WINDOW} MILLISECONDS)
     """,
 )
 def expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out = workspace(spark, "expiry-in"), workspace(spark, "expiry-out")
-    lines = calls(spark, sf_dir).select(
-        F.col("event_id").alias("seq"),
-        F.when(F.col("event_id") % 5 == 0, "action").otherwise("transition").alias("kind"),
-        F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("id"),
-        status_of(F.col("event_type")).alias("status"),
+    key = F.col("event_id")
+    owner = key - key % 5 - F.when(key % 15 == 8, 100).otherwise(0)
+    status = F.when(key % 5 != 0, "failed").when(key % 3 == 0, "passed").otherwise("applied")
+    lines = table(spark, sf_dir, "events").where((key % 5 == 0) | (key % 15).isin(7, 8)).select(
+        key.alias("seq"),
+        F.when(key % 5 == 0, "action").otherwise("transition").alias("kind"),
+        F.concat(F.lit("a"), owner.cast("string")).alias("id"),
+        status.alias("status"),
         F.col("ts").cast("timestamp").alias("event_time"),
     )
     lines.write.parquet(folder)

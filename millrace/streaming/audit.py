@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.operators.ledger import (
     EXPIRED,
@@ -69,62 +67,32 @@ def _open_holds(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     return spark.read.schema(HOLD_SCHEMA).parquet(f"{folder}/open/{batch_id - 1}")
 
 
-class ExpiryTimer(StatefulProcessor):
-    """Emits a ``final`` transition once an applied action has outlived its window."""
-
-    def __init__(self, window_ms: int):
-        self.window_ms = window_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "seq bigint, status string, due bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        seq, status, due = self.last.get() if self.last.exists() else (-1, None, None)
-        started = due
-        for frame in rows:
-            frame = frame[frame["seq"] > seq].sort_values("seq")
-            if not len(frame):
-                continue
-            records = frame[frame["kind"] == "action"]
-            if len(records):
-                stamp = pd.Timestamp(records["event_time"].iloc[-1])
-                due = int(stamp.value // 1_000_000) + self.window_ms + 1
-            seq, status = int(frame["seq"].iloc[-1]), frame["status"].iloc[-1]
-        if started is not None:
-            self.handle.deleteTimer(started)
-        if due is not None and status == "applied":
-            self.handle.registerTimer(due)
-        self.last.update((seq, status, due))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
-        yield pd.DataFrame(
-            {"kind": ["transition"], "id": [key[0]], "status": ["final"], "note": [EXPIRED]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stream_expiry(
     events: DataFrame, window_ms: int = UNDO_WINDOW_MS, lateness: str = "0 seconds"
 ) -> DataFrame:
     """``final`` transitions of a ledger stream, by event time.
 
-    ``events`` has ``seq, kind, id, status`` and a timestamp ``event_time``. The watermark is
-    the clock: an action is final when later events show that its window has passed.
+    ``events`` has ``kind, id, status`` and a timestamp ``event_time``. An applied action is
+    final if nothing happened to it within the window and the watermark has passed its end.
+    An outer join of the stream with itself, whose state is dropped with the watermark.
     """
     use_disk_state(events.sparkSession)
-    return (
-        events.select("seq", "kind", "id", "status", "event_time")
-        .withWatermark("event_time", lateness)
-        .groupBy("id")
-        .transformWithStateInPandas(
-            ExpiryTimer(window_ms),
-            outputStructType="kind string, id string, status string, note string",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    seen = events.select("kind", "id", "status", "event_time").withWatermark("event_time", lateness)
+
+    # Tests that read the event time stay above the watermark, so that it follows all events.
+    def only(test) -> DataFrame:
+        return seen.where(F.when(F.col("event_time").isNotNull(), test))
+
+    applied = only((F.col("kind") == "action") & (F.col("status") == "applied"))
+    changes = only(F.col("kind") == "transition").select(
+        F.col("id").alias("changed"), F.col("event_time").alias("changed_at")
+    )
+    end = F.col("event_time") + F.lit(timedelta(milliseconds=window_ms))
+    within = F.col("changed_at").between(F.col("event_time"), end)
+    ended = applied.join(changes, (F.col("id") == F.col("changed")) & within, "left_outer")
+    return ended.where("changed IS NULL").select(
+        F.lit("transition").alias("kind"),
+        "id",
+        F.lit("final").alias("status"),
+        F.lit(EXPIRED).alias("note"),
     )
