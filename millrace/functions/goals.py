@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import once
+
 # Task names, and the phrases that select them, tried in this order.
 TASK_NAMES = (
     "text-classification",
@@ -50,6 +52,7 @@ MAX_KEYWORDS = 6
 GOAL_PREFIX = 50
 PLAN_QUERIES = 4
 PLAN_QUERY_CHARS = 80
+PLAN_TYPE = "task string, queries array<string>"
 JOB_NAME_CHARS = 60
 UNNAMED_JOB = "autopilot job"
 
@@ -74,17 +77,16 @@ def keywords(goal: Column) -> Column:
 
 def search_queries(goal: Column) -> Column:
     """Search texts for a goal: words 1-3, words 4-6 if there are any, the first word."""
-    words = keywords(goal)
-    first = F.array_join(F.slice(words, 1, 3), " ")
-    second = F.array_join(F.slice(words, 4, 3), " ")
-    made = F.array_distinct(
-        F.when(F.size(words) > 3, F.array(first, second, words[0])).otherwise(
-            F.array(first, words[0])
-        )
-    )
-    return F.when(F.size(words) > 0, made).otherwise(
-        F.array(F.substring(F.lower(goal), 1, GOAL_PREFIX))
-    )
+
+    def made(words: Column) -> Column:
+        first = F.array_join(F.slice(words, 1, 3), " ")
+        second = F.array_join(F.slice(words, 4, 3), " ")
+        few, many = F.array(first, words[0]), F.array(first, second, words[0])
+        start = F.array(F.substring(F.lower(goal), 1, GOAL_PREFIX))
+        found = F.when(F.size(words) > 3, many).when(F.size(words) > 0, few)
+        return F.array_distinct(F.coalesce(found, start))
+
+    return once(keywords(goal), made)
 
 
 def first_json_block(reply: Column) -> Column:
@@ -103,19 +105,19 @@ def whole_json(block: Column) -> Column:
 
 def parse_plan(reply: Column) -> Column:
     """Struct ``(task, queries)`` read from a planner's reply; null if it names no valid plan."""
-    block = first_json_block(reply)
-    plan = F.from_json(block, "task string, queries array<string>")
-    valid = (
-        whole_json(block)
-        & block.startswith("{")
-        & plan["task"].isin(list(TASK_NAMES))
-        & (F.size(plan["queries"]) > 0)
-    )
-    queries = F.transform(
-        F.slice(plan["queries"], 1, PLAN_QUERIES),
-        lambda q: F.substring(F.coalesce(q, F.lit("None")), 1, PLAN_QUERY_CHARS),
-    )
-    return F.when(valid, F.struct(plan["task"].alias("task"), queries.alias("queries")))
+
+    def checked(block: Column) -> Column:
+        return F.when(block.startswith("{") & whole_json(block), F.from_json(block, PLAN_TYPE))
+
+    def cut(plan: Column) -> Column:
+        queries = F.transform(
+            F.slice(plan["queries"], 1, PLAN_QUERIES),
+            lambda q: F.substring(F.coalesce(q, F.lit("None")), 1, PLAN_QUERY_CHARS),
+        )
+        valid = plan["task"].isin(list(TASK_NAMES)) & (F.size(plan["queries"]) > 0)
+        return F.when(valid, F.struct(plan["task"].alias("task"), queries.alias("queries")))
+
+    return once(once(first_json_block(reply), checked), cut)
 
 
 def job_name(goal: Column) -> Column:

@@ -20,6 +20,11 @@ ACCEPTED = "CSV, TSV, JSON, JSONL, Parquet"
 HASH_RANGE = 1 << 32
 
 
+def once(value: Column, function) -> Column:
+    """``function(value)`` with ``value`` computed once however often the function uses it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def not_blank(text: Column) -> Column:
     """True if the text holds a character that is not white space; false for null."""
     return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
@@ -63,14 +68,14 @@ def hash32(seed: int, key: Column) -> Column:
 
 def fingerprint(server: Column, tool: Column, args: Column) -> Column:
     """SHA-256 of the JSON list ``[server, tool, args]``; ``args`` is JSON text already."""
-    def quoted(c: Column) -> Column:
-        return F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
 
-    def bare(c: Column) -> Column:
-        text = quoted(c)
-        return F.substring(text, F.lit(6), F.length(text) - 6)
+    def quoted(c: Column) -> Column:
+        # JSON functions write no bare text, so it is cut out of {"v":"..."}.
+        json = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        return once(json, lambda text: F.substring(text, F.lit(6), F.length(text) - 6))
 
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", bare(server), bare(tool), args), F.lit("]")), 256)
+    parts = F.concat_ws(",", quoted(server), quoted(tool), args)
+    return F.sha2(F.concat(F.lit("["), parts, F.lit("]")), 256)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

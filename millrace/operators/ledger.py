@@ -142,7 +142,10 @@ def command_plan(state: DataFrame, firsts: DataFrame, tools: DataFrame) -> DataF
         .withColumn("commit_at", commit_at)
         .withColumn("discard_at", discard_at)
         .withColumn("undo_at", undo_at)
-        .select("id", "was", "commit_at", "discard_at", "undo_at")
+        .select(
+            "id", "was", "has_undo", F.col("__offered").isNotNull().alias("offered"),
+            "commit_at", "discard_at", "undo_at",
+        )
     )
 
 
@@ -153,9 +156,10 @@ def apply_commands(
     agents_may_commit: bool = False,
     undone: str = UNDONE,
 ) -> DataFrame:
-    """Outcome of every undo and commit command: ``(seq, id, op, accepted, status)``.
+    """Outcome of every command: ``(seq, id, op, accepted, status, reason)``.
 
-    ``status`` is the action's status after the command, null for an unknown id.
+    ``status`` is the action's status after the command, null for an unknown id; ``reason``
+    tells why a command was rejected.
     """
     plan = command_plan(state, first_commands(commands, agents_may_commit), tools)
     seq = F.col("seq")
@@ -167,8 +171,33 @@ def apply_commands(
     )
     moments = [F.col("commit_at"), F.col("discard_at"), F.col("undo_at")]
     accepted = F.exists(F.array(*moments), lambda m: m.eqNullSafe(seq))
-    return commands.join(plan, "id", "left").select(
-        "seq", "id", "op", accepted.alias("accepted"), status.alias("status")
+    agent = F.lit(False)
+    if "by" in commands.columns and not agents_may_commit:
+        agent = (F.col("op") == "commit") & (F.col("by") == "agent")
+    done = commands.join(plan, "id", "left").select(
+        "seq", "id", "op", accepted.alias("accepted"), status.alias("status"), "offered",
+        agent.alias("agent"),
+    )
+    return done.withColumn("reason", F.when(~F.col("accepted"), _rejection())).drop(
+        "offered", "agent"
+    )
+
+
+def _rejection() -> Column:
+    """Why a command was rejected; the status has not changed then."""
+    status = F.col("status")
+    commit = (
+        F.when(status != "held", F.concat(F.lit("is "), status, F.lit(", not held")))
+        .when(~F.col("offered"), "tool no longer available")
+    )
+    undo = F.when(status.isin("applied", "committed"), "nothing recoverable was captured").otherwise(
+        F.concat(F.lit("is "), status, F.lit(" and cannot be undone"))
+    )
+    return (
+        F.when(F.col("agent"), "agents may not commit")
+        .when(status.isNull(), "no such action")
+        .when(F.col("op") == "commit", commit)
+        .otherwise(undo)
     )
 
 

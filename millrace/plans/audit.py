@@ -531,7 +531,14 @@ def command_inputs(spark: SparkSession, sf_dir: str):
     "g_commands",
     f"""
     {WALK}
-    SELECT c.seq, c.id, c.op, coalesce(w.accepted, false) AS accepted, w.status
+    SELECT c.seq, c.id, c.op, coalesce(w.accepted, false) AS accepted, w.status,
+           CASE WHEN w.accepted THEN NULL
+                WHEN c.op = 'commit' AND c.by_whom = 'agent' THEN 'agents may not commit'
+                WHEN w.status IS NULL THEN 'no such action'
+                WHEN c.op = 'commit' AND w.status <> 'held' THEN 'is ' || w.status || ', not held'
+                WHEN c.op = 'commit' THEN 'tool no longer available'
+                WHEN w.status IN ('applied', 'committed') THEN 'nothing recoverable was captured'
+                ELSE 'is ' || w.status || ' and cannot be undone' END AS reason
     FROM c LEFT JOIN walk w ON w.id = c.id AND w.seq = c.seq
     """,
 )
