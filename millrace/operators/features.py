@@ -85,18 +85,25 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(cell), cell)
 
 
-def medians(df: DataFrame, columns: Sequence[str], limit: int = 100_000) -> dict[str, float]:
+def medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    limit: int = 100_000,
+    counts: dict[str, int] | None = None,
+) -> dict[str, float]:
     """Exact medians (mean of the two middle values), also of columns too large to sort.
 
     Each round estimates two values around the wanted rank and counts exactly how many
     values lie below, on, between and above them, so the range shrinks about a
     thousandfold. The last ``limit`` values or fewer are sorted. No task and no driver
-    ever holds a column.
+    ever holds a column. ``counts`` gives the values per column if they are known already.
     """
-    counts = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).head()
+    if counts is None:
+        row = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).head()
+        counts = dict(zip(columns, row, strict=True))
     searches = []
-    for i, column in enumerate(columns):
-        n = counts[f"n{i}"]
+    for column in columns:
+        n = counts[column]
         if n:
             searches += [_Search(column, r, n) for r in sorted({(n - 1) // 2, n // 2})]
     open_ = list(searches)
@@ -235,7 +242,6 @@ def fit_numeric(train: DataFrame, columns: Sequence[str]) -> list[NumericFeature
     """Medians, and mean and deviation of the imputed values, of numeric columns."""
     if not columns:
         return []
-    middle = medians(train, columns)
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         aggregates += [
@@ -244,6 +250,7 @@ def fit_numeric(train: DataFrame, columns: Sequence[str]) -> list[NumericFeature
             F.var_pop(number(c)).alias(f"var{i}"),
         ]
     s = train.agg(*aggregates).head()
+    middle = medians(train, columns, counts={c: s[f"n{i}"] for i, c in enumerate(columns)})
     out = []
     for i, c in enumerate(columns):
         n, missing = s[f"n{i}"], s.rows - s[f"n{i}"]
@@ -326,17 +333,21 @@ def split(
     key: str | Column,
     strata: str | None = None,
     exact: bool = False,
+    sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """Add ``is_test``: about ``fraction`` of the rows, chosen by a seeded hash of the key.
 
     The default needs no shuffle, and takes the same share of every stratum in
     expectation. ``exact`` takes ``ceil(fraction * rows)`` rows, in proportion from each
     stratum if one is named, or a few more where the last key taken has several rows.
+    ``sizes`` are the rows per stratum if :func:`class_sizes` counted them already.
     """
     key = F.col(key) if isinstance(key, str) else key
     if not exact:
         return df.withColumn(TEST, hash32(seed, key) < int(fraction * HASH_RANGE))
-    return _exact_split(df, fraction, seed, key, strata)
+    if sizes is None:
+        sizes = class_sizes(df, strata) if strata else {"": df.count()}
+    return _exact_split(df, fraction, seed, key, strata, sizes)
 
 
 def held_out_sizes(totals: dict, fraction: float) -> dict:
@@ -351,25 +362,21 @@ def held_out_sizes(totals: dict, fraction: float) -> dict:
     return sizes
 
 
-def _exact_split(df: DataFrame, fraction, seed, key: Column, strata: str | None) -> DataFrame:
+def _exact_split(df: DataFrame, fraction, seed, key: Column, strata, sizes: dict) -> DataFrame:
     """The wanted number of smallest hashes per stratum.
 
     Ranking all rows of a stratum would need one task per stratum. Instead hashes are
     counted in 65,536 buckets, the bucket holding the last wanted row is found from the
     counts, and only that bucket is ranked.
     """
-    spark = df.sparkSession
+    if not sum(sizes.values()):
+        return df.withColumn(TEST, F.lit(False))
     stratum = quoted(strata).cast("string") if strata else F.lit("")
     rows = df.withColumns(
         {"__s": stratum, "__h": hash32(seed, key), "__k": key.cast("string")}
     )
-    totals = rows.groupBy("__s").count().limit(MAX_STRATA + 1).collect()
-    if len(totals) > MAX_STRATA:
-        raise ValueError(f"'{strata}' has more than {MAX_STRATA} classes to hold rows out of")
-    if not totals:
-        return df.withColumn(TEST, F.lit(False))
-    sizes = held_out_sizes({r[0]: r[1] for r in totals}, fraction)
-    wanted = spark.createDataFrame(list(sizes.items()), "__e string, wanted bigint")
+    held_out = list(held_out_sizes(sizes, fraction).items())
+    wanted = df.sparkSession.createDataFrame(held_out, "__e string, wanted bigint")
     same = F.col("__s").eqNullSafe(F.col("__e"))
     bucket = F.shiftright("__h", 16)
     upto = Window.partitionBy("__s").orderBy("bucket")
@@ -400,7 +407,10 @@ def _exact_split(df: DataFrame, fraction, seed, key: Column, strata: str | None)
     )
 
 
-def can_stratify(df: DataFrame, label: str) -> bool:
-    """True if every class has at least two rows."""
-    smallest = df.groupBy(quoted(label)).count().agg(F.min("count")).head()[0]
-    return smallest is not None and smallest >= MIN_FREQUENCY
+def class_sizes(df: DataFrame, label: str) -> dict[str | None, int]:
+    """Rows per class, of at most 10,000 classes."""
+    counts = df.groupBy(quoted(label).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    sizes = {r.c: r.n for r in counts.limit(MAX_STRATA + 1).collect()}
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"'{label}' has more than {MAX_STRATA} classes to hold rows out of")
+    return sizes

@@ -22,54 +22,54 @@ CONTROL_TOOLS = ("ledger", "undo", "commit")
 BUILT_IN = (
     (
         "pass",
-        "read* list* get* search* glob* grep* stat* fetch* query* describe* view* head* find* "
-        "check* show* count*",
+        "read*|list*|get*|search*|glob*|grep*|stat*|fetch*|query*|describe*|view*|head*|find*|"
+        "check*|show*|count*",
     ),
     (
         "hold",
-        "delete* remove* drop* destroy* truncate* purge* wipe* send* publish* deploy* release* "
-        "pay* transfer* charge* refund* cancel* merge* force* reset* revoke* terminate* kill* "
-        "execute* apply*",
+        "delete*|remove*|drop*|destroy*|truncate*|purge*|wipe*|send*|publish*|deploy*|release*|"
+        "pay*|transfer*|charge*|refund*|cancel*|merge*|force*|reset*|revoke*|terminate*|kill*|"
+        "execute*|apply*",
     ),
 )
 PROFILES = {
     "github": (
-        ("pass", "search* list* get* read* download* compare* check*"),
+        ("pass", "search*|list*|get*|read*|download*|compare*|check*"),
         (
             "hold",
-            "merge* close* delete* push* create_or_update* create_pull* create_issue* "
-            "create_release* create_repository* fork* transfer* submit* dismiss* request* "
-            "add_*comment* update* edit* assign* lock* unlock* enable* disable* rerun* dispatch*",
+            "merge*|close*|delete*|push*|create_or_update*|create_pull*|create_issue*|"
+            "create_release*|create_repository*|fork*|transfer*|submit*|dismiss*|request*|"
+            "add_*comment*|update*|edit*|assign*|lock*|unlock*|enable*|disable*|rerun*|dispatch*",
         ),
     ),
     "supabase": (
-        ("pass", "list* get* generate* search* fetch*"),
+        ("pass", "list*|get*|generate*|search*|fetch*"),
         (
             "hold",
-            "execute* apply* deploy* delete* drop* truncate* pause* restore* reset* merge* "
-            "rebase* create_project* create_branch* update* insert* upsert*",
+            "execute*|apply*|deploy*|delete*|drop*|truncate*|pause*|restore*|reset*|merge*|"
+            "rebase*|create_project*|create_branch*|update*|insert*|upsert*",
         ),
     ),
     "postgres": (
-        ("pass", "query select* describe* list* get* explain*"),
+        ("pass", "query|select*|describe*|list*|get*|explain*"),
         (
             "hold",
-            "execute* insert* update* upsert* delete* drop* alter* create* truncate* grant* "
+            "execute*|insert*|update*|upsert*|delete*|drop*|alter*|create*|truncate*|grant*|"
             "revoke*",
         ),
     ),
     "slack": (
-        ("pass", "list* get* search* read* conversations_history* users_*"),
+        ("pass", "list*|get*|search*|read*|conversations_history*|users_*"),
         (
             "hold",
-            "send* post* chat_* reply* react* upload* invite* kick* archive* set* update* delete*",
+            "send*|post*|chat_*|reply*|react*|upload*|invite*|kick*|archive*|set*|update*|delete*",
         ),
     ),
     "gmail": (
-        ("pass", "list* get* search* read* fetch*"),
+        ("pass", "list*|get*|search*|read*|fetch*"),
         (
             "hold",
-            "send* delete* trash* modify* create_draft* update* batch* archive* move* label*",
+            "send*|delete*|trash*|modify*|create_draft*|update*|batch*|archive*|move*|label*",
         ),
     ),
 }
@@ -85,7 +85,7 @@ class Rule:
 
 
 def _pack(entries) -> list[Rule]:
-    return [Rule("|".join(globs.split()), tier) for tier, globs in entries]
+    return [Rule(globs, tier) for tier, globs in entries]
 
 
 def rule_packs(spark: SparkSession) -> DataFrame:

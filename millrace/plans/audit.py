@@ -89,10 +89,9 @@ def _tier_sql() -> str:
         tests.append(f"WHEN {scope}{like_sql(r.match)} THEN '{r.tier}'")
     for server, profile in SERVER_PROFILES.items():
         for tier, globs in policy.PROFILES[profile]:
-            hit = like_sql("|".join(globs.split()))
-            tests.append(f"WHEN server = '{server}' AND {hit} THEN '{tier}'")
+            tests.append(f"WHEN server = '{server}' AND {like_sql(globs)} THEN '{tier}'")
     for tier, globs in policy.BUILT_IN:
-        tests.append(f"WHEN {like_sql('|'.join(globs.split()))} THEN '{tier}'")
+        tests.append(f"WHEN {like_sql(globs)} THEN '{tier}'")
     return f"CASE {' '.join(tests)} ELSE '{policy.DEFAULT_TIER}' END"
 
 
@@ -105,8 +104,7 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packs_sql() -> str:
     parts = []
     for pack, entries in {"built-in": policy.BUILT_IN, **policy.PROFILES}.items():
-        for i, (tier, globs) in enumerate(entries):
-            match = "|".join(globs.split())
+        for i, (tier, match) in enumerate(entries):
             parts.append(
                 f"SELECT '{pack}' AS pack, {i} AS precedence, '{match}' AS match, '{tier}' AS tier,"
                 f" count(*) FILTER ({like_sql(match)}) AS calls FROM ({CALLS})"

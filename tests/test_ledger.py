@@ -64,7 +64,7 @@ def test_sweep_is_strict(spark):
 
 
 def held(calls):
-    """Reference answer: walk calls and releases in order."""
+    """What should come out: walk calls and releases in order."""
     open_, out = {}, {}
     for seq, id_, key in sorted(calls):
         if key is None:
