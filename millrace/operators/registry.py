@@ -10,6 +10,29 @@ from pyspark.sql import functions as F
 from millrace.functions.ordered import fill
 from millrace.functions.text import seconds_between
 
+# The registry tables. Times are epoch seconds, stored JSON is a map or an array.
+DATASETS = (
+    "id bigint, name string, source_type string, source_ref string, path string, format string, "
+    "num_rows bigint, size_bytes bigint, columns array<struct<name:string,dtype:string,"
+    "n_unique:bigint,unique_capped:boolean,samples:array<string>>>, status string, "
+    "error string, created_at double"
+)
+JOBS = (
+    "id bigint, name string, dataset_id bigint, task string, base_model string, "
+    "hyperparams map<string,string>, status string, pid bigint, output_dir string, "
+    "metrics map<string,double>, error string, created_at double, started_at double, "
+    "finished_at double"
+)
+RUNS = (
+    "id bigint, goal string, status string, steps array<struct<time:double,title:string,"
+    "detail:string,status:string>>, dataset_id bigint, job_id bigint, error string, "
+    "created_at double, finished_at double"
+)
+MODELS = (
+    "id bigint, name string, job_id bigint, task string, base_model string, path string, "
+    "metrics map<string,double>, published_repo string, published_at double, created_at double"
+)
+
 # Messages written to job rows.
 DEAD_WORKER = "Worker process died unexpectedly (see job.log)."
 MISSING_DATASET = "Dataset not found"

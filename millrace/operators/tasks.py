@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from millrace.operators.corpus import build_texts, lm_split
 from millrace.operators.evaluate import row_counts
 from millrace.operators.features import TEST, row_key
-from millrace.operators.train import Trained, train_tabular, train_text
+from millrace.operators.registry import DATASET_NOT_READY
+from millrace.operators.train import Trained, save_model, train_tabular, train_text
+from millrace.sources.jsonlines import append_jsonl, metric_points
 
 
 @dataclass(frozen=True)
@@ -90,8 +92,13 @@ def _truth(value) -> bool:
     return value if isinstance(value, bool) else str(value).lower() in ("1", "true", "yes")
 
 
-def run_task(name: str, df: DataFrame, user: Mapping | None = None) -> Outcome:
-    """Train a registered task on a table; a failure becomes the outcome's error."""
+def run_task(
+    name: str, df: DataFrame, user: Mapping | None = None, kept: list[Trained] | None = None
+) -> Outcome:
+    """Train a registered task on a table; a failure becomes the outcome's error.
+
+    A model is added to ``kept``, if that is given.
+    """
     log: list[str] = []
     try:
         if name not in TASKS:
@@ -99,12 +106,33 @@ def run_task(name: str, df: DataFrame, user: Mapping | None = None) -> Outcome:
         task = TASKS[name]
         values = merge_values(task.params, user or {})
         result = task.train(df, values, log.append)
-        metrics = result.metrics if isinstance(result, Trained) else result
+        if not isinstance(result, Trained):
+            return Outcome("succeeded", result, None, log)
+        if kept is not None:
+            kept.append(result)
+        metrics = result.metrics
         return Outcome("succeeded", metrics, None, log)
     except Exception as error:
         return Outcome("failed", None, str(error)[:MAX_ERROR_CHARS], log)
 
 
+def run_job(spark: SparkSession, job: Mapping, dataset: Mapping | None, out: str) -> Outcome:
+    """Train the task of a job on its imported dataset and keep what comes out.
+
+    ``job`` has ``task`` and ``hyperparams``, ``dataset`` the ``status`` and ``path`` of an
+    import. The pipeline goes to ``out/model``, metric points are added to ``out/metrics``.
+    """
+    if dataset is None or dataset["status"] != "ready":
+        return Outcome("failed", None, DATASET_NOT_READY)
+    kept: list[Trained] = []
+    done = run_task(job["task"], spark.read.parquet(dataset["path"]), job["hyperparams"], kept)
+    for trained in kept:
+        save_model(trained, spark, f"{out}/model")
+        points = spark.createDataFrame([Row(**p) for p in trained.history])
+        append_jsonl(metric_points(points).coalesce(1), f"{out}/metrics")
+    return done
+
+
 # Hyperparameters of the built-in tasks and their defaults.
 _TABULAR = (
     Param("label_column", "str", ""),

@@ -114,3 +114,41 @@ def test_corpus_task(spark):
     outcome = tasks.run_task("causal-lm", df, {"eval_fraction": "0.3"})
     assert outcome.status == "succeeded"
     assert outcome.metrics["train_rows"] + outcome.metrics["eval_rows"] == 100
+
+
+def test_job_from_import_to_scores(spark):
+    from millrace.operators import registry, train
+    from millrace.session import workspace
+    from millrace.sources import datasets, jsonlines
+
+    rows = spark.range(200).selectExpr("id", "id % 4 AS x", "IF(id % 2 = 0, 'even', 'odd') AS label")
+    out = workspace(spark, "job")
+    dataset = datasets.finalize(rows, f"{out}/data", "numbers", "memory", "id").head()
+    job = {"task": "tabular-classification", "hyperparams": {"n_estimators": "5", "seed": "x"}}
+    done = tasks.run_job(spark, job, dataset.asDict(), f"{out}/1")
+    assert (done.status, done.metrics["accuracy"], done.metrics["test_rows"]) == ("succeeded", 1.0, 40)
+    scored = train.score(f"{out}/1/model", rows)
+    assert scored.where("predicted = label").count() == 200
+    schema = "time double, step bigint, accuracy double, train_rows bigint"
+    points = jsonlines.read_metrics(spark, f"{out}/1/metrics", schema=schema).collect()
+    assert [(p.step, p.accuracy, p.train_rows) for p in points] == [(1, 1.0, 160)]
+    missing = tasks.run_job(spark, job, {"status": "importing", "path": ""}, f"{out}/2")
+    assert (missing.status, missing.error) == ("failed", registry.DATASET_NOT_READY)
+
+
+def test_registry_tables_hold_a_lifecycle(spark):
+    from millrace.operators import registry
+
+    job = (1, "j", 7, "t", None, {"a": "1"}, "succeeded", 5, "/o", {"m": 0.5}, None, 1.0, 2.0, 4.6)
+    jobs = spark.createDataFrame([job, (2, *job[1:6], "running", 9, *job[8:13], None)], registry.JOBS)
+    alive = spark.createDataFrame([(5,)], "pid bigint")
+    now = F.lit(10.4)
+    after = {r.id: r for r in registry.with_duration(registry.reconcile(jobs, alive, now), now).collect()}
+    assert (after[1].status, after[1].seconds) == ("succeeded", 3)
+    assert (after[2].status, after[2].error, after[2].seconds) == ("failed", registry.DEAD_WORKER, 8)
+    models = spark.createDataFrame([(3, "m", 99, "t", None, "/p", None, None, None, 1.0)], registry.MODELS)
+    made = registry.register_models(jobs, models).collect()
+    assert [(r.job_id, r.metrics) for r in made] == [(1, {"m": 0.5})]
+    sets = spark.createDataFrame([(7, "d", *[None] * 7, "ready", None, 1.0)], registry.DATASETS)
+    line = registry.lineage(models, jobs, sets).head()
+    assert (line.job_name, line.dataset_name) == (None, None)

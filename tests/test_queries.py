@@ -34,3 +34,13 @@ def test_entry_reaches_a_model(spark):
     steps = [(r.title, r.status) for r in entry.entry(spark).orderBy("position").collect()]
     assert steps[-1] == ("Model ready", "done")
     assert {status for _, status in steps} == {"done"}
+
+
+@pytest.mark.parametrize("name", ["m_nearest", "g_ledger_replay", "t_split_stratified", "x_turns"])
+def test_one_partition_gives_the_same(spark, db, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert spark_rows(QUERIES[name](spark, SMALL)) == sql_rows(db, ORACLES[name])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
