@@ -117,25 +117,37 @@ def medians(
 
 
 def _narrow(df: DataFrame, searches: list[_Search], limit: int) -> None:
+    """One round: find the values of short ranges, cut the others down."""
+    ranges: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        ranges.setdefault((s.column, s.low, s.high), []).append(s)
+    groups = list(ranges.values())
     margin = 0.0005
     picks = []
-    for i, s in enumerate(searches):
-        if s.inside <= limit:
-            picks.append(F.get(F.sort_array(F.collect_list(s.values())), s.rank - s.below))
+    for i, group in enumerate(groups):
+        one, places = group[0], [s.rank - s.below for s in group]
+        if one.inside <= limit:
+            values = F.sort_array(F.collect_list(one.values()))
+            pick = F.slice(values, min(places) + 1, max(places) - min(places) + 1)
         else:
-            at = (s.rank - s.below + 0.5) / s.inside
-            around = [max(at - margin, 0.0), min(at + margin, 1.0)]
-            picks.append(F.percentile_approx(s.values(), around, 10_000))
-        picks[-1] = picks[-1].alias(f"p{i}")
+            around = [
+                max((min(places) + 0.5) / one.inside - margin, 0.0),
+                min((max(places) + 0.5) / one.inside + margin, 1.0),
+            ]
+            pick = F.percentile_approx(one.values(), around, 10_000)
+        picks.append(pick.alias(f"p{i}"))
     picked = df.agg(*picks).head()
 
     tallies = []
-    for i, s in enumerate(searches):
-        if s.inside <= limit:
-            s.found = picked[f"p{i}"]
+    for i, group in enumerate(groups):
+        one, values = group[0], picked[f"p{i}"]
+        if one.inside <= limit:
+            first = min(s.rank for s in group)
+            for s in group:
+                s.found = values[s.rank - first]
             continue
-        low, high = picked[f"p{i}"]
-        cell = s.values()
+        low, high = values
+        cell = one.values()
         tallies += [
             F.count_if(cell < low).alias(f"a{i}"),
             F.count_if(cell == low).alias(f"b{i}"),
@@ -145,26 +157,28 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int) -> None:
     if not tallies:
         return
     tally = df.agg(*tallies).head()
-    for i, s in enumerate(searches):
-        if s.found is not None:
-            continue
-        low, high = picked[f"p{i}"]
-        a, b, c, d = (tally[f"{x}{i}"] for x in "abcd")
-        if low == high:
-            d = 0
-        at = s.rank - s.below
-        if at < a:
-            s.high, s.inside = low, a
-        elif at < a + b:
-            s.found = low
-        elif at < a + b + c:
-            s.low, s.high, s.below, s.inside = low, high, s.below + a + b, c
-        elif at < a + b + c + d:
-            s.found = high
-        else:
-            s.below += a + b + c + d
-            s.inside -= a + b + c + d
-            s.low = high
+    for i, group in enumerate(groups):
+        if group[0].found is None:
+            counted = [tally[f"{x}{i}"] for x in "abcd"]
+            for s in group:
+                _enter_part(s, *picked[f"p{i}"], *counted)
+
+
+def _enter_part(s: _Search, low, high, a: int, b: int, c: int, d: int) -> None:
+    """Go on in the part that holds the rank: below, on, between, on or above two values."""
+    if low == high:
+        d = 0
+    at = s.rank - s.below
+    if at < a:
+        s.high, s.inside = low, a
+    elif at < a + b:
+        s.found = low
+    elif at < a + b + c:
+        s.low, s.high, s.below, s.inside = low, high, s.below + a + b, c
+    elif at < a + b + c + d:
+        s.found = high
+    else:
+        s.low, s.below, s.inside = high, s.below + a + b + c + d, s.inside - a - b - c - d
 
 
 # ---------------------------------------------------------------- fitted preparation

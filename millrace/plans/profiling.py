@@ -12,7 +12,7 @@ from millrace.operators import filters, profile
 from millrace.operators.filters import check_fit
 from millrace.functions.goals import TASK_NAMES
 from millrace.plans.common import TABLES, nulled, query, table
-from millrace.sources.tables import coerce_nested
+from millrace.session import side_by_side
 
 # Columns of the given tables in order, with T for text and N for other flat columns.
 COLUMNS = {
@@ -81,7 +81,8 @@ ALL_GUESSES = " UNION ALL ".join(guess_sql(n) for n in TABLES)
 
 
 def all_stats(spark: SparkSession, sf_dir: str) -> dict:
-    return {n: profile.column_stats(table(spark, sf_dir, n)) for n in TABLES}
+    found = side_by_side(spark, lambda n: profile.column_stats(table(spark, sf_dir, n)), TABLES)
+    return dict(zip(TABLES, found, strict=True))
 
 
 def profile_sql(name: str) -> str:
@@ -127,7 +128,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p_guess_text", f'SELECT "table", text_column FROM ({ALL_GUESSES})')
 def guess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, profile.guess_text_column(table(spark, sf_dir, n))) for n in TABLES]
+    guesses = side_by_side(
+        spark, lambda n: profile.guess_text_column(table(spark, sf_dir, n)), TABLES
+    )
+    rows = list(zip(TABLES, guesses, strict=True))
     return spark.createDataFrame(rows, "table string, text_column string")
 
 

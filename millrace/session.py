@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 #: Settings the operators rely on; sizes such as shuffle partitions belong to the cluster.
@@ -49,3 +52,9 @@ def checkpointed(df, label: str):
     path = workspace(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, function: Callable, items: Iterable, jobs: int = 4) -> list:
+    """``function`` of every item, in order, with the Spark jobs of a few items running at once."""
+    with ThreadPoolExecutor(jobs) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(function), items))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.profile import PROFILE_SCHEMA, column_stats, profile_rows
+from millrace.session import side_by_side
 from millrace.sources.tables import coerce_nested, import_table, normalize_names
 
 MAX_ERROR_CHARS = 2000
@@ -50,19 +51,21 @@ def import_many(spark: SparkSession, specs: Iterable[Mapping], out_root: str) ->
 
     A spec holds ``name`` and ``path`` and optionally ``fmt``, ``max_rows``, ``order_by``.
     """
-    rows = []
-    for i, spec in enumerate(specs):
+
+    def row(numbered: tuple[int, Mapping]) -> tuple:
+        i, spec = numbered
         out = f"{out_root}/{i}"
         name, path = spec["name"], spec["path"]
         try:
             table = import_table(
                 spark, path, spec.get("max_rows"), spec.get("order_by"), spec.get("fmt")
             )
-            rows.append(_written(table, out, name, path, spec.get("order_by")))
+            return _written(table, out, name, path, spec.get("order_by"))
         except Exception as error:
             message = str(error)[:MAX_ERROR_CHARS]
-            rows.append((name, path, out, "parquet", None, None, None, "failed", message))
-    return spark.createDataFrame(rows, DATASET_SCHEMA)
+            return (name, path, out, "parquet", None, None, None, "failed", message)
+
+    return spark.createDataFrame(side_by_side(spark, row, enumerate(specs)), DATASET_SCHEMA)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
