@@ -28,8 +28,10 @@ PROFILE_SCHEMA = (
     "name:string,dtype:string,n_unique:bigint,unique_capped:boolean,samples:array<string>"
 )
 
-#: Rows of the first look, of which only hashes and lengths reach the driver.
+#: Rows and cells of the first look, of which only short values, hashes and lengths reach the
+#: driver.
 FIRST_LOOK = 10_000
+FIRST_CELLS = 500_000
 
 #: Estimated distinct count from which a column is first tried on a part of its values.
 _TRY_PART_ABOVE = 4 * MAX_UNIQUE
@@ -103,8 +105,10 @@ def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> Tab
     """
     flat = [f for f in df.schema.fields if not is_nested(f.dataType)]
     texts = [f.name for f in flat if isinstance(f.dataType, T.StringType)]
-    rows, counts, lengths = _look(df, flat, texts)
-    if rows == FIRST_LOOK:
+    # Fewer rows of wide tables, which still can show more than 1000 values.
+    look = max(2 * MAX_UNIQUE, min(FIRST_LOOK, FIRST_CELLS // max(len(flat), 1)))
+    rows, counts, lengths = _look(df, flat, texts, look)
+    if rows == look:
         unproven = [f for f in flat if counts[f.name] < MAX_UNIQUE]
         rows, estimates, lengths = _estimate(df, unproven, texts)
         counts.update(_count_unproven(df, estimates))
@@ -118,13 +122,13 @@ def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> Tab
     return TableStats(rows, tuple(columns))
 
 
-def _look(df: DataFrame, flat: list, texts: list[str]) -> tuple[int, dict, dict]:
+def _look(df: DataFrame, flat: list, texts: list[str], n: int) -> tuple[int, dict, dict]:
     """Rows, distinct counts and mean lengths among the first rows found, in any order."""
     cells = [F.md5(quoted(f.name)) if f.name in texts else as_value(f) for f in flat]
     cells = [c.alias(f"v{i}") for i, c in enumerate(cells)]
     cells += [F.length(quoted(n)).alias(f"l{i}") for i, n in enumerate(texts)]
     # Taking rows reads one partition, then more only if it was too short.
-    head = df.select(F.lit(True), *cells).take(FIRST_LOOK)
+    head = df.select(F.lit(True), *cells).take(n)
     columns = list(zip(*head, strict=True))[1:] if head else [()] * len(cells)
     seen = {f.name: len(set(v) - {None}) for f, v in zip(flat, columns, strict=False)}
     lengths = {}

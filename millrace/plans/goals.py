@@ -266,7 +266,8 @@ CANDIDATES = ["absent", "pages", "labels", "documents", "customer"]
             WHEN 'causal-lm' THEN text_column IS NOT NULL
             WHEN 'tabular-classification' THEN label_column IS NOT NULL AND n_columns >= 2
             ELSE label_column IS NOT NULL AND n_columns >= 2 AND kind = 'N' END)
-    SELECT task, arg_min("table", place) AS repo_id, min(place) - 1 AS n_rejected FROM fits GROUP BY 1
+    SELECT task, arg_min("table", place) AS repo_id, (min(place) - 1)::BIGINT AS n_rejected
+    FROM fits GROUP BY 1
     """,
 )
 def first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
