@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import not_blank
 from millrace.operators import filters, profile
 from millrace.operators.filters import check_fit
 from millrace.functions.goals import TASK_NAMES

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import HASH_RANGE, hash32, words
+from millrace.functions.text import HASH_RANGE, words
 from millrace.operators import corpus, evaluate, features, tasks, train
 from millrace.plans.common import nulled, query, table
-from millrace.plans.profiling import columns_of, stats_sql
+from millrace.plans.profiling import stats_sql
 from millrace.session import workspace
 
 SEED = 42

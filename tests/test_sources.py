@@ -3,7 +3,6 @@ from __future__ import annotations
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.session import workspace
 from millrace.sources import datasets, jsonlines, tables
