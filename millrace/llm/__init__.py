@@ -3,7 +3,16 @@
 Nothing else in the library imports this subpackage.
 """
 
-from millrace.llm import curriculum, language_id, order_minhash, prefix_bpe, toxicity  # noqa: F401
+from millrace.llm import (  # noqa: F401
+    curriculum,
+    language_id,
+    multi_index,
+    order_minhash,
+    prefix_bpe,
+    rendezvous,
+    toxicity,
+    warc,
+)
 from millrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

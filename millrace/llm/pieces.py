@@ -8,7 +8,6 @@ one; most occur again and again and are encoded once per Python worker.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,21 +31,20 @@ class Cache(dict):
     Keys are chunks without their leading space. At ``most`` entries it starts anew.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 500_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 300_000):
         super().__init__()
         self.encode, self.most = encode, most
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = array("I", self.encode(" " + key)).tobytes()
-        self[key] = found
+        found = self[key] = self.encode(" " + key)
         return found
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text."""
         parts = _SAFE.split(text) if _LONE.search(text) else text.split(" ")
-        head = array("I", self.encode(parts[0])).tobytes() if parts[0] else b""
+        head = self.encode(parts[0]) if parts[0] else b""
         return head + b"".join(map(self.__getitem__, parts[1:]))
 
 

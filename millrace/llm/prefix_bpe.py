@@ -10,7 +10,9 @@ the entries before it as they are.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,24 +25,46 @@ from millrace.llm.pieces import Cache, chunks, id_lists, texts
 from millrace.llm.registry import query, table
 
 
+class _Halves(dict):
+    """The two tokens whose merge makes a token: (-1, -1) for a byte, None if merging never makes it."""
+
+    def __init__(self, encoder: PrefixEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, token: int) -> tuple[int, int] | None:
+        piece, made = self.encoder.bytes[token], (-1, -1)
+        if len(piece) > 1:
+            parts = self.encoder.merged(piece, 2)
+            made = tuple(parts) if len(parts) == 2 and self.encoder.merged(piece) == [token] else None
+        self[token] = made
+        return made
+
+
 class PrefixEncoder:
     """Encoder and decoder for a table of token bytes and ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
+        import ahocorasick
         import regex
 
         self.ranks, self.most = ranks, most
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.match = regex.compile(pattern).findall
-        self.last: dict[bytes, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.plain: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.done: dict[str, bytes] = {}
+        self.halves = _Halves(self)
+        # Finds all tokens that end at each byte; bytes are put as characters of the same number.
+        self.tokens = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.tokens.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.tokens.make_automaton()
         size = max(self.bytes, default=-1) + 1
         lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)], np.int64)
         self.lengths, self.begins = lengths, np.cumsum(lengths) - lengths
         self.blob = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
-        self.cache = Cache(self.encode_chunk, most)
+        self.cache = Cache(self.encode_chunk, most // 2)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> PrefixEncoder:
@@ -48,10 +72,13 @@ class PrefixEncoder:
             pairs = [line.split() for line in file if line.strip()]
         return cls({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Encoding by its definition: join the neighbours of lowest rank, leftmost first."""
+    def merged(self, piece: bytes, until: int = 1) -> list[int]:
+        """Encoding by its definition: join the neighbours of lowest rank, leftmost first.
+
+        It ends early when no more than ``until`` parts are left.
+        """
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > until:
             found = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
             low = min((r for r in found if r is not None), default=None)
             if low is None:
@@ -60,35 +87,52 @@ class PrefixEncoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _whole(self, token: int) -> bool:
-        """Whether merging the bytes of a token gives the token."""
-        if token not in self.plain:
-            self.plain[token] = self.merged(self.bytes[token]) == [token]
-        return self.plain[token]
-
     def _follows(self, left: int, token: int) -> bool:
-        """Whether two tokens stay apart when their bytes are merged together."""
-        known = self.pairs.get((left, token))
-        if known is None:
-            if len(self.pairs) >= 2 * self.most:
-                self.pairs.clear()
-            known = self.merged(self.bytes[left] + self.bytes[token]) == [left, token]
-            self.pairs[left, token] = known
-        return known
+        """Whether two tokens stay apart when their bytes are merged together.
+
+        Merges happen in order of rank, so go back in time: as long as the two tokens at the
+        border both exist, a merge across it must not be due before the next merge that takes
+        one of them in. Of equal ranks the one further left is due first.
+        """
+        ranks, names, halves = self.ranks, self.bytes, self.halves
+        due = len(self.lengths) + 1
+        while True:
+            across = ranks.get(names[left] + names[token])
+            if across is not None and across < due:
+                return False
+            # The younger of the two is taken apart; a single byte never is.
+            a, b = halves[left], halves[token]
+            if a[0] >= 0 and (b[0] < 0 or left > token):
+                due, left = left, a[1]
+            elif b[0] >= 0:
+                due, token = token + 1, b[0]
+            else:
+                return True
 
     def extend(self, piece: bytes, table: list[int]) -> list[int]:
         """Add the last token of every longer prefix of ``piece`` to those in ``table``."""
-        ranks, longest = self.ranks, self.longest
-        for n in range(len(table) + 1, len(piece) + 1):
-            for begin in range(max(0, n - longest), n):
-                token = ranks.get(piece[begin:n])
-                if token is None:
+        pairs, halves, done = self.pairs, self.halves, len(table)
+        for end, (token, size) in self.tokens.iter(piece.decode("latin-1"), max(0, done - self.longest + 1)):
+            if end < done:
+                continue
+            if end > done:
+                break
+            begin = end + 1 - size
+            if begin:
+                pair = table[begin - 1] << 32 | token
+                apart = pairs.get(pair)
+                if apart is None:
+                    if len(pairs) >= self.most:
+                        pairs.clear()
+                    apart = pairs[pair] = halves[token] is not None and self._follows(table[begin - 1], token)
+                if not apart:
                     continue
-                if self._follows(table[begin - 1], token) if begin else self._whole(token):
-                    table.append(token)
-                    break
-            else:
-                raise ValueError("no token of the table ends here; single bytes are missing")
+            elif halves[token] is None:
+                continue
+            table.append(token)
+            done += 1
+        if done < len(piece):
+            raise ValueError("no token of the table ends here; single bytes are missing")
         return table
 
     def chain(self, table: list[int]) -> list[int]:
@@ -104,28 +148,21 @@ class PrefixEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(piece) > 48:
-            return self.chain(self.extend(piece, []))
-        # Short pieces share the entries of their prefixes.
-        last, n = self.last, len(piece) - 1
-        if len(last) >= self.most:
-            last.clear()
-        while n and piece[:n] not in last:
-            n -= 1
-        if n:
-            table = [last[piece[:i]] for i in range(1, n + 1)]
-        else:
-            table = []
-        self.extend(piece, table)
-        for i in range(n + 1, len(piece) + 1):
-            last[piece[:i]] = table[i - 1]
-        return self.chain(table)
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.match(chunk):
-            out += self.piece(piece.encode())
-        return out
+        return self.chain(self.extend(piece, []))
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk as little-endian 32-bit bytes; short matches are kept for later chunks."""
+        done, out = self.done, []
+        for match in self.match(chunk):
+            ids = done.get(match)
+            if ids is None:
+                ids = array("I", self.piece(match.encode())).tobytes()
+                if len(match) <= 48:
+                    if len(done) >= self.most:
+                        done.clear()
+                    done[match] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.cache.ids(text), np.uint32).tolist()
@@ -196,7 +233,11 @@ class EditedText:
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> PrefixEncoder:
     """One encoder, with its caches, for all tasks of a Python worker."""
-    return PrefixEncoder.load(path, pattern)
+    encoder = PrefixEncoder.load(path, pattern)
+    # Its tables live as long as the worker; without this every full collection walks them.
+    gc.freeze()
+    gc.set_threshold(50_000, 20, 50)
+    return encoder
 
 
 def vocabulary() -> tuple[str, str]:
