@@ -5,11 +5,13 @@ Nothing else in the library imports this subpackage.
 
 from millrace.llm import (  # noqa: F401
     curriculum,
+    itq,
     language_id,
     multi_index,
     order_minhash,
     prefix_bpe,
     rendezvous,
+    repair,
     toxicity,
     warc,
 )
