@@ -200,7 +200,9 @@ def _encoder(path: str, pattern: str) -> WordEncoder:
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     encoder = WordEncoder(path, pattern)
+    # The tables live as long as the worker; a full collection need not walk them.
     gc.freeze()
+    gc.set_threshold(100_000, 50, 100)
     return encoder
 
 
