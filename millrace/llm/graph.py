@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from millrace.session import checkpointed
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    return checkpointed(df, label)
-
-
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every node that has a link.
 
@@ -20,7 +16,7 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFr
     of the number of nodes. A node with very many links is a hot key of a join that AQE
     splits, never a list. Null ends and loops are ignored.
     """
-    edges = _written(
+    edges = checkpointed(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct(),
@@ -29,13 +25,13 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFr
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = _written(
+        low = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = checkpointed(
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
             "large",
         )
-        low = _written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        edges = _written(
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = checkpointed(
             large.join(low, "u")
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -92,13 +92,11 @@ def _sketch_batches(k: int, sketches: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, runs, begin in _runs(batch.column(1), k):
-                found = sketch(runs, begin, sketches, minima)
-                rows = np.flatnonzero(np.diff(begin) > 0)
-                if not len(rows):
-                    continue
-                keys = batch.column(0).take(pa.array(np.repeat(start + rows, sketches)))
+                found = sketch(runs, begin, sketches, minima).view(np.int64)
+                edges = pa.array(np.arange(len(found) + 1, dtype=np.int32) * sketches)
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(found[rows].ravel().view(np.int64))], names=["key", "h"]
+                    [batch.column(0).slice(start, len(found)), pa.ListArray.from_arrays(edges, pa.array(found.ravel()))],
+                    names=["key", "marks"],
                 )
 
     return run
@@ -126,14 +124,18 @@ def classes(
     threshold: float = 0.8,
     sketches: int = 16,
     minima: int = 2,
-    rounds: int = 6,
+    agree: int = 3,
+    rounds: int = 3,
 ) -> DataFrame:
     """``id``, ``key`` (MD5 of the text), ``class_key``, ``class_id`` (smallest id), ``n_texts``.
 
-    One row per input row. Equal texts are one node from the start. Within the texts that share
-    a sketch, all are aligned with the smallest; those that fail meet among themselves again,
-    ``rounds`` times at most, so work in a group of n copies grows with n and not with its
-    square. A pair missed in one sketch has ``sketches - 1`` others. Links join to classes.
+    One row per input row. Equal texts are one node from the start. Texts that share a sketch
+    meet their smallest, the pivot; a pair goes on if it agrees on ``agree`` of all sketches
+    (a pair at the threshold of 0.8 falls short of three once in 30,000). Each text is first
+    aligned with its smallest pivot; of the other pairs only those are aligned that these links
+    have not joined yet, so a large group of copies costs about one alignment per text. What
+    stays apart from its pivot meets again among itself, ``rounds`` times in all. Links join to
+    classes. A pair missed in one sketch has ``sketches - 1`` others.
 
     Null texts and texts without words link with nothing, null ones not even with each other:
     their ``key`` is null and their class is their own id. Texts differ by every byte; runs
@@ -144,42 +146,70 @@ def classes(
         "key", F.when(F.col("text").rlike(r"[^\x00-\x20]"), F.unhex(F.md5("text")))
     )
     worded = rows.where(F.col("key").isNotNull())
-    members = checkpointed(
+    marked = checkpointed(
         worded.select("key", F.lower("text").alias("text"))
-        .mapInArrow(_sketch_batches(k, sketches, minima), "key binary, h bigint")
-        .distinct(),
+        .mapInArrow(_sketch_batches(k, sketches, minima), "key binary, marks array<bigint>"),
         "sketches",
     )
-    texts, links, tested = None, None, None
+    marks = marked.groupBy("key").agg(F.first("marks").alias("marks"))
+    members = marked.select("key", F.explode("marks").alias("h")).distinct()
+    texts, links, labels = None, None, None
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        other = texts.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
+        found = pairs.select("key", "pivot").join(texts, "key").join(other, "pivot").select("key", "pivot", "text", "other")
+        found = found.mapInArrow(_align_batches(k, threshold), "key binary, pivot binary, same boolean")
+        return checkpointed(found.where("same").select("key", "pivot"), "links")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends the first links do not join."""
+        of_key = labels.select("key", F.col("root").alias("root_key"))
+        of_pivot = labels.select(F.col("key").alias("pivot"), F.col("root").alias("root_pivot"))
+        return (
+            pairs.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
+            .where(F.coalesce("root_key", "key") != F.coalesce("root_pivot", "pivot"))
+            .select(*pairs.columns)
+        )
+
     for _ in range(rounds):
         stars = checkpointed(
-            members.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "stars"
+            members.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "stars"
         )
-        members = checkpointed(members.join(stars.select("h", "pivot"), "h").where("key != pivot"), "members")
+        members = checkpointed(members.join(stars, "h").where("key != pivot"), "members")
         pairs = members.select("key", "pivot").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["key", "pivot"], "left_anti")
-        pairs = checkpointed(pairs, "pairs")
+        if labels is not None:
+            pairs = apart(pairs)
+        theirs = marks.select(F.col("key").alias("pivot"), F.col("marks").alias("theirs"))
+        shared = F.aggregate(
+            F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x
+        )
+        pairs = checkpointed(
+            pairs.join(marks, "key").join(theirs, "pivot").select("key", "pivot", (shared >= agree).alias("likely")), "pairs"
+        )
+        likely = pairs.where("likely").drop("likely")
         if pairs.isEmpty():
             break
         if texts is None:
-            wanted = pairs.select("key").unionByName(pairs.select(F.col("pivot").alias("key"))).distinct()
+            # Whatever may pass later on shares at least so many sketches with others.
+            held = members.select("h", "key").unionByName(stars.select("h", F.col("pivot").alias("key")))
+            wanted = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
             texts = checkpointed(
-                worded.select("key", F.lower("text").alias("text"))
-                .join(wanted, "key", "left_semi")
-                .dropDuplicates(["key"]),
+                worded.select("key", F.lower("text").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]),
                 "texts",
             )
-        other = texts.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
-        judged = checkpointed(
-            pairs.join(texts, "key").join(other, "pivot").select("key", "pivot", "text", "other").mapInArrow(
-                _align_batches(k, threshold), "key binary, pivot binary, same boolean"
-            ),
-            "judged",
-        )
-        tested = judged if tested is None else tested.unionByName(judged)
-        links = judged.where("same") if links is None else links.unionByName(judged.where("same"))
-        members = members.join(tested.where("same"), ["key", "pivot"], "left_anti").select("h", "key")
+            first = judge(likely.groupBy("key").agg(F.min("pivot").alias("pivot")))
+            # Every text hangs below a smaller one: two hops reach most roots.
+            up = first.select(F.col("key").alias("pivot"), F.col("pivot").alias("above"))
+            hop = first.join(up, "pivot", "left").select("key", F.coalesce("above", "pivot").alias("root"))
+            hop = checkpointed(hop, "hop")
+            again = hop.select(F.col("key").alias("root"), F.col("root").alias("above"))
+            labels = checkpointed(
+                hop.join(again, "root", "left").select("key", F.coalesce("above", "root").alias("root")), "labels"
+            )
+            pairs, likely, links = checkpointed(apart(pairs), "pairs"), apart(likely), first
+        new = judge(likely)
+        links = links.unionByName(new)
+        members = members.join(pairs.select("key", "pivot").join(new, ["key", "pivot"], "left_anti"), ["key", "pivot"]).select("h", "key")
     if links is None:
         groups = worded.sparkSession.createDataFrame([], "node binary, component binary")
     else:
