@@ -74,7 +74,7 @@ def fingerprint(server: Column, tool: Column, args: Column) -> Column:
         json = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
         return once(json, lambda text: F.substring(text, F.lit(6), F.length(text) - 6))
 
-    parts = F.concat_ws(",", quoted(server), quoted(tool), args)
+    parts = F.concat_ws(",", quoted(server), quoted(tool), F.coalesce(args, F.lit("null")))
     return F.sha2(F.concat(F.lit("["), parts, F.lit("]")), 256)
 
 

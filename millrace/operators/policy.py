@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.globs import glob_regex
+from millrace.session import checkpointed
 
 # Tiers, limits and the built-in rule packs (glob patterns per tier, in order).
 TIERS = ("pass", "undoable", "hold")
@@ -208,22 +209,40 @@ def escalate(
 def expose_tools(tools: DataFrame, control_prefix: str = "audit_") -> DataFrame:
     """Names under which tools are offered: ``(exposed, server, tool)``.
 
-    ``tools`` has ``server, tool, attach_order``, which is unique. The first tool of a name
-    keeps it, others get their server's name in front, and three control tools are added.
+    ``tools`` has ``server, tool, attach_order``, which is unique. A tool keeps its name unless
+    an earlier one is offered under it, by its own name or with its server's name in front; it
+    then gets its server's name in front. Three control tools are added and win their names.
     """
     # The first holder per name is an aggregate; ranking a common name would need one task.
     first = tools.groupBy("tool").agg(F.min("attach_order").alias("first"))
-    flat = F.col("attach_order") == F.col("first")
-    prefixed = F.concat_ws("__", "server", "tool")
-    named = tools.join(first, "tool").select(
-        F.when(flat, F.col("tool")).otherwise(prefixed).alias("exposed"), "server", "tool",
-        "attach_order",
+    named = tools.join(first, "tool").withColumns(
+        {"prefixed": F.concat_ws("__", "server", "tool"), "flat": F.col("attach_order") == F.col("first")}
+    )
+    # A prefixed name may take the name of a later tool, which is then prefixed itself and may
+    # do the same. Names get longer every time, so this ends.
+    moved = -1
+    while (now := named.where(~F.col("flat")).count()) != moved:
+        moved = now
+        taken = (
+            named.where(~F.col("flat"))
+            .groupBy(F.col("prefixed").alias("tool"))
+            .agg(F.min("attach_order").alias("taken"))
+        )
+        free = F.col("taken").isNull() | (F.col("taken") >= F.col("attach_order"))
+        named = checkpointed(
+            named.join(taken, "tool", "left").withColumn("flat", F.col("flat") & free).drop("taken"), "tool-names"
+        )
+    named = named.select(
+        F.when(F.col("flat"), F.col("tool")).otherwise(F.col("prefixed")).alias("exposed"),
+        "server", "tool", "attach_order",
     )
     # The last tool attached under an exposed name is the one that is called.
     offered = named.groupBy("exposed").agg(
         F.max_by(F.struct("server", "tool"), "attach_order").alias("t")
     ).select("exposed", "t.server", "t.tool")
-    names = F.explode(F.lit([control_prefix + t for t in CONTROL_TOOLS]))
+    controls = [control_prefix + t for t in CONTROL_TOOLS]
+    offered = offered.where(~F.col("exposed").isin(controls))
+    names = F.explode(F.lit(controls))
     control = tools.sparkSession.range(1).select(
         names.alias("exposed"), F.lit(None).cast("string").alias("server"),
     ).withColumn("tool", F.col("exposed"))

@@ -28,11 +28,6 @@ PROFILE_SCHEMA = (
     "name:string,dtype:string,n_unique:bigint,unique_capped:boolean,samples:array<string>"
 )
 
-#: Rows and cells of the first look, of which only short values, hashes and lengths reach the
-#: driver.
-FIRST_LOOK = 10_000
-FIRST_CELLS = 500_000
-
 #: Estimated distinct count from which a column is first tried on a part of its values.
 _TRY_PART_ABOVE = 4 * MAX_UNIQUE
 
@@ -97,21 +92,15 @@ def _text_lengths(df: DataFrame, order_by, sample: int) -> dict[str, float | Non
 def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> TableStats:
     """Row count, distinct counts capped at 1000 and mean text lengths of all columns.
 
-    Exact, with little shuffled. A first look at 10,000 rows finishes small tables and proves
-    the cap of every column that shows 1000 distinct values there. The other columns are
+    Exact, with little shuffled, and the same way for tables of any size. All columns are
     estimated in one scan and counted in a second one, after partial aggregation; where the
     estimate is high a hash-chosen share of the *values* takes part, which proves the cap
     once 1000 of them are seen. Should a share fall short, its column is counted in full.
     """
     flat = [f for f in df.schema.fields if not is_nested(f.dataType)]
     texts = [f.name for f in flat if isinstance(f.dataType, T.StringType)]
-    # Fewer rows of wide tables, which still can show more than 1000 values.
-    look = max(2 * MAX_UNIQUE, min(FIRST_LOOK, FIRST_CELLS // max(len(flat), 1)))
-    rows, counts, lengths = _look(df, flat, texts, look)
-    if rows == look:
-        unproven = [f for f in flat if counts[f.name] < MAX_UNIQUE]
-        rows, estimates, lengths = _estimate(df, unproven, texts)
-        counts.update(_count_unproven(df, estimates))
+    rows, estimates, lengths = _estimate(df, flat, texts)
+    counts = _count_unproven(df, estimates)
     if order_by is not None:
         lengths = _text_lengths(df, order_by, sample)
     columns = []
@@ -122,22 +111,6 @@ def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> Tab
     return TableStats(rows, tuple(columns))
 
 
-def _look(df: DataFrame, flat: list, texts: list[str], n: int) -> tuple[int, dict, dict]:
-    """Rows, distinct counts and mean lengths among the first rows found, in any order."""
-    cells = [F.md5(quoted(f.name)) if f.name in texts else as_value(f) for f in flat]
-    cells = [c.alias(f"v{i}") for i, c in enumerate(cells)]
-    cells += [F.length(quoted(n)).alias(f"l{i}") for i, n in enumerate(texts)]
-    # Taking rows reads one partition, then more only if it was too short.
-    head = df.select(F.lit(True), *cells).take(n)
-    columns = list(zip(*head, strict=True))[1:] if head else [()] * len(cells)
-    seen = {f.name: len(set(v) - {None}) for f, v in zip(flat, columns, strict=False)}
-    lengths = {}
-    for name, values in zip(texts, columns[len(flat):], strict=True):
-        known = [v for v in values if v is not None]
-        lengths[name] = sum(known) / len(known) if known else None
-    return len(head), seen, lengths
-
-
 def _estimate(df: DataFrame, unproven: list, texts: list[str]) -> tuple[int, dict, dict]:
     """Rows, estimated distinct counts and mean lengths of the whole table, in one scan."""
     wanted = [F.count(F.lit(1)).alias("rows")]
@@ -208,7 +181,7 @@ def _first_values(df: DataFrame, name: str, order_by, n: int) -> DataFrame:
     rows = rows.where("value is not null")
     # A limit after a sort keeps n rows per task; a window would sort the whole table.
     order = [f"k{i}" for i in range(len(keys))] or ["value"]
-    return rows.orderBy(*order).limit(n)
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
 
 
 def _text_cell(field: T.StructField) -> Column:
@@ -241,12 +214,12 @@ def _first_rows(df: DataFrame, order_by: str, n: int) -> list:
     """
     key = quoted(order_by)
     keys = [r[0] for r in df.select(key).where(key.isNotNull()).orderBy(key).limit(n).collect()]
-    rows = df.where(key <= F.lit(keys[-1])) if len(keys) == n else df.where(key.isNotNull())
+    rows = df.where(key <= F.lit(keys[-1])) if len(keys) == n else df
     cells = [
         F.substring(_text_cell(f), 1, SAMPLE_CHARS).alias(f"v{i}")
         for i, f in enumerate(df.schema.fields)
     ]
-    return rows.select(key.alias("k"), *cells).orderBy("k").limit(n).drop("k").collect()
+    return rows.select(key.alias("k"), *cells).orderBy(F.col("k").asc_nulls_last()).limit(n).drop("k").collect()
 
 
 def samples(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> DataFrame:

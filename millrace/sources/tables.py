@@ -59,7 +59,7 @@ def read_table(
 
 
 def _read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.json(path)
+    table = spark.read.option("mode", "FAILFAST").json(path)
     # Inference sorts the columns by name; the first record restores their written order.
     first = (
         spark.read.text(path)

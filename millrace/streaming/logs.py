@@ -36,7 +36,7 @@ def poll_logs(
 ) -> DataFrame:
     """Next piece of a log from a byte offset: ``(job, offset, content, next_offset, size)``.
 
-    ``chunks`` has ``job, start, data``: consecutive byte ranges of up to ``max_bytes``.
+    ``chunks`` has ``job, start, data``: consecutive byte ranges of any length.
     Offsets outside the log are moved to its ends. A poll joins only the few chunk ranges it
     can touch, so neither a long log nor a busy one gathers in one task.
     """
@@ -50,8 +50,10 @@ def poll_logs(
     )
     span = F.lit(max_bytes).cast("bigint")
     block = F.floor(F.col("at") / span)
-    touched = asked.withColumn("block", F.explode(F.sequence(block - 1, block + 1)))
-    placed = chunks.withColumn("block", F.floor(F.col("start") / span))
+    touched = asked.withColumn("block", F.explode(F.array(block, block + 1)))
+    # A chunk lies in every block it covers, however large it is.
+    last = F.greatest(F.floor((end - 1) / span), F.floor(F.col("start") / span))
+    placed = chunks.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / span), last)))
     skip = F.greatest(F.col("at") - F.col("start"), F.lit(0)).cast("int")
     take = F.least(F.col("at") + span, end) - F.greatest("at", "start")
     pieces = touched.join(placed, ["job", "block"]).where(
@@ -61,7 +63,7 @@ def poll_logs(
         F.struct("start", F.substring("data", skip + 1, take.cast("int")).alias("data")).alias("p"),
     )
     joined = F.aggregate(
-        F.sort_array(F.collect_list("p")),
+        F.sort_array(F.collect_set("p")),
         F.lit(b""),
         lambda text, piece: F.concat(text, piece["data"]),
     )

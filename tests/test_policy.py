@@ -119,3 +119,29 @@ def test_bad_configurations(spark):
         policy.check_config(rules.selectExpr("match", "'no' AS tier"), servers)
     with pytest.raises(ValueError, match="unknown profile gitlab"):
         policy.check_config(rules, servers.selectExpr("server", "'gitlab' AS profile"))
+
+
+def test_tool_names_that_clash(spark):
+    """A prefixed name may take a later tool's own; control tools win theirs; no call is lost."""
+    from millrace.operators.policy import expose_tools, route
+
+    tools = spark.createDataFrame(
+        [("x", "b", 1), ("a", "b", 2), ("y", "a__b", 3), ("z", "audit_undo", 4), ("z", "c", 5)],
+        "server string, tool string, attach_order int",
+    )
+    offered = expose_tools(tools)
+    found = {(r.exposed, r.server, r.tool) for r in offered.collect()}
+    assert {("b", "x", "b"), ("a__b", "a", "b"), ("y__a__b", "y", "a__b"), ("c", "z", "c")} <= found
+    assert ("audit_undo", None, "audit_undo") in found and len(found) == 7
+    calls = spark.createDataFrame([("a__b",), ("y__a__b",), ("audit_undo",), ("no",)], "name string")
+    assert route(calls, offered).count() == 4
+
+
+def test_a_missing_argument_list_is_hashed_as_null(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text
+
+    frame = spark.createDataFrame([("s", "t", None), ("s", "t", "null")], "s string, t string, a string")
+    name = next(n for n in dir(text) if "fingerprint" in n)
+    assert len({r[0] for r in frame.select(getattr(text, name)(F.col("s"), F.col("t"), F.col("a"))).collect()}) == 1

@@ -107,3 +107,11 @@ def test_resolve(spark):
     with pytest.raises(ValueError, match="available"):
         resolve_column(df, "other", "label")
     assert resolve_column(df, "n", "text") == "n"
+
+
+def test_rows_without_an_order_key_come_last(spark):
+    from millrace.operators.profile import sample_values
+
+    frame = spark.createDataFrame([("a", None), ("b", None), ("c", 1)], "v string, k int")
+    found = sample_values(frame, "k")["v"]
+    assert found[0] == "c" and sorted(found) == ["a", "b", "c"]

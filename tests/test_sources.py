@@ -123,3 +123,25 @@ def test_poll_replaces_broken_text_and_clamps(spark):
         ("j", -5): (f"aéa{bad}", 5, 12), ("j", 2): (f"{bad}aéa", 7, 12), ("j", 12): ("", 12, 12),
         ("j", 99): ("", 12, 12), ("none", 3): ("", 0, 0),
     }
+
+
+def test_polls_read_on_through_a_large_chunk(spark):
+    from millrace.streaming.logs import poll_logs
+
+    data = bytes(97 + i % 26 for i in range(5000))
+    chunks = spark.createDataFrame([("j", 0, bytearray(data[:4200])), ("j", 4200, bytearray(data[4200:]))], "job string, start bigint, data binary")
+    offset, text = 0, ""
+    for _ in range(5):
+        (row,) = poll_logs(chunks, spark.createDataFrame([("j", offset)], "job string, offset bigint"), 1000).collect()
+        text, offset = text + row.content, row.next_offset
+    assert text.encode() == data and offset == 5000
+
+
+def test_a_broken_json_line_is_an_error(spark, tmp_path):
+    import pytest as pt
+
+    from millrace.sources.tables import read_table
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
+    with pt.raises(Exception):
+        read_table(spark, str(tmp_path / "a.jsonl")).collect()
