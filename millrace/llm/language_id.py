@@ -23,6 +23,11 @@ from millrace.session import checkpointed
 BITS = 16
 UNKNOWN = "und"
 
+#: Bytes of lower-case letters, of letters beyond ASCII, of spaces and apostrophes.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz \n'")] = True
+_PLAIN[128:] = True
+
 
 @dataclass
 class TextModel:
@@ -33,12 +38,18 @@ class TextModel:
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram at every byte; the last two bytes of a text have the extra bucket."""
+    """Bucket of the trigram at every byte.
+
+    Digits and signs belong to no language: trigrams with any but letters, spaces and
+    apostrophes have the extra bucket, and so have the last two bytes of a text.
+    """
     out = np.full(len(data), 1 << BITS, np.int64)
     if len(data) > 2:
         b = data.astype(np.uint32)
         code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-        out[:-2] = (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+        plain = _PLAIN[data]
+        hashed = (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+        out[:-2] = np.where(plain[:-2] & plain[1:-1] & plain[2:], hashed, 1 << BITS)
     ends = offsets[1:]
     for back in (1, 2):
         out[np.maximum(ends - back, 0)[ends - back >= 0]] = 1 << BITS
@@ -51,14 +62,15 @@ def evidence(model: TextModel, data: np.ndarray, offsets: np.ndarray, strength:
     Neighbouring trigrams are far from independent, so the mean over the whole text counts as
     often as there are trigrams, but never more than ``strength`` times.
     """
-    count = np.maximum(np.diff(offsets) - 2, 0)
     grams = trigrams(data, offsets)
+    before = np.concatenate([[0], np.cumsum(grams < 1 << BITS)])
+    count = before[offsets[1:]] - before[offsets[:-1]]
     out = np.zeros((len(count), len(model.tables)))
-    full = np.flatnonzero(count > 0)
+    full = np.flatnonzero(np.diff(offsets) > 0)
     if len(full):
         for n, row in enumerate(model.tables):
             out[full, n] = np.add.reduceat(row[grams], offsets[:-1][full], dtype=np.float64)
-        out[full] *= (np.minimum(count[full], strength) / count[full])[:, None]
+        out[full] *= (np.minimum(count[full], strength) / np.maximum(count[full], 1))[:, None]
     return out
 
 
@@ -83,10 +95,10 @@ def fit(texts: list[str], names: list[str], smoothing: float = 0.5, margin: floa
         tables = np.log(counts / counts[:, :-1].sum(axis=1, keepdims=True))
     tables[:, -1] = 0
     means = [
-        tables[languages.index(names[start + row])][grams[a:b]].sum() / (b - a - 2)
+        tables[languages.index(names[start + row])][grams[a:b]].sum() / (grams[a:b] < 1 << BITS).sum()
         for start, _, grams, offsets in parts
         for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:]))
-        if b - a > 32
+        if (grams[a:b] < 1 << BITS).sum() > 32
     ]
     tables[-1, :-1] = (np.quantile(means, 0.001) if means else -np.log(1 << BITS)) - margin
     return TextModel(languages, tables.astype(np.float32))
@@ -161,7 +173,7 @@ def identify(
 
     ``declared`` names a language in its own words, ``host`` is a host name; its last label is
     the address suffix, its last two the domain. A row's own posterior is taken out of the
-    counts of its host. Missing evidence (null) says nothing; a text of fewer than three bytes
+    counts of its host. Missing evidence (null) says nothing; a text without trigrams
     says nothing either, so such a row gets its other evidence's language, or that of the
     prior. With no known language every row is ``und``. Repeated rows get equal answers; extra
     columns stay, columns of the three names are replaced.
