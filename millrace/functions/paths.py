@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 PATH_WORDS = re.compile("path|file|dir|folder|source|destination|target|dest", re.IGNORECASE)
 
 
-def _paths(text: str | None) -> list[str]:
+def _paths(text: str | None) -> list[str] | None:
     try:
         root = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
+    except RecursionError:
+        return None
     found: dict[str, None] = {}
     pending = [("", root)]
     while pending:
@@ -36,6 +38,7 @@ def _paths(text: str | None) -> list[str]:
 def extract_paths(args: pd.Series) -> pd.Series:
     """Absolute paths under path-like keys at any depth, in first-seen order.
 
-    No built-in function descends into JSON of unknown depth, hence the Arrow batches.
+    Null where the nesting is too deep to tell: such an action must not count as one without
+    paths. No built-in function descends into JSON of unknown depth, hence the Arrow batches.
     """
     return args.map(_paths)

@@ -48,12 +48,12 @@ def build_texts(df: DataFrame, hp: dict | None = None, order_by=None) -> DataFra
 def lm_split(df: DataFrame, fraction: float, seed: int, key: str | Column) -> DataFrame:
     """Held-out flag for a text corpus; none are held out below 20 rows.
 
-    The fraction is limited to 0..0.5. The row count stops at 20 rows read.
+    The fraction is limited to 0..0.5, and ``ceil(fraction * rows)`` rows are held out.
     """
     fraction = min(max(fraction, 0.0), MAX_EVAL_FRACTION)
     if fraction <= 0 or df.limit(MIN_EVAL_ROWS).count() < MIN_EVAL_ROWS:
         return df.withColumn(TEST, F.lit(False))
-    return split(df, fraction, seed, key)
+    return split(df, fraction, seed, key, exact=True)
 
 
 def turns_to_pairs(turns: DataFrame, bits: int = SLICE_BITS) -> DataFrame:

@@ -133,7 +133,8 @@ def run_job(spark: SparkSession, job: Mapping, dataset: Mapping | None, out: str
     return done
 
 
-# Hyperparameters of the built-in tasks and their defaults.
+# Hyperparameters of the built-in tasks and their defaults. Those of fine-tuning
+# (learning_rate to merge_adapter) are kept with a job for a trainer outside; nothing here reads them.
 _TABULAR = (
     Param("label_column", "str", ""),
     Param("n_estimators", "int", 300),
@@ -171,6 +172,8 @@ for _task in (
             Param("text_column", "str", ""),
             Param("label_column", "str", ""),
             Param("epochs", "float", 3.0),
+            Param("learning_rate", "float", 5e-5),
+            Param("batch_size", "int", 16),
             Param("max_length", "int", 256),
             Param("eval_fraction", "float", 0.1),
             Param("seed", "int", 42),
@@ -183,7 +186,14 @@ for _task in (
             Param("text_column", "str", ""),
             Param("prompt_column", "str", ""),
             Param("response_column", "str", ""),
+            Param("epochs", "float", 1.0),
+            Param("learning_rate", "float", 2e-4),
+            Param("batch_size", "int", 2),
+            Param("gradient_accumulation", "int", 8),
             Param("max_length", "int", 512),
+            Param("lora_r", "int", 16),
+            Param("lora_alpha", "int", 32),
+            Param("merge_adapter", "bool", True),
             Param("eval_fraction", "float", 0.05),
             Param("seed", "int", 42),
         ),

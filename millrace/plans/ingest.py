@@ -26,6 +26,7 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size,
            CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS price,
            CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS p_type,
+           '90000000000000000000' || lpad(p_partkey::VARCHAR, 12, '0') AS wide,
            p_size > 25 AS large, p_name || ', "' || p_brand || '"' AS quoted
     FROM part
     """,
@@ -42,6 +43,7 @@ def read_csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_retailprice").cast("string"))
         .alias("price"),
         F.when(F.col("p_partkey") % 5 == 0, missing).otherwise(F.col("p_type")).alias("p_type"),
+        F.concat(F.lit("9" + "0" * 19), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("wide"),
         (F.col("p_size") > 25).alias("large"),
         F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("quoted"),
     )
@@ -84,13 +86,15 @@ def read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_read_json_array", NATION_LONG)
 def read_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "json-array")
-    # One document of ten records per file.
+    # Documents of ten records per file, and one file with a record per line.
+    nation = table(spark, sf_dir, "nation")
     documents = (
-        table(spark, sf_dir, "nation")
+        nation.where("n_nationkey < 20")
         .groupBy(F.floor(F.col("n_nationkey") / 10).alias("part"))
         .agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("d"))
     )
     documents.write.partitionBy("part").text(path)
+    nation.where("n_nationkey >= 20").coalesce(1).write.json(f"{path}/lines")
     return tables.read_table(spark, f"{path}/*", "json").drop("part")
 
 

@@ -240,18 +240,21 @@ def _spec_sql() -> str:
       SELECT event_id AS job, [{sql_list(TASK_NAMES)}][event_id % 4 + 1] AS task,
              {{'n_estimators': user_id::VARCHAR, 'max_depth': '3.7', 'seed': '',
                'test_size': value::VARCHAR, 'eval_fraction': event_type, 'label_column': event_type,
-               'max_length': ' ' || user_id || ' '}} AS v
+               'max_length': ' ' || user_id || ' ',
+               'merge_adapter': ['Yes', 'off', ''][event_id % 3 + 1]}} AS v
       FROM events),
     given AS (
       SELECT job, spec.task, name, type, dflt, CASE name
         WHEN 'n_estimators' THEN v.n_estimators WHEN 'max_depth' THEN v.max_depth
         WHEN 'seed' THEN v.seed WHEN 'test_size' THEN v.test_size
         WHEN 'eval_fraction' THEN v.eval_fraction WHEN 'label_column' THEN v.label_column
-        WHEN 'max_length' THEN v.max_length END AS g
+        WHEN 'max_length' THEN v.max_length
+        WHEN 'merge_adapter' THEN v.merge_adapter END AS g
       FROM jobs JOIN {_spec_sql()} ON jobs.task = spec.task)
     SELECT job, task, name,
            CASE WHEN type <> 'float' THEN
              CASE WHEN type = 'int' AND regexp_matches(g, '^\\s*[0-9]+\\s*$') THEN trim(g)
+                  WHEN type = 'bool' AND g <> '' THEN (g = 'Yes')::VARCHAR
                   WHEN type = 'str' AND g <> '' THEN g ELSE dflt END END AS value,
            CASE WHEN type = 'float' THEN round(coalesce(TRY_CAST(g AS DOUBLE), dflt::DOUBLE), 6) END AS number
     FROM given
@@ -264,6 +267,7 @@ def merge_hp(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_estimators": user, "max_depth": F.lit("3.7"), "seed": F.lit(""),
         "test_size": F.col("value").cast("string"), "eval_fraction": kind, "label_column": kind,
         "max_length": F.concat(F.lit(" "), user, F.lit(" ")), "unheard_of": kind,
+        "merge_adapter": F.get(F.array(F.lit("Yes"), F.lit("off"), F.lit("")), (F.col("event_id") % 3).cast("int")),
     }
     pairs = [c for k, v in values.items() for c in (F.lit(k), v)]
     jobs = table(spark, sf_dir, "events").select(

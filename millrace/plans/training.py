@@ -493,7 +493,15 @@ def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "x_lm_split",
     f"""
-    SELECT 'documents' AS src, doc_id AS id, {held_out_sql('doc_id', 0.5)} AS is_test FROM documents
+    SELECT 'documents' AS src, doc_id AS id,
+           row_number() OVER (ORDER BY {bucket_sql('doc_id', SEED)}, doc_id::VARCHAR)
+             <= ceil(count(*) OVER () * 0.5) AS is_test
+    FROM documents
+    UNION ALL
+    SELECT 'nations', n_nationkey,
+           row_number() OVER (ORDER BY {bucket_sql('n_nationkey::BIGINT', SEED)}, n_nationkey::VARCHAR)
+             <= ceil(count(*) OVER () * 0.05)
+    FROM nation
     UNION ALL SELECT 'none', doc_id, false FROM documents
     UNION ALL SELECT 'regions', r_regionkey, false FROM region
     """,
@@ -501,7 +509,12 @@ def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"))
-    cases = (("documents", documents, 0.9), ("none", documents, -1.0), ("regions", regions, 0.3))
+    nations = table(spark, sf_dir, "nation")
+    nations = nations.select(F.col("n_nationkey").cast("bigint").alias("id"))
+    cases = (
+        ("documents", documents, 0.9), ("nations", nations, 0.05),
+        ("none", documents, -1.0), ("regions", regions, 0.3),
+    )
     out = None
     for name, rows, fraction in cases:
         part = corpus.lm_split(rows, fraction, SEED, "id").select(F.lit(name).alias("src"), "*")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,15 +53,13 @@ def read_table(
     if fmt == "jsonl":
         return _read_json_lines(spark, path)
     if fmt == "json":
-        if _holds_array(spark, path):
-            return spark.read.option("multiLine", True).json(path)
-        return _read_json_lines(spark, path)
+        return _read_json(spark, path)
     if fmt in ("csv", "tsv"):
         return _read_delimited(spark, path, "\t" if fmt == "tsv" else ",", multiline)
     raise UnsupportedFormat(f"Unsupported format '{fmt}'. Use {ACCEPTED}.")
 
 
-def _read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+def _read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     table = spark.read.option("mode", "FAILFAST").json(path)
     # Inference sorts the columns by name; the first record restores their written order.
     first = (
@@ -73,10 +74,45 @@ def _read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _holds_array(spark: SparkSession, path: str) -> bool:
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Every file is an array of records or has one record per line; a folder may hold both."""
     # Records end at "{" so that a document on one huge line is not read whole.
-    head = spark.read.option("lineSep", "{").text(path).select(F.substring("value", 1, 64)).head()
-    return head is not None and head[0].lstrip("﻿ \t\r\n").startswith("[")
+    records = spark.read.option("lineSep", "{").text(path)
+    opening = F.regexp_extract("value", r"^[\uFEFF\s]*(\S)", 1) == "["
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    kinds = (
+        records.select(F.col("_metadata.file_path").alias("file"), place.alias("at"), opening.alias("array"))
+        .groupBy("file").agg(F.min_by("array", "at").alias("array"))
+    )
+    files = [(_literal(r.file), r.array) for r in kinds.collect()]
+    arrays = [f for f, array in files if array]
+    lines = [f for f, array in files if not array]
+    if not arrays:
+        return _read_json_lines(spark, path)
+    document = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    if not lines:
+        return document.json(path)
+    return _stack(document.json(arrays), _read_json_lines(spark, lines))
+
+
+def _literal(uri: str) -> str:
+    """A file's address as a path that the reader takes as it is."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _stack(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both; columns whose types have no common number type become text."""
+    for name in [n for n in a.columns if n in b.columns]:
+        kinds = [df.schema[name].dataType for df in (a, b)]
+        if kinds[0] != kinds[1] and not all(isinstance(k, T.NumericType) for k in kinds):
+            a, b = (_as_text(df, name) for df in (a, b))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _as_text(df: DataFrame, name: str) -> DataFrame:
+    cell = F.col(f"`{name}`")
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
+    return df.withColumn(name, F.to_json(cell) if nested else cell.cast("string"))
 
 
 def _read_delimited(
@@ -96,7 +132,10 @@ def _read_delimited(
 
 
 def infer_types(raw: DataFrame) -> DataFrame:
-    """Type text columns: missing words become null, then the narrowest type that fits all."""
+    """Type text columns: missing words become null, then the narrowest type that fits all.
+
+    A column of whole numbers with any beyond 64 bits stays text, as a double would merge ids.
+    """
     cells = {n: _present(n) for n in raw.columns}
     checks = []
     for i, cell in enumerate(cells.values()):
@@ -104,6 +143,7 @@ def infer_types(raw: DataFrame) -> DataFrame:
             F.count(cell).alias(f"n{i}"),
             # The pattern first: a cast that fails costs far more than a test.
             F.count(F.when(cell.rlike(WHOLE_TEXT), cell.try_cast("bigint"))).alias(f"bigint{i}"),
+            F.count_if(cell.rlike(WHOLE_TEXT)).alias(f"whole{i}"),
             F.count_if(cell.rlike(f"(?i){DECIMAL_TEXT}")).alias(f"double{i}"),
             F.count_if(cell.rlike(BOOLEAN_TEXT)).alias(f"boolean{i}"),
         ]
@@ -114,6 +154,8 @@ def infer_types(raw: DataFrame) -> DataFrame:
         fits = (t for t in ("bigint", "double", "boolean") if counts[f"{t}{i}"] == n)
         # A column without any value is numeric, as an all-missing column of floats.
         target = "double" if n == 0 else next(fits, "string")
+        if target == "double" and n > 0 and counts[f"whole{i}"] == n:
+            target = "string"
         typed.append(cell.try_cast(target).alias(name))
     return raw.select(*typed)
 

@@ -25,12 +25,14 @@ def stream_replay(events: DataFrame, folder: str, checkpoint: str, **trigger):
     return write_updates(replay(events), folder, checkpoint, **trigger)
 
 
-def stream_commands(commands: DataFrame, folder: str, checkpoint: str, **trigger):
+def stream_commands(
+    commands: DataFrame, folder: str, checkpoint: str, agents_may_commit: bool = False, **trigger
+):
     """Keep the deciding commands of every action; join them with ``after_commands``.
 
     The checkpoint sees to it that each command line counts once.
     """
-    return write_updates(first_commands(commands), folder, checkpoint, **trigger)
+    return write_updates(first_commands(commands, agents_may_commit), folder, checkpoint, **trigger)
 
 
 def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):

@@ -103,6 +103,10 @@ def test_corpus_split_needs_twenty_rows(spark, rows, held_out):
     assert corpus.lm_split(spark.range(rows), 0.0, 42, "id").where("is_test").count() == 0
 
 
+def test_small_corpus_holds_out_one_row(spark):
+    assert corpus.lm_split(spark.range(20), 0.05, 42, "id").where("is_test").count() == 1
+
+
 def birds(spark):
     """150 rows like the usual sample of three species."""
     rnd = random.Random(9)

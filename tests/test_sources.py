@@ -145,3 +145,25 @@ def test_a_broken_json_line_is_an_error(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
     with pt.raises(Exception):
         read_table(spark, str(tmp_path / "a.jsonl")).collect()
+
+
+def test_json_folder_of_arrays_and_lines(spark):
+    path = write(spark, "a.json", '\n [{"k": 1, "v": 2}, {"k": 2, "v": 3}]')
+    with open(f"{os.path.dirname(path)}/b [x].json", "w", encoding="utf-8") as f:
+        f.write('{"k": 3, "v": "x"}\n{"k": 4, "w": true}\n')
+    rows = tables.read_table(spark, os.path.dirname(path), "json").orderBy("k").collect()
+    assert [(r.k, r.v, r.w) for r in rows] == [(1, "2", None), (2, "3", None), (3, "x", None), (4, None, True)]
+
+
+def test_whole_numbers_beyond_64_bits_stay_apart(spark):
+    path = write(spark, "t.csv", "a,b\n90000000000000000000001,1\n90000000000000000000002,9223372036854775808.5\n")
+    df = tables.read_table(spark, path)
+    assert dict(df.dtypes) == {"a": "string", "b": "double"}
+    assert df.select("a").distinct().count() == 2
+
+
+def test_empty_import_leaves_no_folder(spark):
+    out = workspace(spark, "empty")
+    with pytest.raises(datasets.EmptyImport):
+        datasets.finalize(spark.createDataFrame([], "a int"), out)
+    assert not os.path.exists(out)
