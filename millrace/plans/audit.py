@@ -274,13 +274,16 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXPIRY_WINDOW = 3 * 3600 * 1000
 
-# Every fifth event is an action; some later events change it at once, others after the window.
+# Every fifth event is an action; some later events change it at once, others after the window,
+# the rest change actions that nobody knows.
 EXPIRY_LINES = """
     SELECT event_id AS seq, ts, CASE WHEN event_id % 5 = 0 THEN 'action' ELSE 'transition' END AS kind,
-           'a' || event_id - event_id % 5 - CASE WHEN event_id % 15 = 8 THEN 100 ELSE 0 END AS id,
+           CASE WHEN event_id % 5 = 0 OR event_id % 15 IN (7, 8)
+                THEN 'a' || event_id - event_id % 5 - CASE WHEN event_id % 15 = 8 THEN 100 ELSE 0 END
+                ELSE 'unknown' || event_id END AS id,
            CASE WHEN event_id % 5 <> 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'passed'
                 ELSE 'applied' END AS status
-    FROM events WHERE event_id % 5 = 0 OR event_id % 15 IN (7, 8)
+    FROM events
 """
 
 
@@ -301,10 +304,12 @@ def expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     owner = key - key % 5 - F.when(key % 15 == 8, 100).otherwise(0)
     status = F.when(key % 5 != 0, "failed").when(key % 3 == 0, "passed").otherwise("applied")
-    lines = table(spark, sf_dir, "events").where((key % 5 == 0) | (key % 15).isin(7, 8)).select(
+    known = (key % 5 == 0) | (key % 15).isin(7, 8)
+    lines = table(spark, sf_dir, "events").select(
         key.alias("seq"),
         F.when(key % 5 == 0, "action").otherwise("transition").alias("kind"),
-        F.concat(F.lit("a"), owner.cast("string")).alias("id"),
+        F.when(known, F.concat(F.lit("a"), owner.cast("string")))
+        .otherwise(F.concat(F.lit("unknown"), key.cast("string"))).alias("id"),
         status.alias("status"),
         F.col("ts").cast("timestamp").alias("event_time"),
     )
@@ -323,12 +328,12 @@ def expiry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 HELD_CALLS = """
     SELECT event_id * 2 AS seq, 'h' || event_id AS id, 'NATION_' || user_id % 25 AS server,
            event_type AS tool, '{"k":' || user_id % 3 || '}' AS args, event_id, (user_id % 4) AS r
-    FROM events WHERE event_type <> 'purchase'
+    FROM events
 """
 
 
 def held_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = calls(spark, sf_dir).where("event_type != 'purchase'").select(
+    found = calls(spark, sf_dir).select(
         (F.col("event_id") * 2).alias("seq"),
         F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("id"),
         "server",
@@ -471,7 +476,8 @@ def initial_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.initial_status(escalated(spark, sf_dir)).select("id", "tier", "status")
 
 
-# Customers as actions, events as commands for them; tools of nation 7 are gone.
+# Customers as actions, events as commands for them; tools of nation 7 are gone. Some commits
+# come before any undo.
 ACTIONS = """
     SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'held' WHEN 1 THEN 'applied'
                                  WHEN 2 THEN 'held' ELSE 'passed' END AS status,
@@ -481,9 +487,10 @@ ACTIONS = """
 """
 COMMANDS = """
     SELECT event_id AS seq, user_id AS id,
-           CASE WHEN event_type IN ('click', 'view') THEN 'commit' ELSE 'undo' END AS op,
+           CASE WHEN event_type IN ('click', 'view') OR event_id < 200 AND user_id % 4 = 0
+                THEN 'commit' ELSE 'undo' END AS op,
            CASE WHEN event_type = 'click' THEN 'agent' ELSE 'human' END AS by_whom
-    FROM events WHERE NOT (event_id < 200 AND user_id % 4 = 0 AND event_type IN ('error', 'signup', 'purchase'))
+    FROM events
 """
 WALK = f"""
     WITH RECURSIVE a AS ({ACTIONS}), c AS (
@@ -514,11 +521,9 @@ def command_inputs(spark: SparkSession, sf_dir: str):
     )
     kind = F.col("event_type")
     early = (F.col("event_id") < 200) & (F.col("user_id") % 4 == 0)
-    commands = table(spark, sf_dir, "events").where(
-        ~(early & kind.isin("error", "signup", "purchase"))
-    ).select(
+    commands = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
-        F.when(kind.isin("click", "view"), "commit").otherwise("undo").alias("op"),
+        F.when(kind.isin("click", "view") | early, "commit").otherwise("undo").alias("op"),
         F.when(kind == "click", "agent").otherwise("human").alias("by"),
     )
     tools = state.select("server", "tool").where("server != 'NATION_7'")

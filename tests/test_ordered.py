@@ -107,3 +107,30 @@ def test_turns_to_pairs_skips_other_roles(spark):
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
     pairs = {(r.prompt, r.response) for r in turns_to_pairs(df, bits=1).collect()}
     assert pairs == {("u1", "a1"), ("u3", "a3")}
+
+
+def test_orders_far_apart(spark):
+    """One key, each row in a slice of its own: the carries are spread over blocks."""
+    step = 3_000_000 * 1024
+    rows = [("hot", n * step, n % 7 or None) for n in range(5000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    value = F.coalesce("value", F.lit(0))
+    got = running_sum(df, ["key"], "seq", value, "total").collect()
+    total, expected = 0, {}
+    for _, seq, v in rows:
+        total += v or 0
+        expected[seq] = total
+    assert {r.seq: r.total for r in got} == expected
+    blocks = df.select(F.shiftright("seq", 40)).distinct().count()
+    assert blocks > 1 and len(rows) / blocks < len(rows) / 10
+    following = next_row(df, ["key"], "seq", ["seq"], "after").collect()
+    assert {r.seq: r.after and r.after.seq for r in following} == {
+        seq: seq + step if n + 1 < len(rows) else None for n, (_, seq, _) in enumerate(rows)
+    }
+    near = fill(df, ["key"], "seq", "value", "before", "after").collect()
+    for r in near:
+        n = r.seq // step
+        before = n if n % 7 else n - 1
+        after = n if n % 7 else n + 1
+        assert (r.before and r.before.at) == (before * step if before >= 0 else None)
+        assert (r.after and r.after.at) == (after * step if after < len(rows) else None)
