@@ -95,8 +95,9 @@ def medians(
 
     Each round estimates two values around the wanted rank and counts exactly how many
     values lie below, on, between and above them, so the range shrinks about a
-    thousandfold. The last ``limit`` values or fewer are sorted. No task and no driver
-    ever holds a column. ``counts`` gives the values per column if they are known already.
+    thousandfold. The last values, at most ``limit`` over all open ranges of a round (but 64 of
+    each), are sorted. No task and no driver ever holds a column. ``counts`` gives the values
+    per column if they are known already.
     """
     if counts is None:
         row = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).head()
@@ -122,6 +123,8 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int) -> None:
     for s in searches:
         ranges.setdefault((s.column, s.low, s.high), []).append(s)
     groups = list(ranges.values())
+    # All ranges are gathered in one row, so they share the limit.
+    limit = max(limit // len(groups), min(limit, 64))
     margin = 0.0005
     picks = []
     for i, group in enumerate(groups):
@@ -288,12 +291,20 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_categorical(train: DataFrame, columns: Sequence[str]) -> list[CategoryFeature]:
-    """Mode and vocabulary of categorical columns, which hold at most 200 values each."""
+    """Mode and vocabulary of categorical columns, which hold at most 200 values each.
+
+    More values raise an error; no more than that many rows ever reach the driver.
+    """
     if not columns:
         return []
     tallies: dict[int, dict[str | None, int]] = {}
-    for r in value_counts(train, columns).collect():
+    # One more row than all columns may have together, null cells counted as a value.
+    most = len(columns) * (MAX_CATEGORIES + 1) + 1
+    for r in value_counts(train, columns).limit(most).collect():
         tallies.setdefault(r["i"], {})[r["value"]] = r["rows"]
+    for i, tally in tallies.items():
+        if len(tally) - (None in tally) > MAX_CATEGORIES:
+            raise ValueError(f"'{columns[i]}' has more than {MAX_CATEGORIES} values to encode")
     out = []
     for i, column in enumerate(columns):
         tally = tallies.get(i, {})
@@ -380,10 +391,12 @@ def _exact_split(df: DataFrame, fraction, seed, key: Column, strata, sizes: dict
     """The wanted number of smallest hashes per stratum.
 
     Ranking all rows of a stratum would need one task per stratum. Instead hashes are
-    counted in 65,536 buckets, the bucket holding the last wanted row is found from the
-    counts, and only that bucket is ranked.
+    counted in buckets, the bucket holding the last wanted row is found from the counts, and
+    only that bucket is ranked. There are about as many buckets as rows in each, but 65,536
+    at least, so both steps grow with the square root of the rows.
     """
-    if not sum(sizes.values()):
+    total = sum(sizes.values())
+    if not total:
         return df.withColumn(TEST, F.lit(False))
     stratum = quoted(strata).cast("string") if strata else F.lit("")
     rows = df.withColumns(
@@ -392,7 +405,7 @@ def _exact_split(df: DataFrame, fraction, seed, key: Column, strata, sizes: dict
     held_out = list(held_out_sizes(sizes, fraction).items())
     wanted = df.sparkSession.createDataFrame(held_out, "__e string, wanted bigint")
     same = F.col("__s").eqNullSafe(F.col("__e"))
-    bucket = F.shiftright("__h", 16)
+    bucket = F.shiftright("__h", 32 - max(16, min(math.ceil(math.log2(total) / 2), 32)))
     upto = Window.partitionBy("__s").orderBy("bucket")
     edge = (
         rows.groupBy("__s", bucket.alias("bucket"))

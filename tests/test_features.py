@@ -171,3 +171,22 @@ def test_pairs_need_exact_names(spark):
     blank = spark.createDataFrame([("  \n",)], "text string")
     with pytest.raises(ValueError, match="no usable text"):
         corpus.build_texts(blank)
+
+
+def test_medians_of_many_columns_share_the_limit(spark):
+    n, names = 500, [f"c{i}" for i in range(50)]
+    df = spark.range(n).select(*[((F.col("id") * (2 * i + 1)) % 997).cast("double").alias(c) for i, c in enumerate(names)])
+    got = features.medians(df, names, limit=1000)
+    for i, c in enumerate(names):
+        assert got[c] == statistics.median(k * (2 * i + 1) % 997 for k in range(n))
+
+
+def test_too_many_categories_are_refused(spark):
+    df = spark.range(1000).select(
+        F.lit("x").alias("few"), F.concat(F.lit("v"), (F.col("id") % 201).cast("string")).alias("many")
+    )
+    with pytest.raises(ValueError, match="'many' has more than 200"):
+        features.fit_categorical(df, ["few", "many"])
+    most = df.withColumn("many", F.when(F.col("many") != "v7", F.col("many")))
+    few, many = features.fit_categorical(most, ["few", "many"])
+    assert few.mode == "x" and len(many.frequent) == 200
