@@ -82,22 +82,25 @@ def with_fingerprint(calls: DataFrame) -> DataFrame:
     return calls.withColumn("fp", fp)
 
 
-def dedupe_holds(calls: DataFrame, releases: DataFrame, bits: int = SLICE_BITS) -> DataFrame:
+def dedupe_holds(
+    calls: DataFrame, releases: DataFrame, bits: int = SLICE_BITS, folder: str | None = None
+) -> DataFrame:
     """The id each held call stands under: ``(seq, id, fp, held_as, repeat)``.
 
     ``calls`` has ``seq, id, fp``; ``releases`` holds the ledger's transitions out of
     ``held`` as ``seq, id``. An identical call is a repeat while the earlier one is still
-    held; after its release the next call is recorded anew.
+    held; after its release the next call is recorded anew. Intermediates go below ``folder`` if the
+    caller names one; the result reads them.
     """
     # Only these narrow columns travel. Both tables below are used twice and written once.
     marked = calls.select("seq", "id", "fp")
     first = releases.groupBy("id").agg(F.min("seq").alias("seq"))
     freed = first.join(marked.select("id", "fp"), "id").select("seq", "fp")
-    events = checkpointed(marked.unionByName(freed, allowMissingColumns=True), "hold-events")
+    events = checkpointed(marked.unionByName(freed, allowMissingColumns=True), "hold-events", folder)
     is_call = F.col("id").isNotNull()
     released = F.when(is_call, 0).otherwise(1)
     turns = running_sum(events, ["fp"], "seq", released, "epoch", bits).where(is_call)
-    turns = checkpointed(turns, "hold-turns")
+    turns = checkpointed(turns, "hold-turns", folder)
     holder = turns.groupBy("fp", "epoch").agg(F.min_by("id", "seq").alias("held_as"))
     return turns.join(holder, ["fp", "epoch"]).select(
         "seq", "id", "fp", "held_as", (F.col("id") != F.col("held_as")).alias("repeat")

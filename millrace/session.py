@@ -47,13 +47,22 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{tempfile.mkdtemp(prefix='millrace-')}/{name}"
 
 
-def checkpointed(df, label: str):
-    """Cut the lineage of ``df`` by writing it to the shared folder and reading it back."""
-    path = workspace(df.sparkSession, label)
+def checkpointed(df, label: str, folder: str | None = None):
+    """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
+
+    A caller that names a ``folder`` owns what is written below it, and removes it.
+    """
+    path = f"{folder}/{label}" if folder else workspace(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it lies; a missing one is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def side_by_side(spark: SparkSession, function: Callable, items: Iterable, jobs: int = 4) -> list:
     """``function`` of every item, in order, with the Spark jobs of a few items running at once."""
     with ThreadPoolExecutor(jobs) as pool:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.profile import PROFILE_SCHEMA, column_stats, profile_rows
-from millrace.session import side_by_side
+from millrace.session import remove, side_by_side
 from millrace.sources.tables import coerce_nested, import_table, normalize_names
 
 MAX_ERROR_CHARS = 2000
@@ -40,18 +40,13 @@ def _written(df: DataFrame, out: str, name: str, source_ref: str, order_by) -> t
     stored = spark.read.schema(table.schema).parquet(out)
     stats = column_stats(stored)
     if stats.rows == 0:
-        _remove(spark, out)
+        remove(spark, out)
         raise EmptyImport("Import produced 0 rows — check the source/split.")
     size = list_files(spark, out, "*.parquet").agg(F.sum("length")).head()[0]
     profile = profile_rows(stored, stats, order_by)
     return (name, source_ref, out, "parquet", stats.rows, size, profile, "ready", None)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def import_many(spark: SparkSession, specs: Iterable[Mapping], out_root: str) -> DataFrame:
     """Import several sources; one that fails is reported and does not stop the others.
 

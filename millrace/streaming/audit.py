@@ -15,6 +15,7 @@ from millrace.operators.ledger import (
     with_fingerprint,
 )
 from millrace.operators.policy import UNDO_WINDOW_MS
+from millrace.session import remove
 from millrace.streaming.tables import use_disk_state, write_updates
 
 HOLD_SCHEMA = "seq bigint, id string, fp string"
@@ -22,7 +23,7 @@ HOLD_SCHEMA = "seq bigint, id string, fp string"
 
 def stream_replay(events: DataFrame, folder: str, checkpoint: str, **trigger):
     """Keep the current state of every action of an event stream; see ``current_rows``."""
-    return write_updates(replay(events), folder, checkpoint, **trigger)
+    return write_updates(replay(events), folder, checkpoint, ["id"], **trigger)
 
 
 def stream_commands(
@@ -32,7 +33,8 @@ def stream_commands(
 
     The checkpoint sees to it that each command line counts once.
     """
-    return write_updates(first_commands(commands, agents_may_commit), folder, checkpoint, **trigger)
+    firsts = first_commands(commands, agents_may_commit)
+    return write_updates(firsts, folder, checkpoint, ["id"], **trigger)
 
 
 def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):
@@ -40,7 +42,8 @@ def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):
 
     ``events`` has ``kind`` (``call`` or ``release``) and the call columns; batches arrive in
     ``seq`` order. Each batch runs the batch operator on its events and the holds still open,
-    which are written below ``folder/open``; results go below ``folder/calls``.
+    which are written below ``folder/open``; results go below ``folder/calls``. Open holds are
+    kept for two batches, intermediates until their batch is written.
     """
     spark = events.sparkSession
 
@@ -48,12 +51,17 @@ def stream_holds(events: DataFrame, folder: str, checkpoint: str, **trigger):
         calls = with_fingerprint(batch.where("kind = 'call'")).select("seq", "id", "fp")
         releases = batch.where("kind = 'release'").select("seq", "id")
         open_before = _open_holds(spark, folder, batch_id)
-        marked = dedupe_holds(calls.unionByName(open_before), releases)
+        work = f"{folder}/work/{batch_id}"
+        remove(spark, work)  # of an attempt that was cut off
+        marked = dedupe_holds(calls.unionByName(open_before), releases, folder=work)
         old = open_before.select("id")
         fresh = marked.join(old, "id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/calls/batch_id={batch_id}")
         still = marked.where("NOT repeat").join(releases.select("id"), "id", "left_anti")
         still.select("seq", "id", "fp").write.mode("overwrite").parquet(f"{folder}/open/{batch_id}")
+        remove(spark, work)
+        # This batch may run again and needs the one before it, but none earlier.
+        remove(spark, f"{folder}/open/{batch_id - 2}")
 
     return (
         events.writeStream.option("checkpointLocation", checkpoint)

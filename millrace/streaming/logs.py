@@ -13,7 +13,7 @@ MAX_POLL_BYTES = 200_000
 
 def stream_latest(entries: DataFrame, folder: str, checkpoint: str, **trigger):
     """Keep the newest value of every metric of a stream of entries; see ``current_rows``."""
-    return write_updates(latest_metrics(entries), folder, checkpoint, **trigger)
+    return write_updates(latest_metrics(entries), folder, checkpoint, ["job", "key"], **trigger)
 
 
 def tail_logs(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
