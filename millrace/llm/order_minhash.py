@@ -22,6 +22,7 @@ from millrace.llm.words import blocks, mix, shingles, word_hashes
 from millrace.session import checkpointed
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SLOT_BITS = 20
 
 
 def sketch(runs: np.ndarray, begin: np.ndarray, sketches: int, minima: int) -> np.ndarray:
@@ -95,8 +96,57 @@ def _sketch_batches(k: int, sketches: int, minima: int):
                 found = sketch(runs, begin, sketches, minima).view(np.int64)
                 edges = pa.array(np.arange(len(found) + 1, dtype=np.int32) * sketches)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(found)), pa.ListArray.from_arrays(edges, pa.array(found.ravel()))],
-                    names=["key", "marks"],
+                    [
+                        batch.column(0).slice(start, len(found)),
+                        pa.ListArray.from_arrays(edges, pa.array(found.ravel())),
+                        pa.array(np.diff(begin), pa.int64()),
+                    ],
+                    names=["key", "marks", "runs"],
+                )
+
+    return run
+
+
+def _slots(runs: np.ndarray) -> np.ndarray:
+    return (runs >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _count_batches(k: int):
+    """How many runs fall into each slot, summed over a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, runs, _ in _runs(batch.column("text"), k):
+                total += np.bincount(_slots(runs), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "n"])
+
+    return run
+
+
+def rarest(runs: np.ndarray, begin: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of the rarest runs of every text, so many that two similar texts share one.
+
+    Texts at the threshold share ``threshold`` of the runs of the longer one at least, so of
+    either text no more than the others can be missing from the other. Runs are ranked by
+    ``common``, the count of their slot, and then by hash: one order for all texts.
+    """
+    size = np.diff(begin)
+    text = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((runs, common[_slots(runs)], text))
+    most = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    chosen = order[np.arange(len(runs)) - begin[text] < most[text]]
+    return text[chosen], runs[chosen]
+
+
+def _rare_batches(k: int, threshold: float, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, runs, begin in _runs(batch.column("text"), k):
+                owner, found = rarest(runs, begin, common.value, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(owner + start)), pa.array(found.view(np.int64))], names=["key", "h"]
                 )
 
     return run
@@ -116,6 +166,31 @@ def _align_batches(k: int, threshold: float):
     return run
 
 
+def _meeting(own: DataFrame) -> DataFrame:
+    """Pairs ``key``, ``pivot`` of members ``key`` of a bucket ``h`` with different ``root``.
+
+    Members outside the largest root of a bucket meet all members of other roots, so the work
+    grows with the pairs that are apart, however large a group of joined copies is.
+    """
+    of_bucket = _split(own).select("h", "top")
+    side = own.join(of_bucket, "h")
+    strays = side.where("root != top").select("h", F.col("key").alias("stray"), F.col("root").alias("root_stray"))
+    once = (F.col("root") == F.col("top")) | (F.col("stray") < F.col("key"))
+    met = strays.join(side, "h").where((F.col("root") != F.col("root_stray")) & once)
+    return met.select(F.greatest("key", "stray").alias("key"), F.least("key", "stray").alias("pivot")).distinct()
+
+
+def _split(own: DataFrame) -> DataFrame:
+    """Buckets of several roots: the largest root, its smallest key, and how many pairs of members meet."""
+    of_root = own.groupBy("h", "root").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    of_bucket = of_root.groupBy("h").agg(
+        F.max(F.struct("n", "root", "first")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")
+    )
+    return of_bucket.where("roots > 1").select(
+        "h", F.col("top.root").alias("top"), F.col("top.first").alias("pivot"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("work")
+    )
+
+
 def classes(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -125,35 +200,56 @@ def classes(
     sketches: int = 16,
     minima: int = 2,
     agree: int = 3,
-    rounds: int = 3,
+    wide: int = 10_000,
 ) -> DataFrame:
     """``id``, ``key`` (MD5 of the text), ``class_key``, ``class_id`` (smallest id), ``n_texts``.
 
-    One row per input row. Equal texts are one node from the start. Texts that share a sketch
-    meet their smallest, the pivot; a pair goes on if it agrees on ``agree`` of all sketches
-    (a pair at the threshold of 0.8 falls short of three once in 30,000). Each text is first
-    aligned with its smallest pivot; of the other pairs only those are aligned that these links
-    have not joined yet, so a large group of copies costs about one alignment per text. What
-    stays apart from its pivot meets again among itself, ``rounds`` times in all. Links join to
-    classes. A pair missed in one sketch has ``sketches - 1`` others.
+    One row per input row. Equal texts are one node from the start. A pair of texts is likely
+    if it agrees on ``agree`` of all sketches (a pair at the threshold of 0.8 falls short of
+    three once in 30,000) and its lengths allow the threshold. Links join to classes.
+
+    Texts that share a sketch first meet their smallest, then one text of each class so far
+    meets one of the largest class of its bucket; so a large group of copies costs about one
+    alignment per text. In the end every likely pair that these links have not joined is
+    aligned, linked texts included. Where more than ``wide`` pairs of a bucket would meet, as
+    in families that share a passage, its texts meet by their rarest runs instead: two texts
+    at the threshold must have one of these in common, so no link is lost.
 
     Null texts and texts without words link with nothing, null ones not even with each other:
     their ``key`` is null and their class is their own id. Texts differ by every byte; runs
     ignore letter case. Null ids count only when a class has no other; repeated rows share a
     class. An empty table gives an empty table, other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn(
         "key", F.when(F.col("text").rlike(r"[^\x00-\x20]"), F.unhex(F.md5("text")))
     )
     worded = rows.where(F.col("key").isNotNull())
     marked = checkpointed(
         worded.select("key", F.lower("text").alias("text"))
-        .mapInArrow(_sketch_batches(k, sketches, minima), "key binary, marks array<bigint>"),
+        .mapInArrow(_sketch_batches(k, sketches, minima), "key binary, marks array<bigint>, runs bigint"),
         "sketches",
     )
-    marks = marked.groupBy("key").agg(F.first("marks").alias("marks"))
+    marks = marked.groupBy("key").agg(F.first("marks").alias("marks"), F.first("runs").alias("runs"))
     members = marked.select("key", F.explode("marks").alias("h")).distinct()
-    texts, links, labels = None, None, None
+    stars = checkpointed(
+        members.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "stars"
+    )
+    members = checkpointed(members.join(stars, "h"), "members")
+    # Whatever may pass shares at least so many sketches with others.
+    wanted = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
+    texts = checkpointed(
+        worded.select("key", F.lower("text").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts"
+    )
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        theirs = marks.select(F.col("key").alias("pivot"), F.col("marks").alias("theirs"), F.col("runs").alias("length"))
+        shared = F.aggregate(
+            F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x
+        )
+        fits = F.least("runs", "length") >= F.greatest("runs", "length") * threshold - 1e-9
+        found = pairs.join(marks, "key").join(theirs, "pivot").where(fits & (shared >= agree))
+        return checkpointed(found.select("key", "pivot"), "pairs")
 
     def judge(pairs: DataFrame) -> DataFrame:
         other = texts.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
@@ -161,57 +257,58 @@ def classes(
         found = found.mapInArrow(_align_batches(k, threshold), "key binary, pivot binary, same boolean")
         return checkpointed(found.where("same").select("key", "pivot"), "links")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends the first links do not join."""
-        of_key = labels.select("key", F.col("root").alias("root_key"))
-        of_pivot = labels.select(F.col("key").alias("pivot"), F.col("root").alias("root_pivot"))
-        return (
-            pairs.join(of_key, "key", "left").join(of_pivot, "pivot", "left")
-            .where(F.coalesce("root_key", "key") != F.coalesce("root_pivot", "pivot"))
-            .select(*pairs.columns)
-        )
+    def rooted(side: DataFrame) -> DataFrame:
+        known = labels.select("key", F.col("root").alias("__root"))
+        return side.join(known, "key", "left").select("h", "key", F.coalesce("__root", "key").alias("root"))
 
-    for _ in range(rounds):
-        stars = checkpointed(
-            members.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "stars"
-        )
-        members = checkpointed(members.join(stars, "h").where("key != pivot"), "members")
-        pairs = members.select("key", "pivot").distinct()
-        if labels is not None:
-            pairs = apart(pairs)
-        theirs = marks.select(F.col("key").alias("pivot"), F.col("marks").alias("theirs"))
-        shared = F.aggregate(
-            F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x
-        )
-        pairs = checkpointed(
-            pairs.join(marks, "key").join(theirs, "pivot").select("key", "pivot", (shared >= agree).alias("likely")), "pairs"
-        )
-        likely = pairs.where("likely").drop("likely")
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            # Whatever may pass later on shares at least so many sketches with others.
-            held = members.select("h", "key").unionByName(stars.select("h", F.col("pivot").alias("key")))
-            wanted = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
-            texts = checkpointed(
-                worded.select("key", F.lower("text").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]),
-                "texts",
-            )
-            first = judge(likely.groupBy("key").agg(F.min("pivot").alias("pivot")))
-            # Every text hangs below a smaller one: two hops reach most roots.
-            up = first.select(F.col("key").alias("pivot"), F.col("pivot").alias("above"))
-            hop = first.join(up, "pivot", "left").select("key", F.coalesce("above", "pivot").alias("root"))
-            hop = checkpointed(hop, "hop")
-            again = hop.select(F.col("key").alias("root"), F.col("root").alias("above"))
-            labels = checkpointed(
-                hop.join(again, "root", "left").select("key", F.coalesce("above", "root").alias("root")), "labels"
-            )
-            pairs, likely, links = checkpointed(apart(pairs), "pairs"), apart(likely), first
-        new = judge(likely)
+    def joined(links: DataFrame) -> DataFrame:
+        found = components(links, "key", "pivot")
+        return checkpointed(found.select(F.col("node").alias("key"), F.col("component").alias("root")), "labels")
+
+    pairs = likely(members.where("key != pivot").select("key", "pivot").distinct())
+    links = judge(pairs.groupBy("key").agg(F.min("pivot").alias("pivot")))
+    # Every text hangs below a smaller one: two hops reach most roots.
+    up = links.select(F.col("key").alias("pivot"), F.col("pivot").alias("above"))
+    hop = links.join(up, "pivot", "left").select("key", F.coalesce("above", "pivot").alias("root"))
+    hop = checkpointed(hop, "hop")
+    again = hop.select(F.col("key").alias("root"), F.col("root").alias("above"))
+    labels = checkpointed(
+        hop.join(again, "root", "left").select("key", F.coalesce("above", "root").alias("root")), "labels"
+    )
+    of_pivot = labels.select(F.col("key").alias("pivot"), F.col("root").alias("root_pivot"))
+    open_pairs = (
+        pairs.join(labels, "key", "left").join(of_pivot, "pivot", "left")
+        .where(F.coalesce("root", "key") != F.coalesce("root_pivot", "pivot")).select("key", "pivot")
+    )
+    links = links.unionByName(judge(open_pairs))
+    labels = joined(links)
+    members = checkpointed(members.select("h", "key").join(wanted, "key", "left_semi"), "members")
+    own = checkpointed(rooted(members), "own")
+    of_root = own.groupBy("h", "root").agg(F.min("key").alias("key"))
+    firsts = of_root.join(_split(own), "h").where("root != top")
+    new = judge(likely(firsts.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()))
+    if not new.isEmpty():
         links = links.unionByName(new)
-        members = members.join(pairs.select("key", "pivot").join(new, ["key", "pivot"], "left_anti"), ["key", "pivot"]).select("h", "key")
-    if links is None:
-        groups = worded.sparkSession.createDataFrame([], "node binary, component binary")
+        labels = joined(links)
+        own = checkpointed(rooted(members), "own")
+    split = checkpointed(_split(own), "split")
+    pairs = _meeting(own.join(split.where(F.col("work") <= wide).select("h"), "h", "left_semi"))
+    many = split.where(F.col("work") > wide).select("h")
+    if not many.isEmpty():
+        crowd = texts.join(own.join(many, "h", "left_semi").select("key").distinct(), "key", "left_semi")
+        crowd = checkpointed(crowd, "crowd")
+        counts = crowd.mapInArrow(_count_batches(k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        common = np.zeros(1 << _SLOT_BITS, np.int64)
+        common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+        shared = spark.sparkContext.broadcast(common)
+        rare = crowd.mapInArrow(_rare_batches(k, threshold, shared), "key binary, h bigint")
+        pairs = pairs.unionByName(_meeting(checkpointed(rooted(rare), "rare"))).distinct()
+    new = judge(likely(pairs))
+    links = links.unionByName(new)
+    if links.isEmpty():
+        groups = spark.createDataFrame([], "node binary, component binary")
+    elif new.isEmpty():
+        groups = labels.select(F.col("key").alias("node"), F.col("root").alias("component"))
     else:
         groups = checkpointed(components(links, "key", "pivot"), "components")
     # Narrow from here on: ids and keys only.

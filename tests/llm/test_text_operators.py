@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import MIDDLE, SMALL
@@ -172,6 +173,33 @@ def test_order_matters():
     assert order_minhash.aligned(a, np.roll(a, 50), 0.8) < 0.8
 
 
+def _words(rng, n):
+    return [f"w{v}" for v in rng.integers(0, 10**9, n)]
+
+
+def _classes_of(spark, texts):
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id bigint, text string")
+    return {r.id: r.class_id for r in order_minhash.classes(frame).collect()}
+
+
+def _similar(a, b):
+    a, b = (np.concatenate([r for _, r, _ in order_minhash._runs(pa.array([t]), 5)]) for t in (a, b))
+    return order_minhash.aligned(a, b, 0.5)
+
+
+@pytest.mark.parametrize("pairs", [20, 150])
+def test_pairs_of_a_family_with_a_passage(spark, pairs):
+    # Each pair is near; across pairs only the passage is shared.
+    rng = np.random.default_rng(3)
+    passage, texts = _words(rng, 170), []
+    for _ in range(pairs):
+        own = _words(rng, 30)
+        texts += [" ".join(passage + own), " ".join(passage + own[:14] + _words(rng, 16))]
+    assert min(_similar(a, b) for a, b in zip(texts[::2], texts[1::2])) >= 0.8 > _similar(texts[0], texts[2])
+    of = _classes_of(spark, texts)
+    assert of == {n: n - n % 2 for n in range(2 * pairs)}
+
+
 def test_near_copies_odd_rows(odd, none):
     found = {(r.id, r.class_id) for r in order_minhash.classes(odd).collect()}
     assert {(5, 5), (6, 5), (2, 2), (3, 3), (1, 1), (None, None)} <= found
