@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import hashlib
 import random
 import zlib
 
@@ -200,6 +201,32 @@ def test_pairs_of_a_family_with_a_passage(spark, pairs):
     assert of == {n: n - n % 2 for n in range(2 * pairs)}
 
 
+def test_a_text_near_one_linked_copy_only(spark):
+    # Its only neighbour meets a smaller copy in every bucket and is linked there.
+    rng = np.random.default_rng(4)
+    base = _words(rng, 200)
+    changed = base[:20] + _words(rng, 4) + base[24:]
+    texts = []
+    for start in [base] * 60 + [changed] * 60:
+        copy = list(start)
+        copy[int(rng.integers(80, 190))] = _words(rng, 1)[0]
+        texts.append(" ".join(copy))
+
+    def last(words):
+        # Blanks change the key only; the largest key of all is the smallest of no bucket.
+        text = " ".join(words)
+        while hashlib.md5(text.encode()).hexdigest() < "fd":
+            text += " "
+        return text
+
+    texts = [t for t in texts if hashlib.md5(t.encode()).hexdigest() < "fd"]
+    linked, alone = last(changed), last(changed[:45] + _words(rng, 14) + changed[59:])
+    near = [n for n, t in enumerate([*texts, linked]) if _similar(t, alone) >= 0.8]
+    assert near == [len(texts)] and _similar(texts[0], linked) >= 0.8
+    of = _classes_of(spark, [*texts, linked, alone])
+    assert set(of.values()) == {0}
+
+
 def test_near_copies_odd_rows(odd, none):
     found = {(r.id, r.class_id) for r in order_minhash.classes(odd).collect()}
     assert {(5, 5), (6, 5), (2, 2), (3, 3), (1, 1), (None, None)} <= found
