@@ -192,22 +192,24 @@ def linked(
         .withColumn("cosine", F.coalesce("cosine", F.lit(1.0))),
         "groups",
     )
-    # A leader with a leader of its own is in that one's core; both cores meet below.
+    # A leader with a leader of its own is in that one's core; both cores meet below. Only a core
+    # that is its own single member (``own``) may be judged by its centre's code and cosine.
     cores = checkpointed(
         groups.groupBy("core").agg(
-            F.sum("copies").alias("total"), F.count("*").alias("n"), F.min("cosine").alias("edge"), F.min("least").alias("least")
+            F.sum("copies").alias("total"), F.count("*").alias("n"), F.min("cosine").alias("edge"), F.min("least").alias("least"),
+            ((F.count("*") == 1) & F.bool_and(F.col("key") == F.col("core"))).alias("own"),
         ).join(nodes.select(F.col("key").alias("core"), "x", "codes"), "core"),
         "cores",
     )
 
     # Candidates between cores: a core shows up once under each value its members reach.
     mine = index.join(groups.select("key", "core"), "key").select("core", "slot", "value").distinct()
-    mine = checkpointed(mine.join(cores.select("core", "n", "codes"), "core"), "mine")
+    mine = checkpointed(mine.join(cores.select("core", "own", "codes"), "core"), "mine")
     spread = None
     for n, _, w in slots:
         flips = F.lit([0] + [1 << b for b in range(w)]).cast("array<bigint>")
         part = mine.where(F.col("slot") == n).select(
-            "core", "slot", "n", "codes", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
+            "core", "slot", "own", "codes", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
         )
         spread = part if spread is None else spread.unionByName(part)
     probes = spread.distinct()
@@ -215,18 +217,18 @@ def linked(
     pairs = probes.alias("p").join(
         mine.alias("i"),
         (F.col("p.slot") == F.col("i.slot")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.core") < F.col("i.core"))
-        & ((F.col("p.n") > 1) | (F.col("i.n") > 1) | (apart <= reach)),
+        & (~F.col("p.own") | ~F.col("i.own") | (apart <= reach)),
     ).select(F.col("p.core").alias("a"), F.col("i.core").alias("b"))
     handed = best.join(groups.select(F.col("key").alias("leader"), F.col("core").alias("above")), "leader").where(
         "leader != above"
     ).select(F.least("leader", "above").alias("a"), F.greatest("leader", "above").alias("b"))
     pairs = pairs.unionByName(handed).distinct()
-    left = cores.select(F.col("core").alias("a"), "x", F.col("edge").alias("edge_a"), F.col("n").alias("n_a"))
-    right = cores.select(F.col("core").alias("b"), F.col("x").alias("y"), F.col("edge").alias("edge_b"), F.col("n").alias("n_b"))
-    names = ["a", "b", "edge_a", "edge_b", "n_a", "n_b"]
+    left = cores.select(F.col("core").alias("a"), "x", F.col("edge").alias("edge_a"), F.col("own").alias("own_a"))
+    right = cores.select(F.col("core").alias("b"), F.col("x").alias("y"), F.col("edge").alias("edge_b"), F.col("own").alias("own_b"))
+    names = ["a", "b", "edge_a", "edge_b", "own_a", "own_b"]
     met = checkpointed(
         pairs.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(
-            _cosines(*names), "a binary, b binary, edge_a double, edge_b double, n_a bigint, n_b bigint, cosine double"
+            _cosines(*names), "a binary, b binary, edge_a double, edge_b double, own_a boolean, own_b boolean, cosine double"
         ),
         "met",
     )
@@ -236,7 +238,7 @@ def linked(
         return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(c))))
 
     between, reach_of = angle("cosine"), angle("edge_a") + angle("edge_b")
-    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    single = F.col("own_a") & F.col("own_b")
     all_of = F.when(single, F.col("cosine") >= threshold).otherwise(between + reach_of <= theta - 1e-9)
     whole = met.where(all_of).select("a", "b")
     mixed = met.where(~all_of & ~single & (between - reach_of <= theta + 1e-9)).select("a", "b")

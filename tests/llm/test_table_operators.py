@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import collections
 import gzip
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import MIDDLE
@@ -163,6 +165,24 @@ def test_links_against_brute_force(spark):
     assert np.mean([found[i].component_id == label[i] for i in range(400)]) > 0.95
 
 
+def test_links_of_a_follower_whose_leader_left(spark):
+    # In a plane: M, L, K at 12 degrees each, B 20 beyond K. L hangs below M, so K is alone in L's core.
+    rng = np.random.default_rng(6)
+    x = []
+    for _ in range(60):
+        plane, _ = np.linalg.qr(rng.normal(size=(64, 2)))
+        x += [plane @ [np.cos(t), np.sin(t)] for t in np.radians([0, 12, 24, 44])]
+    unit, _ = itq.unit(pa.array([v.tolist() for v in x]), 64)
+    keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in unit]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {r.id: r for r in itq.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    links, _ = _links(unit)
+    got = np.array([found[i].n_links for i in range(len(x))])
+    left = [i + 2 for i in range(0, len(x), 4) if keys[i] < keys[i + 1] < keys[i + 2]]
+    assert len(left) >= 5 and (links[left] == 3).all() and (got <= links).all()
+    assert np.mean(got[left] == 3) >= 0.8
+
+
 def test_vectors_odd_rows(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]),
