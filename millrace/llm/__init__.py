@@ -7,11 +7,14 @@ from millrace.llm import (  # noqa: F401
     curriculum,
     itq,
     language_id,
+    merkle,
     multi_index,
     order_minhash,
     prefix_bpe,
+    prefix_trie,
     rendezvous,
     repair,
+    spot_sigs,
     toxicity,
     warc,
 )
