@@ -1,8 +1,8 @@
 """SpotSigs fingerprints (published by Theobald, Siddharth and Paepcke), in DataFrame functions only.
 
-Common words are anchors. A signature is an anchor and the chain of content words (words that
-are no anchors) that follow it, so a text's signatures come from its running prose. The set of
-them is its fingerprint. Sets are compared by Jaccard; a similarity of ``t`` bounds the
+Common words are anchors, and so is the start of a line, written ``^``, as tables and headings
+hold few common words. A signature is an anchor and the chain of content words (words that are
+no anchors) that follow it. The set of them is its fingerprint. Sets are compared by Jaccard; a similarity of ``t`` bounds the
 lengths of two sets to a ratio of ``t``, so sets are partitioned by length and only meet
 their own and the neighbouring partition.
 """
@@ -33,7 +33,8 @@ ANCHORS = (
 #: Content words after an anchor: with it, a signature has five words.
 CHAIN = 4
 THRESHOLD = 0.8
-_WORD = r"[\p{L}\p{N}]+"
+_START = "^"
+_WORD = r"\^|[\p{L}\p{N}]+"
 
 
 def _let(value: Column, use) -> Column:
@@ -46,11 +47,11 @@ def signatures(text: Column, anchors: Sequence[str] = ANCHORS, chain: int = CHAI
 
     Words are runs of letters and digits in lower case. An anchor followed by fewer than
     ``chain`` content words in the rest of the text gives none. A text without signatures has
-    one that stands for the whole of it: ``=`` and its words, or the text itself if it has no
-    words. Null counts as empty.
+    one that stands for the whole of it: ``=`` and its words and line starts, or the text
+    itself if it has no words. Null counts as empty.
     """
     text = F.coalesce(text, F.lit(""))
-    known = list(dict.fromkeys(anchors))
+    known = [_START, *dict.fromkeys(anchors)]
 
     def chains(words: Column) -> Column:
         content = F.filter(words, lambda w: ~w.isin(known))
@@ -65,10 +66,11 @@ def signatures(text: Column, anchors: Sequence[str] = ANCHORS, chain: int = CHAI
             )
 
         found = _let(F.struct(content.alias("content"), places.alias("places")), of)
-        whole = F.array(F.concat(F.lit("="), F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(text)))
+        whole = F.array(F.concat(F.lit("="), F.when(F.size(F.array_remove(words, _START)) > 0, F.array_join(words, " ")).otherwise(text)))
         return _let(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(whole))
 
-    return _let(F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0), chains)
+    lines = F.concat(F.lit(_START), F.translate(F.lower(text), f"{_START}\n", f" {_START}"))
+    return _let(F.regexp_extract_all(lines, F.lit(_WORD), 0), chains)
 
 
 def fingerprint(signs: Column) -> Column:
@@ -177,11 +179,10 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         rows = rows.dropDuplicates(["key"])
     follows = placed.select(((F.col("at") + (total or 1) - 1) % (total or 1)).alias("at"), F.col("key").alias("next"))
     order = placed.join(follows, "at").select("key", "next", "n_chars", "copies")
-    own = rows.withColumn("key", F.col("key"))
     # What a document needs of the next one: the characters it borrows and the set.
     other = (
         order.select("next", F.col("key").alias("__key"), "n_chars", "copies")
-        .join(own.select(F.col("key").alias("next"), F.col("text").alias("__text")), "next")
+        .join(rows.select(F.col("key").alias("next"), F.col("text").alias("__text")), "next")
         .select(
             F.col("__key").alias("key"),
             "n_chars",
@@ -191,7 +192,7 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         )
     )
     cut = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))")
-    both = own.join(other, "key").withColumn("edited", F.concat(cut, "borrowed"))
+    both = rows.join(other, "key").withColumn("edited", F.concat(cut, "borrowed"))
 
     def described(signs: Column) -> Column:
         return _let(
@@ -219,27 +220,24 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     return found.drop("copies")
 
 
-def _signs_sql(text: str) -> str:
-    words = f"regexp_extract_all(lower(coalesce({text}, '')), '{_WORD}')"
-    known = "[" + ", ".join(f"'{a}'" for a in dict.fromkeys(ANCHORS)) + "]"
-    return words, known
-
-
 def _sets_sql(name: str, source: str, text: str) -> str:
-    words, known = _signs_sql(text)
+    known = "[" + ", ".join(f"'{a}'" for a in (_START, *dict.fromkeys(ANCHORS))) + "]"
     return f"""
-{name}_words AS (
-  SELECT doc_id, coalesce({text}, '') AS whole, {words} AS words, list_filter({words}, lambda w: NOT list_contains({known}, w)) AS content,
-         list_filter(range(1, len({words}) + 1), lambda i: list_contains({known}, {words}[i])) AS places
-  FROM {source}
-), {name}_sets AS (
+{name}_words AS MATERIALIZED (
+  SELECT doc_id, {text} AS whole, regexp_extract_all('{_START}' || translate(lower({text}), '{_START}' || chr(10), ' {_START}'), '{_WORD}') AS words FROM {source}
+), {name}_places AS MATERIALIZED (
+  SELECT *, list_filter(words, lambda w: NOT list_contains({known}, w)) AS content,
+         list_filter(words, lambda w: list_contains({known}, w)) AS anchors,
+         list_filter(list_transform(words, lambda w, i: CASE WHEN list_contains({known}, w) THEN i END), lambda i: i IS NOT NULL) AS places
+  FROM {name}_words
+), {name}_sets AS MATERIALIZED (
   SELECT doc_id, list_sort(list_distinct(list_transform(
     list_filter(range(1, len(places) + 1), lambda n: places[n] - n + {CHAIN} <= len(content)),
-    lambda n: words[places[n]] || ' ' || array_to_string(content[places[n] - n + 1 : places[n] - n + {CHAIN}], ' ')))) AS found, whole, words
-  FROM {name}_words
-), {name} AS (
+    lambda n: anchors[n] || ' ' || array_to_string(content[places[n] - n + 1 : places[n] - n + {CHAIN}], ' ')))) AS found, whole, words
+  FROM {name}_places
+), {name} AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(found) > 0 THEN found
-    ELSE ['=' || CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') ELSE whole END] END AS signs FROM {name}_sets
+    ELSE ['=' || CASE WHEN len(list_filter(words, lambda w: w <> '{_START}')) > 0 THEN array_to_string(words, ' ') ELSE whole END] END AS signs FROM {name}_sets
 )"""
 
 
