@@ -167,32 +167,26 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     Null counts as empty. Repeated rows are one document of the order and all returned. A
     single document is its own next. An empty table gives an empty table.
     """
-    rows = docs.select(
-        F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")).alias("key"),
-        F.col(f"`{id_column}`").alias("id"),
-        F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
-    )
-    sizes = rows.groupBy("key", "id", F.char_length("text").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    sizes = docs.select(key.alias("key"), F.col(f"`{id_column}`").alias("id"), F.char_length(text).cast("bigint").alias("n_chars"))
+    sizes = sizes.groupBy("key", "id", "n_chars").agg(F.count("*").alias("copies"))
     placed = checkpointed(numbered(sizes, [F.col("id").desc_nulls_last(), F.col("key").asc()], "at", "order"), "places")
     total, most = placed.agg(F.count("*"), F.max("copies")).first()
-    if (most or 0) > 1:
-        rows = rows.dropDuplicates(["key"])
     follows = placed.select(((F.col("at") + (total or 1) - 1) % (total or 1)).alias("at"), F.col("key").alias("next"))
-    order = placed.join(follows, "at").select("key", "next", "n_chars", "copies")
+    order = checkpointed(placed.join(follows, "at").select(F.col("key").alias("of"), "id", "next", "n_chars", "copies"), "next")
+    # Both joins below want these two columns by key, so whole texts are moved once.
+    texts = docs.select(key.alias("key"), text.alias("text"))
+    if (most or 0) > 1:
+        texts = texts.dropDuplicates(["key"])
     # What a document needs of the next one: the characters it borrows and the set.
-    other = (
-        order.select("next", F.col("key").alias("__key"), "n_chars", "copies")
-        .join(rows.select(F.col("key").alias("next"), F.col("text").alias("__text")), "next")
-        .select(
-            F.col("__key").alias("key"),
-            "n_chars",
-            "copies",
-            F.expr("substring(__text, 1, cast(floor(n_chars / 3) as int))").alias("borrowed"),
-            hashes(signatures(F.col("__text"))).alias("next_signs"),
-        )
+    other = order.join(texts, F.col("next") == F.col("key")).select(
+        "of", "id", "n_chars", "copies",
+        F.expr("substring(text, 1, cast(floor(n_chars / 3) as int))").alias("borrowed"),
+        hashes(signatures(F.col("text"))).alias("next_signs"),
     )
     cut = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))")
-    both = rows.join(other, "key").withColumn("edited", F.concat(cut, "borrowed"))
+    both = texts.join(other, F.col("key") == F.col("of")).withColumn("edited", F.concat(cut, "borrowed"))
 
     def described(signs: Column) -> Column:
         return _let(
