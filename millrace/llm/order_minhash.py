@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
 from millrace.llm.registry import query, table
-from millrace.llm.words import blocks, mix, shingles, word_hashes
+from millrace.llm.words import blocks, mix, release, shingles, word_hashes
 from millrace.session import checkpointed
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,6 +103,7 @@ def _sketch_batches(k: int, sketches: int, minima: int):
                     ],
                     names=["key", "marks", "runs"],
                 )
+        release()
 
     return run
 
@@ -125,8 +126,10 @@ def _count_batches(k: int):
     return run
 
 
-def rarest(runs: np.ndarray, begin: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of the rarest runs of every text, so many that two similar texts share one.
+def rarest(
+    runs: np.ndarray, begin: np.ndarray, common: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and place of the rarest runs of every text, so many that two similar texts share one.
 
     Texts at the threshold share ``threshold`` of the runs of the longer one at least, so of
     either text no more than the others can be missing from the other. Runs are ranked by
@@ -136,17 +139,20 @@ def rarest(runs: np.ndarray, begin: np.ndarray, common: np.ndarray, threshold: f
     text = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((runs, common[_slots(runs)], text))
     most = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    chosen = order[np.arange(len(runs)) - begin[text] < most[text]]
-    return text[chosen], runs[chosen]
+    place = np.arange(len(runs)) - begin[text]
+    first = place < most[text]
+    return text[order[first]], runs[order[first]], place[first]
 
 
 def _rare_batches(k: int, threshold: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, runs, begin in _runs(batch.column("text"), k):
-                owner, found = rarest(runs, begin, common.value, threshold)
+                owner, found, place = rarest(runs, begin, common.value, threshold)
+                key = batch.column("key").take(pa.array(owner + start))
+                size = np.diff(begin)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(owner + start)), pa.array(found.view(np.int64))], names=["key", "h"]
+                    [key, pa.array(found.view(np.int64)), pa.array(place), pa.array(size)], names=["key", "h", "place", "runs"]
                 )
 
     return run
@@ -162,33 +168,44 @@ def _align_batches(k: int, threshold: float):
                 [batch.column("key"), batch.column("pivot"), pa.array(same, pa.bool_())],
                 names=["key", "pivot", "same"],
             )
+        release()
 
     return run
 
 
-def _meeting(own: DataFrame) -> DataFrame:
-    """Pairs ``key``, ``pivot`` of members ``key`` of a bucket ``h`` with different ``root``.
+def _meeting(own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``key``, ``pivot`` of texts of different ``root`` that may still be similar.
 
-    Members outside the largest root of a bucket meet all members of other roots, so the work
-    grows with the pairs that are apart, however large a group of joined copies is.
+    ``own`` has the rarest runs ``h`` of texts with their ``place`` among the text's runs by
+    rarity and its number of ``runs``. The first run that two texts share leaves them at most
+    the rest of either in common, so it must come early enough in both for the threshold. A
+    run too late for the shortest text that has it is left out before texts meet. Members of
+    the largest root of a run meet only texts of other roots, so the work does not grow with
+    the square of a group of joined copies.
     """
-    of_bucket = _split(own).select("h", "top")
-    side = own.join(of_bucket, "h")
-    strays = side.where("root != top").select("h", F.col("key").alias("stray"), F.col("root").alias("root_stray"))
+    share = threshold / (1 + threshold)
+    left = F.col("runs") - F.col("place")
+    of_root = own.groupBy("h", "root").agg(F.count("*").alias("n"), F.min("runs").alias("low"))
+    of_run = of_root.groupBy("h").agg(
+        F.max(F.struct("n", "root"))["root"].alias("top"), F.min("low").alias("low"), F.count("*").alias("roots")
+    )
+    fits = left >= (F.col("runs") + F.col("low")) * share - 1e-6
+    side = own.join(of_run.where("roots > 1"), "h").where(fits).select("h", "key", "root", "top", "runs", left.alias("left"))
+    side = checkpointed(side, "side")
+    strays = side.where("root != top").select(
+        "h", F.col("key").alias("stray"), F.col("root").alias("root_stray"), F.col("runs").alias("runs_stray"), F.col("left").alias("left_stray")
+    )
     once = (F.col("root") == F.col("top")) | (F.col("stray") < F.col("key"))
-    met = strays.join(side, "h").where((F.col("root") != F.col("root_stray")) & once)
+    enough = F.least("left", "left_stray") >= (F.col("runs") + F.col("runs_stray")) * share - 1e-6
+    met = strays.join(side, "h").where((F.col("root") != F.col("root_stray")) & once & enough)
     return met.select(F.greatest("key", "stray").alias("key"), F.least("key", "stray").alias("pivot")).distinct()
 
 
 def _split(own: DataFrame) -> DataFrame:
-    """Buckets of several roots: the largest root, its smallest key, and how many pairs of members meet."""
+    """Buckets of several roots: the largest root and its smallest key."""
     of_root = own.groupBy("h", "root").agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    of_bucket = of_root.groupBy("h").agg(
-        F.max(F.struct("n", "root", "first")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")
-    )
-    return of_bucket.where("roots > 1").select(
-        "h", F.col("top.root").alias("top"), F.col("top.first").alias("pivot"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("work")
-    )
+    of_bucket = of_root.groupBy("h").agg(F.max(F.struct("n", "root", "first")).alias("top"), F.count("*").alias("roots"))
+    return of_bucket.where("roots > 1").select("h", F.col("top.root").alias("top"), F.col("top.first").alias("pivot"))
 
 
 def classes(
@@ -200,7 +217,6 @@ def classes(
     sketches: int = 16,
     minima: int = 2,
     agree: int = 3,
-    wide: int = 10_000,
 ) -> DataFrame:
     """``id``, ``key`` (MD5 of the text), ``class_key``, ``class_id`` (smallest id), ``n_texts``.
 
@@ -210,10 +226,10 @@ def classes(
 
     Texts that share a sketch first meet their smallest, then one text of each class so far
     meets one of the largest class of its bucket; so a large group of copies costs about one
-    alignment per text. In the end every likely pair that these links have not joined is
-    aligned, linked texts included. Where more than ``wide`` pairs of a bucket would meet, as
-    in families that share a passage, its texts meet by their rarest runs instead: two texts
-    at the threshold must have one of these in common, so no link is lost.
+    alignment per text. What shares ``agree`` sketches with other classes after that meets them
+    by its rarest runs: two texts at the threshold must have one of these in common, early
+    enough in both, so every likely pair that the links have not joined is aligned, linked
+    texts included.
 
     Null texts and texts without words link with nothing, null ones not even with each other:
     their ``key`` is null and their class is their own id. Texts differ by every byte; runs
@@ -257,9 +273,9 @@ def classes(
         found = found.mapInArrow(_align_batches(k, threshold), "key binary, pivot binary, same boolean")
         return checkpointed(found.where("same").select("key", "pivot"), "links")
 
-    def rooted(side: DataFrame) -> DataFrame:
+    def rooted(side: DataFrame, *columns: str) -> DataFrame:
         known = labels.select("key", F.col("root").alias("__root"))
-        return side.join(known, "key", "left").select("h", "key", F.coalesce("__root", "key").alias("root"))
+        return side.join(known, "key", "left").select(*columns, "key", F.coalesce("__root", "key").alias("root"))
 
     def joined(links: DataFrame) -> DataFrame:
         found = components(links, "key", "pivot")
@@ -283,26 +299,24 @@ def classes(
     links = links.unionByName(judge(open_pairs))
     labels = joined(links)
     members = checkpointed(members.select("h", "key").join(wanted, "key", "left_semi"), "members")
-    own = checkpointed(rooted(members), "own")
+    own = checkpointed(rooted(members, "h"), "own")
     of_root = own.groupBy("h", "root").agg(F.min("key").alias("key"))
     firsts = of_root.join(_split(own), "h").where("root != top")
     new = judge(likely(firsts.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()))
     if not new.isEmpty():
         links = links.unionByName(new)
         labels = joined(links)
-        own = checkpointed(rooted(members), "own")
-    split = checkpointed(_split(own), "split")
-    pairs = _meeting(own.join(split.where(F.col("work") <= wide).select("h"), "h", "left_semi"))
-    many = split.where(F.col("work") > wide).select("h")
-    if not many.isEmpty():
-        crowd = texts.join(own.join(many, "h", "left_semi").select("key").distinct(), "key", "left_semi")
-        crowd = checkpointed(crowd, "crowd")
-        counts = crowd.mapInArrow(_count_batches(k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-        common = np.zeros(1 << _SLOT_BITS, np.int64)
-        common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-        shared = spark.sparkContext.broadcast(common)
-        rare = crowd.mapInArrow(_rare_batches(k, threshold, shared), "key binary, h bigint")
-        pairs = pairs.unionByName(_meeting(checkpointed(rooted(rare), "rare"))).distinct()
+        own = checkpointed(rooted(members, "h"), "own")
+    # A likely pair that is still apart shares so many buckets of several roots.
+    apart = own.join(_split(own).select("h"), "h", "left_semi")
+    apart = apart.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
+    crowd = checkpointed(texts.join(apart, "key", "left_semi"), "crowd")
+    counts = crowd.mapInArrow(_count_batches(k), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << _SLOT_BITS, np.int64)
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(common)
+    rare = crowd.mapInArrow(_rare_batches(k, threshold, shared), "key binary, h bigint, place bigint, runs bigint")
+    pairs = _meeting(checkpointed(rooted(rare, "h", "place", "runs"), "rare"), threshold)
     new = judge(likely(pairs))
     links = links.unionByName(new)
     if links.isEmpty():
@@ -345,17 +359,17 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .select(F.col("__best.key").alias("__key"), F.col("__best.id").alias("__id"), "__rows"),
         "kept",
     )
-    named = docs.withColumn("__key", F.unhex(F.md5(F.col(text_column))))
-    worded = F.col(text_column).rlike(r"[^\x00-\x20]")
-    joined = (
-        named.where(worded)
-        .join(kept, (named["__key"] == kept["__key"]) & named[id_column].eqNullSafe(kept["__id"]))
-        .select(*[named[c] for c in docs.columns], named["__key"], "__rows")
+    # Whole rows travel as one value, so no column of theirs can clash with a name used here.
+    text = F.col(f"`{text_column}`")
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.unhex(F.md5(text)).alias("__own"),
+        F.col(f"`{id_column}`").alias("__mine"), F.coalesce(text.rlike(r"[^\x00-\x20]"), F.lit(False)).alias("__worded"),
     )
-    single = joined.where("__rows = 1").select(*docs.columns)
-    repeated = joined.where("__rows > 1").dropDuplicates(["__key", id_column]).select(*docs.columns)
-    bare = docs.where(~F.coalesce(worded, F.lit(False)))
-    return single.unionByName(repeated).unionByName(bare)
+    joined = named.where("__worded").join(kept, (F.col("__own") == F.col("__key")) & F.col("__mine").eqNullSafe(F.col("__id")))
+    single = joined.where("__rows = 1").select("__row")
+    repeated = joined.where("__rows > 1").dropDuplicates(["__own", "__mine"]).select("__row")
+    bare = named.where("NOT __worded").select("__row")
+    return single.unionByName(repeated).unionByName(bare).select("__row.*")
 
 
 @query("op9_order_minhash")
