@@ -1,7 +1,10 @@
 """Near duplicates among vectors by iterative quantisation (Gong and Lazebnik) and multi-index tables.
 
 A rotation of the principal components is learnt so that their signs lose little. Vectors whose
-codes agree on a segment up to one bit are candidates, and the original vectors decide.
+codes agree on a segment are candidates, and the original vectors decide. Two vectors at an
+angle differ in a bit about as often as the angle is of a half turn, wherever the vectors lie
+on the whole: components and rotation are those of the vectors themselves, not of their
+distances from a mean.
 Tight groups are settled in bulk: vectors within half the angle of one leader all link with
 each other, so thousands of near copies need no pairs.
 """
@@ -25,38 +28,47 @@ from millrace.session import checkpointed
 
 @dataclass
 class Rotations:
-    """Mean of the sample and one matrix from vectors to code bits for each code."""
+    """For each length of vectors, matrices from vectors to code bits, one for each code."""
 
-    mean: np.ndarray
-    matrices: list[np.ndarray]
+    matrices: dict[int, list[np.ndarray]]
+    bits: int
+    codes: int
 
+    def of(self, size: int) -> list[np.ndarray]:
+        """Those of a length; of one that was not learnt, random rotations that stay the same."""
+        if size not in self.matrices:
+            rng = np.random.default_rng([size, self.bits])
+            turns = [rng.normal(size=(size, min(self.bits, size))) for _ in range(self.codes)]
+            return [np.linalg.qr(turn)[0] for turn in turns]
+        return self.matrices[size]
 
-def unit(vectors: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of ``size`` finite components, scaled to length 1, and which rows have one."""
+
+def unit(vectors: pa.ListArray) -> list[bytes | None]:
+    """Vectors scaled to length 1, as bytes of doubles; none for null, zero and non-finite ones."""
     lists = vectors.cast(pa.list_(pa.float64()))
-    counts = lists.value_lengths().fill_null(-1).to_numpy()
-    fits = np.flatnonzero(counts == size)
-    out, good = np.zeros((len(vectors), size)), np.zeros(len(vectors), bool)
-    if len(fits):
-        values = lists.take(pa.array(fits)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    counts = lists.value_lengths().fill_null(0).to_numpy()
+    out: list[bytes | None] = [None] * len(lists)
+    for size in np.unique(counts[counts > 0]).tolist():
+        rows = np.flatnonzero(counts == size)
+        values = lists.take(pa.array(rows)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
         x = values.reshape(-1, size)
         finite = np.isfinite(x).all(axis=1)
         x = np.where(finite[:, None], x, 0)
         top = np.abs(x).max(axis=1)
         x = x / np.where(top > 0, top, 1)[:, None]
         norms = np.sqrt((x * x).sum(axis=1))
-        good[fits] = finite & (norms > 0)
-        out[fits] = x / np.where(norms > 0, norms, 1)[:, None]
-    return out, good
+        x = x / np.where(norms > 0, norms, 1)[:, None]
+        for row, v, good in zip(rows.tolist(), x, finite & (norms > 0)):
+            if good:
+                out[row] = v.tobytes()
+    return out
 
 
-def fit(sample: np.ndarray, bits: int, codes: int, rounds: int = 50, seed: int = 11) -> Rotations:
+def fit(sample: np.ndarray, bits: int, codes: int, rounds: int = 50, seed: int = 11) -> list[np.ndarray]:
     """Alternate between codes and the rotation that fits them best, from a random start per code."""
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred.T @ centred)
+    _, _, axes = np.linalg.svd(sample.T @ sample)
     project = axes[: min(bits, sample.shape[1])].T
-    low = centred @ project
+    low = sample @ project
     rng, matrices = np.random.default_rng(seed), []
     for _ in range(codes):
         turn, _ = np.linalg.qr(rng.normal(size=(project.shape[1],) * 2))
@@ -64,31 +76,36 @@ def fit(sample: np.ndarray, bits: int, codes: int, rounds: int = 50, seed: int =
             left, _, right = np.linalg.svd(np.where(low @ turn > 0, 1.0, -1.0).T @ low)
             turn = (left @ right).T
         matrices.append(project @ turn)
-    return Rotations(mean, matrices)
+    return matrices
 
 
-def encode(model: Rotations, x: np.ndarray) -> list[np.ndarray]:
-    """One code of up to 64 bits per vector and matrix, as signed 64-bit numbers."""
+def encode(matrices: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """One code of up to 64 bits per vector (rows) and matrix (columns), as signed 64-bit numbers."""
     out = []
-    for matrix in model.matrices:
-        signs = ((x - model.mean) @ matrix) > 0
+    for matrix in matrices:
+        signs = (x @ matrix) > 0
         weights = np.uint64(1) << np.arange(signs.shape[1], dtype=np.uint64)
         out.append((signs * weights).sum(axis=1, dtype=np.uint64).view(np.int64))
-    return out
+    return np.stack(out, axis=1)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, 0))
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _by_length(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows whose vectors in the first column have one length, and the matrices of these vectors."""
+    lists = [c.to_pylist() for c in columns]
+    sizes = np.array([len(v) // 8 for v in lists[0]], np.int64)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield rows, [np.frombuffer(b"".join([held[r] for r in rows]), np.float64).reshape(len(rows), size) for held in lists]
 
 
 def _cosines(*names: str):
-    """Adds ``cosine`` of the binary columns ``x`` and ``y`` to the named columns."""
+    """Adds ``cosine`` of the binary columns ``x`` and ``y``, of equal length, to the named columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.einsum("ij,ij->i", _vectors(batch.column("x")), _vectors(batch.column("y")))
+            found = np.zeros(batch.num_rows)
+            for rows, (x, y) in _by_length(batch.column("x"), batch.column("y")):
+                found[rows] = np.einsum("ij,ij->i", x, y)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, "cosine"]
             )
@@ -96,36 +113,42 @@ def _cosines(*names: str):
     return run
 
 
+def tables_for(vectors: int, bits: int, threshold: float, recall: float) -> tuple[int, int, int]:
+    """Width of segments, segments of a code and number of codes for so many vectors.
+
+    A segment of ``w`` bits has about 32 vectors of a value, however many vectors there are,
+    and two vectors at the threshold agree on it with the chance ``(1 - angle / pi) ** w``; so
+    many segments are taken that one of them agrees with the chance ``recall``.
+    """
+    width = max(1, min(bits, max(8, round(math.log2(max(vectors, 2))) - 5)))
+    agree = (1 - math.acos(threshold) / math.pi) ** width
+    segments = max(1, bits // width)
+    wanted = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    return width, segments, max(1, -(-wanted // segments))
+
+
 def linked(
     rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9,
-    sample: int = 20_000, bits: int = 64, codes: int = 2, segments: int = 4, reach: int = 20,
+    sample: int = 20_000, bits: int = 64, recall: float = 0.97, lengths: int = 8,
 ) -> DataFrame:
     """``id``, ``n_links`` and ``component_id`` of every row.
 
-    The rotation is learnt on the ``sample`` vectors of smallest id hash; every vector is
-    indexed. Equal vectors count as one with copies. Two vectors are candidates when a segment
-    of a code differs by one bit at most and the whole code by at most ``reach``; the cosine of
-    the original vectors in double precision decides. Found links are right; a link at the
-    threshold is found by about 95 in 100, one at 0.96 by 999 in 1000.
+    The rotations are learnt on the ``sample`` vectors of smallest id hash of each of the
+    ``lengths`` commonest vector lengths (others get random ones); every vector is indexed.
+    Equal vectors count as one with copies. Two vectors of one length are candidates when a
+    segment of a code agrees and a whole code differs by no more than their angle allows; the
+    cosine of the original vectors in double precision decides. Found links are right; a link
+    at the threshold is found with the chance ``recall``, one of a smaller angle more surely.
 
-    Null, zero, non-finite vectors, vectors of another length than most, and rows without id
-    link with nothing: no links, component is their own id. Repeated rows are copies.
+    Null, zero and non-finite vectors and rows without id link with nothing: no links,
+    component is their own id. Vectors of different lengths never link. Repeated rows are copies.
     """
     spark = rows.sparkSession
     flat = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    common = (
-        flat.where("id is not null and size(v) > 0").groupBy(F.size("v").alias("n"))
-        .agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    )
-    alone = flat.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    if common is None:
-        return alone
-    size = common["n"]
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = unit(batch.column(1), size)
-            data = [row.tobytes() if ok else None for row, ok in zip(x, good)]
+            data = unit(batch.column(1))
             keys = [hashlib.blake2b(d, digest_size=16).digest() if d else None for d in data]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["id", "key", "x"]
@@ -134,35 +157,53 @@ def linked(
     named = flat.select("id", F.when(F.col("id").isNotNull(), F.col("v")).alias("v"))
     ready = checkpointed(named.mapInArrow(scaled, "id bigint, key binary, x binary"), "unit")
     good = ready.where("key is not null")
-    some = good.orderBy(F.xxhash64("id"), "id", "key").limit(sample).select("x").toArrow()
-    if not some.num_rows:
-        return alone
-    model = fit(_vectors(some.column("x").combine_chunks()), bits, codes)
-    width = model.matrices[0].shape[1]
-    shared = spark.sparkContext.broadcast(model)
+    distinct = checkpointed(
+        good.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("x").alias("x")), "distinct"
+    )
+    size = F.octet_length("x") / 8
+    common = distinct.groupBy(size.cast("bigint").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size")
+    common = common.limit(lengths).collect()
+    if not common:
+        return flat.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    # A vector shorter than a code has a bit per component, so fewer segments.
+    shortest = min((r["size"] for r in common if r["size"] >= 8), default=bits)
+    width, _, codes = tables_for(sum(r["n"] for r in common), min(bits, shortest), threshold, recall)
+    segments = max(1, bits // width)
+    learnt = {}
+    for row in common:
+        some = distinct.where(size == row["size"]).orderBy(F.xxhash64("least"), "least", "key").limit(sample).select("x").toArrow()
+        (_, (vectors,)), = _by_length(some.column("x").combine_chunks())
+        learnt[row["size"]] = fit(vectors, bits, codes)
+    shared = spark.sparkContext.broadcast(Rotations(learnt, bits, codes))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = encode(shared.value, _vectors(batch.column("x")))
+            found = np.zeros((batch.num_rows, codes), np.int64)
+            for at, (x,) in _by_length(batch.column("x")):
+                found[at] = encode(shared.value.of(x.shape[1]), x)
             lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * codes), pa.array(np.stack(found, axis=1).ravel())
+                pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * codes), pa.array(found.ravel())
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "codes"])
 
-    distinct = checkpointed(
-        good.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("x").alias("x")), "distinct"
-    )
     nodes = checkpointed(
         distinct.mapInArrow(coded, "key binary, least bigint, copies bigint, x binary, codes array<bigint>"), "nodes"
     )
-    cuts = [width * n // segments for n in range(segments + 1)]
-    slots = []
-    for c in range(codes):
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = F.shiftrightunsigned(F.col("codes")[c], a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint"))
-            slots.append((len(slots), part, b - a))
-    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("slot"), p.alias("value")) for n, p, _ in slots]))
-    index = checkpointed(nodes.select("key", entries.alias("e")).select("key", "e.slot", "e.value"), "index")
+    # A slot is a length, a code and a segment of it; the value are the segment's bits.
+    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("bigint")
+    slots = [
+        F.when(
+            F.lit(n == 0) | (size >= (n + 1) * width),
+            F.struct(
+                (size.cast("bigint") * (codes * segments) + (c * segments + n)).alias("slot"),
+                F.shiftrightunsigned(F.col("codes")[c], n * width).bitwiseAND(mask).alias("value"),
+            ),
+        )
+        for c in range(codes)
+        for n in range(segments)
+    ]
+    entries = nodes.select("key", F.explode(F.array_compact(F.array(*slots))).alias("e"))
+    index = checkpointed(entries.select("key", "e.slot", "e.value"), "index")
 
     # Leaders: vectors within half the angle of the same leader are within the whole of each other.
     half = math.sqrt((1 + threshold) / 2) + 1e-9
@@ -202,22 +243,23 @@ def linked(
         "cores",
     )
 
-    # Candidates between cores: a core shows up once under each value its members reach.
-    mine = index.join(groups.select("key", "core"), "key").select("core", "slot", "value").distinct()
-    mine = checkpointed(mine.join(cores.select("core", "own", "codes"), "core"), "mine")
-    spread = None
-    for n, _, w in slots:
-        flips = F.lit([0] + [1 << b for b in range(w)]).cast("array<bigint>")
-        part = mine.where(F.col("slot") == n).select(
-            "core", "slot", "own", "codes", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
-        )
-        spread = part if spread is None else spread.unionByName(part)
-    probes = spread.distinct()
-    apart = F.least(*[F.bit_count(F.col("p.codes")[c].bitwiseXOR(F.col("i.codes")[c])) for c in range(codes)]) if codes > 1 else F.bit_count(F.col("p.codes")[0].bitwiseXOR(F.col("i.codes")[0]))
-    pairs = probes.alias("p").join(
+    # Candidates between cores: a core shows up once under each value its members have.
+    theta = math.acos(threshold)
+
+    def angle(c: str):
+        return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(c))))
+
+    centres = cores.select("core", "codes", angle("edge").alias("spread"))
+    mine = index.join(groups.select("key", "core"), "key").select("core", "slot", "value").distinct().join(centres, "core")
+    mine = checkpointed(mine, "mine")
+    # Members that link leave their centres at most this angle apart, hence so many bits, give or take four times their deviation.
+    apart = [F.bit_count(F.col("p.codes")[c].bitwiseXOR(F.col("i.codes")[c])) for c in range(codes)]
+    share = (F.col("p.spread") + F.col("i.spread") + theta) / math.pi
+    reach = share * bits + 4 * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) * bits)
+    pairs = mine.alias("p").join(
         mine.alias("i"),
         (F.col("p.slot") == F.col("i.slot")) & (F.col("p.value") == F.col("i.value")) & (F.col("p.core") < F.col("i.core"))
-        & (~F.col("p.own") | ~F.col("i.own") | (apart <= reach)),
+        & ((F.least(*apart) if codes > 1 else apart[0]) <= reach),
     ).select(F.col("p.core").alias("a"), F.col("i.core").alias("b"))
     handed = best.join(groups.select(F.col("key").alias("leader"), F.col("core").alias("above")), "leader").where(
         "leader != above"
@@ -232,11 +274,6 @@ def linked(
         ),
         "met",
     )
-    theta = math.acos(threshold)
-
-    def angle(c: str):
-        return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(c))))
-
     between, reach_of = angle("cosine"), angle("edge_a") + angle("edge_b")
     single = F.col("own_a") & F.col("own_b")
     all_of = F.when(single, F.col("cosine") >= threshold).otherwise(between + reach_of <= theta - 1e-9)

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from millrace.llm import graph, itq, multi_index, rendezvous, repair, warc
 
 ODD = "doc_id bigint, text string, shard string"
-ROWS = [(1, None, "a"), (2, "", None), (3, "one two", "b"), (3, "one two", "b"), (None, "x", None), (4, "ab " * 9000, "c")]
+ROWS = [(1, None, "a"), (2, "", None), (5, "a <|endoftext|> b<|endoftext|>", "a"), (3, "one two", "b"), (3, "one two", "b"), (None, "x", None), (4, "ab " * 9000, "c")]
 
 
 # -- Re-Pair ---------------------------------------------------------------------------------
@@ -51,7 +51,6 @@ def test_nothing_to_compress():
 def test_shards_hold_the_ids_of_the_library(spark, tmp_path, shard_ids):
     path, _ = repair.vocabulary()
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     docs = spark.createDataFrame(ROWS, ODD).unionByName(
         spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id < 60").select(F.col("doc_id") + 100, "text", F.lit("s").alias("shard")).toDF("doc_id", "text", "shard")
     )
@@ -172,8 +171,9 @@ def test_links_of_a_follower_whose_leader_left(spark):
     for _ in range(60):
         plane, _ = np.linalg.qr(rng.normal(size=(64, 2)))
         x += [plane @ [np.cos(t), np.sin(t)] for t in np.radians([0, 12, 24, 44])]
-    unit, _ = itq.unit(pa.array([v.tolist() for v in x]), 64)
-    keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in unit]
+    data = itq.unit(pa.array([v.tolist() for v in x]))
+    unit = np.stack([np.frombuffer(d) for d in data])
+    keys = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     found = {r.id: r for r in itq.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     links, _ = _links(unit)
@@ -183,6 +183,43 @@ def test_links_of_a_follower_whose_leader_left(spark):
     assert np.mean(got[left] == 3) >= 0.8
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.8, 1.5])
+def test_links_of_vectors_off_centre(spark, shift):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in range(0, 900, 3):
+        # Pairs about the threshold, and a little beyond.
+        x[n + 1] = x[n] + rng.normal(size=48) * rng.choice([0.05, 0.075, 0.085])
+    mean = rng.normal(size=48)
+    x += shift * mean / np.linalg.norm(mean)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {r.id: r.n_links for r in itq.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    links, _ = _links(x / np.linalg.norm(x, axis=1, keepdims=True))
+    got = np.array([found[i] for i in range(len(x))])
+    assert links.sum() > 250 and (got <= links).all() and got.sum() >= 0.95 * links.sum()
+
+
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for size in (1, 2, 3, 3, 3, 70, 200):
+        base = rng.normal(size=size)
+        rows += [(len(rows) + n, (base * (n + 1)).tolist()) for n in range(2)] + [(len(rows) + 2, (-base).tolist())]
+    found = {r.id: r for r in itq.linked(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lengths=2).collect()}
+    for i, a in rows:
+        same = [j for j, b in rows if len(a) == len(b) and j != i and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9]
+        assert found[i].n_links == len(same) and found[i].component_id == min([i, *same])
+
+
+def test_tables_grow_with_the_vectors():
+    for vectors in (0, 1, 100, 10**5, 10**9):
+        width, segments, codes = itq.tables_for(vectors, 64, 0.9, 0.97)
+        agree = (1 - np.arccos(0.9) / np.pi) ** width
+        assert width * segments <= 64 and 1 - (1 - agree) ** (segments * codes) >= 0.97
+        assert width == 8 or vectors / 2**width <= 64
+
+
 def test_vectors_odd_rows(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]),
