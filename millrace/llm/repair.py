@@ -142,7 +142,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.size = self.tokenizer.get_vocab_size()
         self.match = regex.compile(pattern).findall
         self.chunks: dict[str, bytes] = {}
@@ -173,7 +173,18 @@ class WordEncoder:
             self.words[word] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit bytes."""
+        """Ids of whole texts as little-endian 32-bit bytes.
+
+        The library gives the string of a special token the token's own id, so a text that holds
+        one goes to the library as it is.
+        """
+        marked = [n for n, t in enumerate(texts) if any(s in t for s in self.special)]
+        if marked:
+            whole = self.tokenizer.encode_batch([texts[n] for n in marked], add_special_tokens=False)
+            found = self.encode(["" if n in set(marked) else t for n, t in enumerate(texts)])
+            for n, encoding in zip(marked, whole):
+                found[n] = np.array(encoding.ids, np.uint32).tobytes()
+            return found
         split = [_SAFE.split(t) if _LONE.search(t) else t.split(" ") for t in texts]
         heads = {parts[0] for parts in split}
         known = self.chunks
@@ -219,9 +230,9 @@ def write_shards(
 ) -> None:
     """Encode ``docs`` and write them as shards of about ``shard_ids`` ids in ascending id.
 
-    Every document gets ``end_id`` appended. Rows are dealt out by range of id, then text, so
-    a hot id is spread too; null ids come first, null texts are empty, equal ids are ordered by
-    text. The tokenizer file must exist under its path on every executor. A text with more
+    Every document gets ``end_id`` appended. Rows are dealt out by range of id, then hash of the
+    text, so a hot id is spread too and no text is sampled; null ids come first, null texts are
+    empty, equal ids are ordered by that hash. The tokenizer file must exist under its path on every executor. A text with more
     ids than a shard gets a shard of its own.
     """
     default = vocabulary() if tokenizer is None or pattern is None else (tokenizer, pattern)
@@ -267,8 +278,10 @@ def write_shards(
 
     (
         docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-        .repartitionByRange("id", "text")
-        .sortWithinPartitions("id", "text")
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("id", "h")
+        .sortWithinPartitions("id", "h", "text")
+        .select("id", "text")
         .mapInArrow(run, SHARD_SCHEMA)
         .write.option("compression", "zstd").parquet(path)
     )
