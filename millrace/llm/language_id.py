@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.registry import query, table
-from millrace.llm.words import blocks
+from millrace.llm.words import blocks, release
 from millrace.session import checkpointed
 
 BITS = 16
@@ -105,28 +105,39 @@ def fit(texts: list[str], names: list[str], smoothing: float = 0.5, margin: floa
 
 
 def learn(
-    docs: DataFrame, text_column: str = "text", label_column: str = "lang", rows: int = 1000, most: int = 64
+    docs: DataFrame, text_column: str = "text", label_column: str = "lang", rows: int = 1000, chars: int = 4_000_000,
+    most: int = 1000,
 ) -> TextModel:
-    """Trigram tables from at most ``rows`` labelled texts of each of the ``most`` commonest languages.
+    """Trigram tables of every language, each from a sample of its labelled texts.
 
-    Rows with null or empty text or label are left out; the sample is the first by hash of
-    the text, so reruns agree.
+    The sample of a language are its distinct texts that come first by hash, at most ``rows``
+    and about ``chars`` characters, one text at least; so copies count once, however many, and
+    reruns agree. Rows with a null or empty text (less than three characters) or label are left
+    out. More than ``most`` languages, 256 KB each, are an error: none is left out.
     """
-    named = docs.select(F.lower(F.col(text_column)).alias("text"), F.col(label_column).cast("string").alias("name"))
+    named = docs.select(F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("name"))
     named = named.where("length(text) > 2 and length(name) > 0")
-    common = named.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
-    texts, names = [], []
-    for row in common.collect():
-        part = named.where(F.col("name") == row["name"]).withColumn("h", F.xxhash64("text"))
-        # A threshold on the hash leaves about twice the wanted rows to sort.
-        if row["n"] > 4 * rows:
-            part = part.where(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / row["n"])))
-        part = part.orderBy("h").limit(rows).select("text").toArrow()
-        texts += part.column("text").to_pylist()
-        names += [row["name"]] * part.num_rows
-    if not texts:
+    hashed = named.withColumn("h", F.xxhash64("text"))
+    # Only hashes and lengths are sorted. Every task keeps the first rows of a language before they are shuffled.
+    first = Window.partitionBy("name").orderBy("h")
+    before = first.rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (
+        hashed.groupBy("name", "h").agg(F.min(F.length("text")).alias("size"))
+        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
+        .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .where((F.col("before") < chars) & ((F.col("place") == 1) | (F.col("before") + F.col("size") <= 2 * chars)))
+        .select("name", "h")
+    )
+    chosen = checkpointed(chosen, "sample")
+    languages = chosen.select("name").distinct().count()
+    if languages > most:
+        raise ValueError(f"{languages} languages are labelled; a model holds at most {most}")
+    if not languages:
         return TextModel([], np.zeros((1, (1 << BITS) + 1), np.float32))
-    return fit(texts, names)
+    # At most ``rows`` hashes of ``most`` languages are broadcast.
+    found = hashed.join(F.broadcast(chosen), ["name", "h"]).groupBy("name", "h").agg(F.first("text").alias("text"))
+    sample = found.select("name", F.lower("text").alias("text"), "h").orderBy("name", "h").toArrow()
+    return fit(sample.column("text").to_pylist(), sample.column("name").to_pylist())
 
 
 def visible(html: str | Column) -> Column:
