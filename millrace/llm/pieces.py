@@ -16,6 +16,8 @@ import pyarrow as pa
 #: White space for ``str``, a superset of what the pattern knows: wider only means longer chunks.
 _LONE = re.compile(r" (?=[\s᠎]|$)")
 _SAFE = re.compile(r" (?=[^\s᠎])")
+#: Longest chunk that is kept.
+_LONG = 64
 
 
 def chunks(text: str) -> list[str]:
@@ -28,7 +30,8 @@ def chunks(text: str) -> list[str]:
 class Cache(dict):
     """Ids of chunks as little-endian 32-bit bytes; ``encode`` is asked for those not seen yet.
 
-    Keys are chunks without their leading space. At ``most`` entries it starts anew.
+    Keys are chunks without their leading space. At ``most`` entries it starts anew; chunks of
+    more than ``_LONG`` characters are not kept, so its size is bounded in bytes as well.
     """
 
     def __init__(self, encode: Callable[[str], bytes], most: int = 300_000):
@@ -38,7 +41,9 @@ class Cache(dict):
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = self[key] = self.encode(" " + key)
+        found = self.encode(" " + key)
+        if len(key) <= _LONG:
+            self[key] = found
         return found
 
     def ids(self, text: str) -> bytes:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pieces import Cache, chunks, id_lists, texts
 from millrace.llm.registry import query, table
+from millrace.llm.words import release
 
 
 class _Halves(dict):
@@ -44,7 +45,7 @@ class _Halves(dict):
 class PrefixEncoder:
     """Encoder and decoder for a table of token bytes and ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 240_000):
         import ahocorasick
         import regex
 
@@ -168,13 +169,15 @@ class PrefixEncoder:
         return np.frombuffer(self.cache.ids(text), np.uint32).tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of ids, gathered from the table in one go."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return b""
-        shift = np.repeat(self.begins[ids] - (ends - lengths), lengths)
-        return self.blob[shift + np.arange(ends[-1])].tobytes()
+        """Bytes of ids, gathered from the table in blocks of ids."""
+        out = []
+        for start in range(0, len(ids), 1 << 16):
+            part = ids[start : start + (1 << 16)]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.begins[part] - (ends - lengths), lengths)
+            out.append(self.blob[shift + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 class EditedText:
@@ -270,6 +273,7 @@ def encode_texts(
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[:-1], found], names=[*batch.schema.names[:-1], ids_column]
                 )
+        release()
 
     return flat.mapInArrow(run, ", ".join(x for x in (kinds, f"`{ids_column}` array<int>") if x))
 
@@ -315,6 +319,7 @@ def decode_ids(
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], *names]
                 )
+        release()
 
     return flat.mapInArrow(run, ", ".join(x for x in (kinds, added) if x))
 
