@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -54,7 +55,9 @@ HEADERS = {
     "payload_length": "x-payload-length",
     "refers_to": "warc-refers-to",
 }
-_MANIFEST = "_manifest.json"
+_MANIFEST = re.compile(r"_manifest(-[0-9a-f]+)?\.json")
+#: Names of files written here; without being in a manifest they are not committed.
+_OWN = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -92,16 +95,17 @@ def record_bytes(row: dict) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
+#: How every member written here begins: gzip header and the head of its only extra field.
+_START = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)
+
+
 def member(data: bytes, level: int = 6) -> bytes:
     """A gzip member whose extra field ``sl`` holds its own and the inflated length."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     packed = deflate.compress(data) + deflate.flush()
     size = 24 + len(packed) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
-    return (
-        b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + packed
-        + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
-    )
+    lengths = struct.pack("<II", size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    return _START + lengths + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 @dataclass
@@ -114,20 +118,24 @@ class Written(WriterCommitMessage):
 
 @dataclass
 class Files(InputPartition):
-    """Files that one task reads."""
+    """Byte ranges ``(file, start, end)`` that one task reads; no end means the whole file."""
 
-    files: list[str]
+    files: list[tuple[str, int, int | None]]
 
-    def __init__(self, files: list[str]):
+    def __init__(self, files: list[tuple[str, int, int | None]]):
         super().__init__(files)
         self.files = files
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Every attempt of a task writes a file of its own name; only committed ones get listed."""
+    """Every attempt of a task writes a file of its own name; every write lists its committed ones.
+
+    Appending adds a manifest. Overwriting removes the manifests and files of earlier writes,
+    archives of others included, once its own manifest is there.
+    """
 
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    def __init__(self, path: str, level: int, overwrite: bool = False):
+        self.path, self.level, self.overwrite = path, level, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, base = _open(self.path)
@@ -146,9 +154,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, base = _open(self.path)
         system.create_dir(base, recursive=True)
+        earlier = [i.base_name for i in system.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.File]
         files = sorted(m.file for m in messages if m and m.file)
-        with system.open_output_stream(f"{base}/{_MANIFEST}", compression=None) as out:
+        own = f"_manifest-{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{base}/{own}", compression=None) as out:
             out.write(json.dumps(files).encode())
+        if self.overwrite:
+            # Manifests first: a file without one is no longer read.
+            gone = [n for n in earlier if n not in files and (_MANIFEST.fullmatch(n) or n.endswith((".warc", ".warc.gz")))]
+            for name in sorted(gone, key=lambda n: not _MANIFEST.fullmatch(n)):
+                system.delete_file(f"{base}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, base = _open(self.path)
@@ -171,6 +186,29 @@ def parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
+def _content_length(head: dict[str, str]) -> int:
+    value = head.get("content-length", "")
+    if not value.isascii() or not value.isdigit():
+        raise ValueError(f"Content-Length is {value!r}" if value else "no Content-Length")
+    return int(value)
+
+
+def _first_member(stream, start: int, end: int | None) -> int:
+    """Where the first member written here begins at or after ``start``; ``end`` if none does before it."""
+    at, kept = start, b""
+    stream.seek(start)
+    while end is None or at - len(kept) < end:
+        data = stream.read(1 << 20)
+        if not data:
+            break
+        found = (kept + data).find(_START)
+        if found >= 0:
+            return at - len(kept) + found
+        at += len(data)
+        kept = (kept + data)[-(len(_START) - 1) :]
+    return end if end is not None else at
+
+
 def _test(f: Filter, head: dict[str, str]) -> bool:
     value = head.get(HEADERS[f.attribute[0]])
     if isinstance(f, IsNotNull):
@@ -204,34 +242,44 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Files in order, small ones together up to ``split_bytes``."""
+        """Files in order, small ones together up to ``split_bytes``; large ones written here are split.
+
+        Files of other names are read whole, by one task each: only members written here tell
+        where they begin. Own files count if a manifest lists them.
+        """
         system, base = _open(self.path)
         info = system.get_file_info(base)
         if info.type == pafs.FileType.File:
-            return [Files([base])]
+            return [Files([(base, 0, None)])]
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         listed = {i.base_name: i for i in system.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.File}
-        if _MANIFEST in listed:
-            with system.open_input_stream(f"{base}/{_MANIFEST}", compression=None) as file:
-                names = json.loads(file.read())
-        else:
-            names = sorted(n for n in listed if n.endswith((".warc", ".warc.gz")))
+        committed = set()
+        for name in filter(_MANIFEST.fullmatch, listed):
+            with system.open_input_stream(f"{base}/{name}", compression=None) as file:
+                committed.update(json.loads(file.read()))
+        names = sorted(
+            n for n in listed if n.endswith((".warc", ".warc.gz")) and (n in committed or not _OWN.fullmatch(n))
+        )
         out, size = [Files([])], 0
         for name in names:
-            if out[-1].files and size + listed[name].size > self.split_bytes:
-                out.append(Files([]))
-                size = 0
-            out[-1].files.append(f"{base}/{name}")
-            size += listed[name].size
+            length = listed[name].size
+            splits = max(1, -(-length // self.split_bytes)) if _OWN.fullmatch(name) else 1
+            edges = [length * n // splits for n in range(splits)] + [None if splits == 1 else length]
+            for start, end in zip(edges[:-1], edges[1:]):
+                if out[-1].files and size + length // splits > self.split_bytes:
+                    out.append(Files([]))
+                    size = 0
+                out[-1].files.append((f"{base}/{name}", start, end))
+                size += length // splits
         return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
         rows, size = [], 0
-        for name in partition.files:
+        for name, start, end in partition.files:
             with system.open_input_file(name) as file:
-                for row in self.records(file, name.endswith(".gz")):
+                for row in self.records(file, name.endswith(".gz"), name, start, end):
                     rows.append(row)
                     size += len(row["payload"] or b"") + 500
                     if size >= 4 << 20:
@@ -240,11 +288,22 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    def records(self, file, packed: bool) -> Iterator[dict]:
+    def records(self, file, packed: bool, name: str = "", start: int = 0, end: int | None = None) -> Iterator[dict]:
+        """Wanted records that begin in a byte range.
+
+        A record that cannot be read (no or a wrong length, cut off, no gzip member) is an
+        error that names the file and the byte at which it begins: nothing is left out.
+        """
         stream = io.BufferedReader(_Raw(file), 1 << 20)
+        if start:
+            stream.seek(_first_member(stream, start, end))
         step = self._member if packed else self._plain
-        while True:
-            row = step(stream)
+        while end is None or stream.tell() < end:
+            at = stream.tell()
+            try:
+                row = step(stream)
+            except (ValueError, EOFError, struct.error, zlib.error) as error:
+                raise ValueError(f"{name}: record at byte {at}: {error}") from error
             if row is None:
                 return
             if row:
@@ -266,8 +325,6 @@ class WarcReader(DataSourceReader):
 
     def _plain(self, stream) -> dict | None:
         line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
         if not line:
             return None
         head = [line]
@@ -275,19 +332,28 @@ class WarcReader(DataSourceReader):
             line = stream.readline()
             head.append(line)
         fields = parse_head(b"".join(head))
-        length = int(fields["content-length"])
+        length = _content_length(fields)
         if self.payload and self._wanted(fields):
-            return self._row(fields, stream.read(length))
-        stream.seek(length, io.SEEK_CUR)
-        return self._row(fields, None) if self._wanted(fields) else {}
+            body = stream.read(length)
+            if len(body) < length:
+                raise EOFError("the file ends within its content")
+            row = self._row(fields, body)
+        else:
+            stream.seek(length, io.SEEK_CUR)
+            row = self._row(fields, None) if self._wanted(fields) else {}
+        while stream.peek(1)[:1] in (b"\r", b"\n"):
+            stream.read(1)
+        return row
 
     def _member(self, stream) -> dict | None:
         start = stream.tell()
         fixed = stream.read(12)
-        if len(fixed) < 12:
+        if not fixed:
             return None
+        if len(fixed) < 12:
+            raise EOFError("the file ends within a gzip header")
         if fixed[:3] != b"\x1f\x8b\x08":
-            raise ValueError(f"no gzip member at byte {start}")
+            raise ValueError("no gzip member")
         skip = None
         if fixed[3] & 4:
             extra = stream.read(struct.unpack("<H", fixed[10:12])[0])
@@ -317,10 +383,12 @@ class WarcReader(DataSourceReader):
             if not pending:
                 break
             data += inflate.decompress(pending, 4096)
+        if b"\r\n\r\n" not in data:
+            raise EOFError("the record ends within its headers")
         head, _, body = data.partition(b"\r\n\r\n")
         fields = parse_head(head)
         wanted = self._wanted(fields)
-        length, parts = int(fields.get("content-length", 0)), [body]
+        length, parts = _content_length(fields), [body]
         if wanted and self.payload or left is None:
             while not inflate.eof:
                 pending = inflate.unconsumed_tail or more()
@@ -329,6 +397,8 @@ class WarcReader(DataSourceReader):
                 part = inflate.decompress(pending, 1 << 20)
                 if wanted and self.payload:
                     parts.append(part)
+            if not inflate.eof:
+                raise EOFError("the file ends within a gzip member")
         stream.seek(stream.tell() - len(inflate.unused_data) if left is None else start + skip)
         if not wanted:
             return {}
@@ -365,7 +435,7 @@ _ARROW = pa.schema(
 
 
 class WarcSource(DataSource):
-    """Format ``warc``. Options: ``split_bytes`` (128 MB), ``payload`` (``true``; ``false`` reads headers only), ``level``."""
+    """Format ``warc``. Options: ``split_bytes`` (32 MB), ``payload`` (``true``; ``false`` reads headers only), ``level``."""
 
     @classmethod
     def name(cls) -> str:
@@ -376,12 +446,12 @@ class WarcSource(DataSource):
 
     def reader(self, schema) -> WarcReader:
         return WarcReader(
-            self.options["path"], int(self.options.get("split_bytes", 128 << 20)),
+            self.options["path"], int(self.options.get("split_bytes", 32 << 20)),
             self.options.get("payload", "true").lower() == "true",
         )
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("level", 6)))
+        return WarcWriter(self.options["path"], int(self.options.get("level", 6)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
