@@ -18,6 +18,7 @@ UNDO_WINDOW_MS = 30 * 60 * 1000
 MAX_SNAPSHOT_BYTES = 50 * 1024 * 1024
 STATUS_OF_TIER = {"pass": "passed", "undoable": "applied", "hold": "held"}
 ESCALATED = "escalated: snapshot exceeds maxSnapshotBytes"
+UNKNOWN_PATHS = "held: the paths in its arguments cannot be told"
 CONTROL_TOOLS = ("ledger", "undo", "commit")
 
 BUILT_IN = (
@@ -186,23 +187,26 @@ def escalate(
 ) -> DataFrame:
     """Undoable actions whose existing files exceed the budget become held.
 
-    ``sizes`` has ``id, path, existed, size``, one row per path an action touches. Adds
+    ``sizes`` has ``id, path, existed, size``, one row per path an action touches; a row without
+    a path says that its paths could not be told, and such an action is held as well. Adds
     ``tier``, ``note`` and ``has_undo``: an undoable action with any path within the budget
     can be undone.
     """
     touched = sizes.groupBy("id").agg(
         F.count("path").alias("__paths"),
         F.sum(F.when(F.col("existed"), F.col("size"))).alias("__bytes"),
+        F.max(F.col("path").isNull()).alias("__unknown"),
     )
     undoable = F.col("tier") == "undoable"
     over = undoable & (F.coalesce(F.col("__bytes"), F.lit(0)) > budget)
-    within = undoable & ~over & (F.coalesce(F.col("__paths"), F.lit(0)) > 0)
+    unknown = undoable & ~over & F.coalesce(F.col("__unknown"), F.lit(False))
+    within = undoable & ~over & ~unknown & (F.coalesce(F.col("__paths"), F.lit(0)) > 0)
     return (
         actions.join(touched, "id", "left")
         .withColumn("has_undo", within)
-        .withColumn("note", F.when(over, ESCALATED))
-        .withColumn("tier", F.when(over, "hold").otherwise(F.col("tier")))
-        .drop("__paths", "__bytes")
+        .withColumn("note", F.when(over, ESCALATED).when(unknown, UNKNOWN_PATHS))
+        .withColumn("tier", F.when(over | unknown, "hold").otherwise(F.col("tier")))
+        .drop("__paths", "__bytes", "__unknown")
     )
 
 

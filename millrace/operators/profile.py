@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ PROFILE_SCHEMA = (
 
 #: Estimated distinct count from which a column is first tried on a part of its values.
 _TRY_PART_ABOVE = 4 * MAX_UNIQUE
+#: Rows of the first look that bounds the smallest values.
+_LOOK_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -76,17 +78,8 @@ def as_value(field: T.StructField) -> Column:
 def _text_lengths(df: DataFrame, order_by, sample: int) -> dict[str, float | None]:
     """Mean length over the first ``sample`` non-null values of each text column."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not names:
-        return {}
-    heads = [
-        _first_values(df, n, order_by, sample).select(
-            F.lit(i).alias("i"), F.length("value").alias("length")
-        )
-        for i, n in enumerate(names)
-    ]
-    means = reduce(DataFrame.union, heads).groupBy("i").agg(F.avg("length").alias("m")).collect()
-    found = {names[r.i]: r.m for r in means}
-    return {n: found.get(n) for n in names}
+    found = _first_cells(df, [F.length(quoted(n)) for n in names], order_by, sample)
+    return {n: sum(cells) / len(cells) if cells else None for n, cells in zip(names, found, strict=True)}
 
 
 def column_stats(df: DataFrame, order_by=None, sample: int = TEXT_SAMPLE) -> TableStats:
@@ -173,17 +166,6 @@ def _of_part(value: Column, name: str, share: int) -> Column:
     return F.when(F.pmod(F.xxhash64(quoted(name)), F.lit(share)) == 0, value)
 
 
-def _first_values(df: DataFrame, name: str, order_by, n: int) -> DataFrame:
-    """The first ``n`` non-null values of one column as text."""
-    value = _text_cell(df.schema[name])
-    keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-    rows = df.select(value.alias("value"), *[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    rows = rows.where("value is not null")
-    # A limit after a sort keeps n rows per task; a window would sort the whole table.
-    order = [f"k{i}" for i in range(len(keys))] or ["value"]
-    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
-
-
 def _text_cell(field: T.StructField) -> Column:
     if is_nested(field.dataType):
         return F.to_json(quoted(field.name), {"ignoreNullFields": "false"})
@@ -191,35 +173,86 @@ def _text_cell(field: T.StructField) -> Column:
 
 
 def sample_values(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> dict[str, list[str]]:
-    """First ``n`` non-null values of every column as text, cut to 120 characters."""
-    found: dict[str, list[str]] = {}
-    open_ = list(df.columns)
-    if isinstance(order_by, str):
-        rows = _first_rows(df, order_by, 4 * n)
-        for i, name in enumerate(df.columns):
-            found[name] = [r[i] for r in rows if r[i] is not None][:n]
-        # Shorter lists are final only if these were all the rows.
-        open_ = [c for c in df.columns if len(found[c]) < n] if len(rows) == 4 * n else []
-    for name in open_:
-        first = _first_values(df, name, order_by, n)
-        cut = first.select(F.substring("value", 1, SAMPLE_CHARS).alias("value"))
-        found[name] = [r.value for r in cut.collect()]
+    """First ``n`` non-null values of every column as text, cut to 120 characters.
+
+    Without ``order_by`` the smallest ones. The number of jobs does not depend on the number
+    of columns.
+    """
+    cells = [_text_cell(f) for f in df.schema.fields]
+    if order_by:
+        cells = [F.substring(c, 1, SAMPLE_CHARS) for c in cells]
+        return dict(zip(df.columns, _first_cells(df, cells, order_by, n), strict=True))
+    found = _smallest_cells(df, cells, n)
+    return dict(zip(df.columns, [[v[:SAMPLE_CHARS] for v in values] for values in found], strict=True))
+
+
+def _first_cells(df: DataFrame, cells: list[Column], order_by, n: int) -> list[list]:
+    """The first ``n`` non-null values of every cell in the order of some columns.
+
+    The first ``4 n`` rows settle most columns. Those with fewer values in them are ranked
+    together in one pass.
+    """
+    if not cells:
+        return []
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    rows = _first_rows(df, cells, keys, 4 * n)
+    found = [[r[i] for r in rows if r[i] is not None][:n] for i in range(len(cells))]
+    # Shorter lists are final only if these were all the rows.
+    short = [i for i, values in enumerate(found) if len(values) < n] if len(rows) == 4 * n else []
+    if short:
+        ranked = _ranked(df, {i: cells[i] for i in short}, [quoted(k) for k in keys], n)
+        for i in short:
+            found[i] = ranked.get(i, [])
     return found
 
 
-def _first_rows(df: DataFrame, order_by: str, n: int) -> list:
-    """The first ``n`` rows as short texts.
+def _first_rows(df: DataFrame, cells: list[Column], keys: list[str], n: int) -> list:
+    """Cells of the first ``n`` rows.
 
     Their order keys are looked up alone; the range they span then skips most of the files.
     """
-    key = quoted(order_by)
-    keys = [r[0] for r in df.select(key).where(key.isNotNull()).orderBy(key).limit(n).collect()]
-    rows = df.where(key <= F.lit(keys[-1])) if len(keys) == n else df
-    cells = [
-        F.substring(_text_cell(f), 1, SAMPLE_CHARS).alias(f"v{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return rows.select(key.alias("k"), *cells).orderBy(F.col("k").asc_nulls_last()).limit(n).drop("k").collect()
+    first, *others = [quoted(k) for k in keys]
+    low = [r[0] for r in df.select(first).where(first.isNotNull()).orderBy(first).limit(n).collect()]
+    rows = df.where(first <= F.lit(low[-1])) if len(low) == n else df
+    named = [c.alias(f"v{i}") for i, c in enumerate(cells)]
+    order = [F.col(f"k{i}").asc_nulls_last() for i in range(len(keys))]
+    placed = rows.select(*named, *[k.alias(f"k{i}") for i, k in enumerate([first, *others])])
+    return placed.orderBy(*order).limit(n).select(*[f"v{i}" for i in range(len(cells))]).collect()
+
+
+def _smallest_cells(df: DataFrame, cells: list[Column], n: int) -> list[list[str]]:
+    """The ``n`` smallest texts of every cell, repeated ones included.
+
+    ``n`` values of any rows bound them from above, so a first look at some rows keeps nearly
+    all others out of the ranking.
+    """
+    look = _ranked(df.limit(_LOOK_ROWS), dict(enumerate(cells)), [], n)
+    bounded = {}
+    for i, cell in enumerate(cells):
+        seen = look.get(i, [])
+        near = F.substring(cell, 1, SAMPLE_CHARS) <= F.lit(seen[-1][:SAMPLE_CHARS]) if len(seen) == n else F.lit(True)
+        bounded[i] = F.when(near, cell)
+    found = _ranked(df, bounded, [], n)
+    return [found.get(i, []) for i in range(len(cells))]
+
+
+def _ranked(df: DataFrame, cells: dict[int, Column], keys: list[Column], n: int) -> dict[int, list]:
+    """The first ``n`` non-null values of all cells in one job, by ``keys`` or by themselves.
+
+    Every task keeps ``n`` values of a cell before anything is shuffled.
+    """
+    order = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    values = [F.struct(F.lit(i).alias("i"), *order, cell.alias("value")) for i, cell in cells.items()]
+    along = [f"k{i}" for i in range(len(keys))] or ["value"]
+    by = Window.partitionBy("i").orderBy(*[F.col(c).asc_nulls_last() for c in along])
+    ranked = (
+        df.select(F.inline(F.array(*values))).where("value IS NOT NULL")
+        .withColumn("r", F.row_number().over(by)).where(F.col("r") <= n)
+    )
+    found: dict[int, list] = {}
+    for row in sorted(ranked.select("i", "r", "value").collect(), key=lambda r: (r.i, r.r)):
+        found.setdefault(row.i, []).append(row.value)
+    return found
 
 
 def samples(df: DataFrame, order_by=None, n: int = SAMPLE_VALUES) -> DataFrame:

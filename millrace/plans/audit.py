@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.globs import glob_to_regex
 from millrace.functions.ordered import running_sum
-from millrace.functions.paths import extract_paths
 from millrace.operators import ledger, policy
+from millrace.operators.paths import argument_paths
 from millrace.plans.common import nulled, query, sql_list, table
 from millrace.session import workspace
 from millrace.sources.jsonlines import append_jsonl, read_ledger
@@ -416,10 +416,8 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
             deep.alias("rest"),
         )
     )
-    found = table(spark, sf_dir, "pages").select("page_id", extract_paths(args).alias("p"))
-    return found.select("page_id", F.posexplode("p").alias("position", "path")).withColumn(
-        "position", F.col("position").cast("bigint")
-    )
+    found = argument_paths(table(spark, sf_dir, "pages").select("page_id", args.alias("args")), "page_id")
+    return found.select(F.col("id").alias("page_id"), "path", F.col("position").cast("bigint").alias("position"))
 
 
 BUDGET = 150_000

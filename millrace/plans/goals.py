@@ -9,6 +9,7 @@ from millrace.functions import goals as words
 from millrace.operators import goals
 from millrace.plans.common import TABLES, query, sql_list, table
 from millrace.plans.profiling import ALL_GUESSES, COLUMNS, stats_sql
+from millrace.session import checkpointed
 
 GOALS = """
     SELECT 'd' || doc_id AS id, text AS goal FROM documents
@@ -194,6 +195,32 @@ def search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    "a_search_many",
+    f"""
+    WITH cards AS ({CARDS}),
+    asked AS (SELECT c_custkey AS q, CASE c_custkey % 4 WHEN 0 THEN 'SRC' || c_nationkey WHEN 1 THEN 'rc' || c_nationkey % 10 || ' en'
+                     WHEN 2 THEN c_name ELSE 'e  s' END AS text FROM customer)
+    SELECT q AS query, repo_id, downloads FROM asked, cards
+    WHERE len(list_filter(string_split(lower(text), ' '),
+                          lambda w: NOT contains(repo_id || ' size:any ' || array_to_string(langs, ' '), w))) = 0
+    QUALIFY row_number() OVER (PARTITION BY q ORDER BY downloads DESC, repo_id) <= 25
+    """,
+)
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of every customer against one index of the catalogue."""
+    kind, nation = F.col("c_custkey") % 4, F.col("c_nationkey").cast("string")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("SRC"), nation))
+        .when(kind == 1, F.concat(F.lit("rc"), (F.col("c_nationkey") % 10).cast("string"), F.lit(" en")))
+        .when(kind == 2, F.col("c_name")).otherwise(F.lit("e  s"))
+    )
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), text.alias("text"))
+    catalogue = cards(spark, sf_dir)
+    index = checkpointed(goals.card_index(catalogue), "card-index")
+    return goals.search_many(catalogue, asked, index=index).select("query", "repo_id", "downloads")
+
+
 UNION_QUERIES = ["src1 en", "src2", "en", "nothing"]
 
 

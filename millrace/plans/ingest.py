@@ -10,6 +10,7 @@ from millrace.functions.text import format_name, source_name, suffix
 from millrace.plans.common import query, table
 from millrace.session import workspace
 from millrace.sources import datasets, jsonlines, tables
+from millrace.sources.logtail import append_lines
 from millrace.streaming.logs import poll_logs, tail_logs
 
 
@@ -306,25 +307,36 @@ def log_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s_log_tail",
-    "SELECT event_type || ' ' || props AS line, count(*) AS n FROM events GROUP BY 1",
+    """
+    SELECT user_id % 20 AS job, event_type || ' ' || props AS line,
+           sum(octet_length(encode(event_type || ' ' || props)) + 1) OVER (
+             PARTITION BY user_id % 20 ORDER BY event_id % 2, event_id
+           )::BIGINT - octet_length(encode(event_type || ' ' || props)) - 1 AS start
+    FROM events
+    """,
 )
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out = workspace(spark, "log"), workspace(spark, "log-out")
     checkpoint = workspace(spark, "log-cp")
     lines = table(spark, sf_dir, "events").select(
-        "event_id", F.concat_ws(" ", "event_type", "props").alias("line")
+        "event_id",
+        F.concat(F.lit("job-"), F.col("user_id") % 20, F.lit("/job.log")).alias("file"),
+        F.concat_ws(" ", "event_type", "props").alias("line"),
     )
-    # Two polls with a writer in between: the second reads only what is new.
+    # The same files grow between two runs of one query; the second reads only what was added.
     for half in (0, 1):
-        lines.where(F.col("event_id") % 2 == half).select("line").write.mode("append").text(folder)
-        tail = tail_logs(spark, folder).select("line")
-        (
+        append_lines(lines.where(F.col("event_id") % 2 == half), folder, "file", "event_id", "line")
+        tail = tail_logs(spark, folder)
+        running = (
             tail.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-            .option("path", out).trigger(availableNow=True).start().awaitTermination()
+            .option("path", out).start()
         )
-    return spark.read.schema("line string").parquet(out).groupBy("line").agg(
-        F.count("*").alias("n")
-    )
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    job = F.regexp_extract("file", r"^job-(\d+)/", 1).cast("bigint")
+    return spark.read.schema(tail.schema).parquet(out).select(job.alias("job"), "line", "start")
 
 
 @query("s_list_files", "SELECT DISTINCT o_orderstatus AS status, true AS has_bytes FROM orders")

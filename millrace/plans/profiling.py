@@ -82,17 +82,27 @@ def all_stats(spark: SparkSession, sf_dir: str) -> dict:
     return dict(zip(TABLES, found, strict=True))
 
 
+#: Names of column types in SQL and in Spark.
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>",
+}
+
+
 def profile_sql(name: str) -> str:
+    kinds = " UNION ALL ".join(f"SELECT '{c}' AS col, any_value(typeof({c})) AS kind FROM {name}" for _, c in columns_of(name))
+    types = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items())
     return f"""
-    SELECT col AS name, CASE WHEN n IS NOT NULL THEN least(n, 1000) END AS n_unique, coalesce(n >= 1000, false) AS unique_capped
-    FROM ({stats_sql(name)})
+    SELECT s.col AS name, CASE t.kind {types} END AS dtype,
+           CASE WHEN n IS NOT NULL THEN least(n, 1000) END AS n_unique, coalesce(n >= 1000, false) AS unique_capped
+    FROM ({stats_sql(name)}) s JOIN ({kinds}) t ON s.col = t.col
     """
 
 
 def _profile(name: str, order_by):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = profile.profile(table(spark, sf_dir, name), order_by)
-        return found.select("name", "n_unique", "unique_capped")
+        return found.select("name", "dtype", "n_unique", "unique_capped")
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
@@ -439,12 +441,42 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", "text", F.col("quality").alias("label")
+    )
+
+
 @query("x_train_text")
 def train_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = table(spark, sf_dir, "documents").join(
-        table(spark, sf_dir, "labels"), "doc_id"
-    ).select("doc_id", "text", F.col("quality").alias("label"))
-    return _metrics(spark, train.train_text(labelled, {"epochs": 1}, "doc_id"))
+    """Metrics of the best of three epochs, the default."""
+    return _metrics(spark, train.train_text(labelled_texts(spark, sf_dir), {}, "doc_id"))
+
+
+@query(
+    "x_train_points",
+    """
+    WITH used AS (
+      SELECT quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+    sizes AS (SELECT count(*) AS n, count(DISTINCT quality) AS classes FROM used)
+    SELECT e::INT AS epoch, (e * 10)::INT AS step, ceil(n * 0.1)::BIGINT AS eval_rows,
+           n - ceil(n * 0.1)::BIGINT AS train_rows, classes AS num_classes, true AS below_chance_loss, true AS is_share
+    FROM sizes, range(1, 4) r(e)
+    """,
+)
+def train_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per epoch, and whether its loss is below that of guessing."""
+    trained = train.train_text(labelled_texts(spark, sf_dir), {}, "doc_id")
+    found = trained.metrics
+    rows = [
+        (p["epoch"], p["step"], found["eval_rows"], found["train_rows"], found["num_classes"],
+         p["loss"] < math.log(found["num_classes"]), 0.0 <= p["accuracy"] <= 1.0)
+        for p in trained.history
+    ]
+    return spark.createDataFrame(
+        rows,
+        "epoch int, step int, eval_rows bigint, train_rows bigint, num_classes bigint, below_chance_loss boolean, is_share boolean",
+    )
 
 
 PAIRS = """

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import ACCEPTED, FORMATS
+from millrace.session import workspace
+from millrace.sources.ranges import ArrayItems, QuotedLines, split_records
 
 # Cell texts that mean "missing" in delimited files.
 MISSING = (
@@ -44,8 +46,9 @@ def read_table(
 ) -> DataFrame:
     """Read a file or a folder of files; ``fmt`` overrides the suffix of ``path``.
 
-    ``multiline`` tells whether quoted CSV cells hold line breaks. Such files cannot be
-    split, so by default one cheap scan looks for an unbalanced quote first.
+    ``multiline`` tells whether quoted CSV cells hold line breaks; by default one cheap scan
+    looks for an unbalanced quote. Such files and arrays of JSON objects are cut into records
+    by several tasks per file, see ``ranges``.
     """
     fmt = fmt or format_of(path)
     if fmt == "parquet":
@@ -89,10 +92,25 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     lines = [f for f, array in files if not array]
     if not arrays:
         return _read_json_lines(spark, path)
-    document = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    if not lines:
-        return document.json(path)
-    return _stack(document.json(arrays), _read_json_lines(spark, lines))
+    items = _array_items(spark, arrays)
+    return _stack(items, _read_json_lines(spark, lines)) if lines else items
+
+
+def _array_items(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The objects of top-level arrays, cut by several tasks and read as lines."""
+    records = split_records(spark, files, ArrayItems())
+    # Raw line breaks are mere space in JSON; what follows the last object closes the array.
+    text = F.translate("text", "\r\n", "  ")
+    opening = F.when(F.col("first"), F.lit(r"^[\uFEFF\s]*\[\s*")).otherwise(F.lit(r"^\s*,\s*"))
+    item = F.when(F.col("first") & text.rlike(r"^[\uFEFF\s]*\[\s*\]\s*$"), F.lit("")).otherwise(
+        F.when(text.rlike(r"^\s*\]?\s*$") & ~F.col("first"), F.lit("")).otherwise(F.regexp_replace(text, opening, F.lit("")))
+    )
+    checked = F.when(
+        (item == "") | item.startswith("{"), item
+    ).otherwise(F.raise_error(F.concat(F.lit("not an array of objects: "), F.substring("text", 1, 80))))
+    folder = workspace(spark, "array-items")
+    records.select(checked.alias("value")).where("value != ''").write.text(folder)
+    return _read_json_lines(spark, folder)
 
 
 def _literal(uri: str) -> str:
@@ -121,14 +139,19 @@ def _read_delimited(
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
-    return infer_types(raw)
+    options = {"header": "true", "sep": sep, "escape": '"', "multiLine": str(multiline).lower()}
+    raw = spark.read.options(**options).csv(path)
+    return infer_types(_quoted_records(spark, path, raw.schema, options) if multiline else raw)
+
+
+def _quoted_records(spark: SparkSession, path: str, schema: T.StructType, options: dict) -> DataFrame:
+    """Rows of files whose cells hold line breaks; several tasks read one file."""
+    records = split_records(spark, path, QuotedLines(options["sep"])).where(~F.col("first"))
+    text = F.regexp_replace("text", r"\r$", "")
+    # A header that holds a line break of its own may hide how lines end.
+    schema = T.StructType([T.StructField(f.name.removesuffix("\r"), f.dataType) for f in schema.fields])
+    cells = F.from_csv(text, schema.toDDL(), options)
+    return records.where(text.rlike(r"[^\r\n]")).select(cells.alias("cells")).select("cells.*")
 
 
 def infer_types(raw: DataFrame) -> DataFrame:

@@ -6,29 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.metrics import latest_metrics
+from millrace.sources.logtail import MAX_POLL_BYTES, stream_lines
 from millrace.streaming.tables import write_updates
 
-MAX_POLL_BYTES = 200_000
-
 
 def stream_latest(entries: DataFrame, folder: str, checkpoint: str, **trigger):
     """Keep the newest value of every metric of a stream of entries; see ``current_rows``."""
     return write_updates(latest_metrics(entries), folder, checkpoint, ["job", "key"], **trigger)
 
 
-def tail_logs(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Stream the lines of a folder of log files, broken UTF-8 replaced.
+def tail_logs(spark: SparkSession, folder: str, max_bytes: int = MAX_POLL_BYTES) -> DataFrame:
+    """Stream the lines added to log files, at most ``max_bytes`` of a file per batch.
 
-    The unit is a whole file: writers start a new file instead of adding to one already
-    read. The checkpoint of the query remembers the position.
+    See :func:`millrace.sources.logtail.stream_lines`; files may grow between batches.
     """
-    reader = spark.readStream.schema("value string")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(folder)
-    return lines.select(
-        F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_name").alias("file")
-    )
+    return stream_lines(spark, folder, max_bytes)
 
 
 def poll_logs(

@@ -18,7 +18,7 @@ MIDDLE = "/root/testdata/sf0.01"
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        os.environ.get("TEST_MASTER", "local[8]"),
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",

@@ -152,3 +152,26 @@ def test_registry_tables_hold_a_lifecycle(spark):
     sets = spark.createDataFrame([(7, "d", *[None] * 7, "ready", None, 1.0)], registry.DATASETS)
     line = registry.lineage(models, jobs, sets).head()
     assert (line.job_name, line.dataset_name) == (None, None)
+
+
+def test_search_by_index_is_search_by_scan(spark):
+    names = ["dogs/small", "Cats-and-Dogs", "a", "catalogue", "x/tab", "cat", "cat"]
+    rows = [(name, None if i == 4 else i * 10, ["animal", f"lang:{i}"] if i % 2 else []) for i, name in enumerate(names)]
+    cards = spark.createDataFrame(rows, "repo_id string, downloads int, tags array<string>").withColumn("query", F.lit("q"))
+    cards = cards.drop("query")
+    asked = ["cat", "CAT dog", "a", "", "  ", "ca al", "none at all", "animal cat", "lang:1", "dogs/small"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query int, text string")
+    index = goals.card_index(cards)
+    found = goals.search_many(cards, queries, 5, index).collect()
+    for n, text in enumerate(asked):
+        want = [(r.repo_id, r.downloads) for r in goals.search_cards(cards, text, 5).collect()]
+        got = [(r.repo_id, r.downloads) for r in found if r["query"] == n]
+        assert sorted(map(str, got)) == sorted(map(str, want)), text
+
+
+def test_every_task_of_the_table_is_trained(spark):
+    rows = [(f"a sentence about thing {i} and its many words", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, other int")
+    cards = spark.createDataFrame([("texts", 5, ["llm"])], "repo_id string, downloads int, tags array<string>")
+    run = goals.autopilot(spark, "fine-tune a chatbot llm", cards, lambda name: df)
+    assert run.error is None and run.trained.metrics["train_rows"] + run.trained.metrics["eval_rows"] == 40

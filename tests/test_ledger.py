@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.paths import extract_paths
 from millrace.operators import ledger, registry
 
 EVENTS = "seq bigint, kind string, id string, ts string, tier string, status string, note string"
@@ -179,10 +178,3 @@ def test_hyperparameters(spark):
     for i, (_, expected) in enumerate(users):
         values = tuple(got[i, n] for n in "nfbs")
         assert (values[0], float(values[1]), *values[2:]) == (expected[0], float(expected[1]), *expected[2:])
-
-
-def test_too_deep_arguments_are_not_taken_for_none(spark):
-    deep = '{"path": "/a", "x": ' + "[" * 100_000 + "]" * 100_000 + "}"
-    rows = spark.createDataFrame([(1, deep), (2, '{"path": "/a"}'), (3, "{}")], "k int, args string")
-    found = rows.select("k", extract_paths("args").alias("p")).orderBy("k").collect()
-    assert [r.p for r in found] == [None, ["/a"], []]

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from millrace.functions.globs import glob_regex, glob_to_regex
-from millrace.functions.paths import extract_paths
+from millrace.operators.paths import argument_paths
 from millrace.operators import policy
 from millrace.operators.policy import Rule
 from pyspark.sql import functions as F
@@ -69,11 +69,35 @@ def test_paths(spark):
         '{"path":"/a/b.txt","target_file":"/c.txt","content":"/looks/like/a/path/but/wrong-key",'
         '"nested":{"paths":["/d.txt","relative.txt"]}}',
         '{"profile":"/p","Dest":["/p",["/q"]],"dir":{"note":"/n","x":[{"FOLDER":"/z"}]}}',
-        '"/bare"', "not json", None, "[]",
+        '"/bare"', "not json", None, "[]", '[{"path": "/late"}, {"a": [{"dir": ["/x", "/late"]}]}]',
+        '{"file": "{\\"path\\": \\"/text\\"}", "source": "\\/escaped", "a": "[\\"/no\\"]", "n": 1.50, "dest": "\\u002fcode"}',
+        '\n {"x": {"y": {"z": [[["/deep"]]], "target": [[["/list"]]]}}}', '{"path": "/broken"',
     ]
-    df = spark.createDataFrame([(a,) for a in args], "args string")
-    got = [r.p for r in df.select(extract_paths("args").alias("p")).collect()]
-    assert got == [["/a/b.txt", "/c.txt", "/d.txt"], ["/p", "/q", "/z"], [], [], [], []]
+    df = spark.createDataFrame(list(enumerate(args)), "id int, args string")
+    got = {}
+    for r in argument_paths(df).orderBy("id", "position").collect():
+        assert r.position == len(got.setdefault(r.id, []))
+        got[r.id].append(r.path)
+    assert got == {
+        0: ["/a/b.txt", "/c.txt", "/d.txt"], 1: ["/p", "/q", "/z"], 6: ["/late", "/x"],
+        7: ["/escaped", "/code"], 8: ["/list"],
+    }
+
+
+def test_paths_too_deep_to_tell_are_held(spark):
+    deep = lambda n: '{"path": "/a", "x": ' + "[" * n + '"/y"' + "]" * n + "}"
+    rows = [("far", deep(100_000)), ("some", deep(6)), ("near", deep(2)), ("none", "{}")]
+    calls = spark.createDataFrame(rows, "id string, args string")
+    found = argument_paths(calls, levels=5)
+    assert {r.id: r.path for r in found.collect()} == {"far": None, "some": None, "near": "/a"}
+    actions = calls.select("id", F.lit("undoable").alias("tier"))
+    sizes = found.withColumn("existed", F.lit(True)).withColumn("size", F.lit(1).cast("bigint"))
+    got = {r.id: (r.tier, r.note, r.has_undo) for r in policy.escalate(actions, sizes).collect()}
+    assert got == {
+        "far": ("hold", policy.UNKNOWN_PATHS, False), "some": ("hold", policy.UNKNOWN_PATHS, False),
+        "near": ("undoable", None, True), "none": ("undoable", None, False),
+    }
+    assert argument_paths(calls.limit(0)).count() == 0
 
 
 def test_budget_limit(spark):
