@@ -67,12 +67,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # 96 bits of hash; the other columns tell rows of equal id, source and text apart.
     key = F.struct(F.xxhash64("doc_id", "source", "text", rest).alias("a"), F.hash("text", rest, "doc_id").alias("b"))
     keyed = docs.select(_row(docs), key.alias("__key"))
-    sized = docs.select(key.alias("__key"), "doc_id", "source", curriculum.word_count("text").alias("size"))
+    sized = docs.select(key.alias("row"), "doc_id", "source", curriculum.word_count("text").alias("size"))
     sized = checkpointed(sized, "sizes")
-    places = curriculum.schedule(curriculum.mix(sized)).select(F.col("__key").alias("__at"), "position")
-    if not sized.groupBy("__key").count().where("count > 1").isEmpty():
+    places = curriculum.schedule(curriculum.mix(sized)).select("row", "position")
+    if not sized.groupBy("row").count().where("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["__key"])
-    joined = keyed.join(places, F.col("__key") == F.col("__at"))
+    joined = keyed.join(places, F.col("__key") == F.col("row"))
     return joined.orderBy("position").select("__doc.*")
 
 
