@@ -47,7 +47,7 @@ def feature_roles(df: DataFrame, label: str) -> Roles:
         few = [c.name for c in stats.columns if c.n_unique is not None
                and c.n_unique <= MAX_CATEGORIES]
     if not numeric and not few:
-        raise NoFeatures("No usable feature columns after preprocessing.")
+        raise NoFeatures("no column is left to learn from")
     return Roles(numeric, few, [n for n in other if n not in few])
 
 

@@ -223,15 +223,16 @@ def expose_tools(tools: DataFrame, control_prefix: str = "audit_") -> DataFrame:
         {"prefixed": F.concat_ws("__", "server", "tool"), "flat": F.col("attach_order") == F.col("first")}
     )
     # A prefixed name may take the name of a later tool, which is then prefixed itself and may
-    # do the same. Names get longer every time, so this ends.
-    moved = -1
-    while (now := named.where(~F.col("flat")).count()) != moved:
-        moved = now
+    # do the same. Names get longer every time, so this ends; most catalogues settle at once.
+    while True:
         taken = (
             named.where(~F.col("flat"))
             .groupBy(F.col("prefixed").alias("tool"))
             .agg(F.min("attach_order").alias("taken"))
         )
+        lost = F.col("flat") & (F.col("taken") < F.col("attach_order"))
+        if named.join(taken, "tool").where(lost).isEmpty():
+            break
         free = F.col("taken").isNull() | (F.col("taken") >= F.col("attach_order"))
         named = checkpointed(
             named.join(taken, "tool", "left").withColumn("flat", F.col("flat") & free).drop("taken"), "tool-names"

@@ -41,7 +41,7 @@ def _written(df: DataFrame, out: str, name: str, source_ref: str, order_by) -> t
     stats = column_stats(stored)
     if stats.rows == 0:
         remove(spark, out)
-        raise EmptyImport("Import produced 0 rows — check the source/split.")
+        raise EmptyImport("the source gave 0 rows")
     size = list_files(spark, out, "*.parquet").agg(F.sum("length")).head()[0]
     profile = profile_rows(stored, stats, order_by)
     return (name, source_ref, out, "parquet", stats.rows, size, profile, "ready", None)

@@ -172,6 +172,6 @@ def test_search_by_index_is_search_by_scan(spark):
 def test_every_task_of_the_table_is_trained(spark):
     rows = [(f"a sentence about thing {i} and its many words", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "text string, other int")
-    cards = spark.createDataFrame([("texts", 5, ["llm"])], "repo_id string, downloads int, tags array<string>")
+    cards = spark.createDataFrame([("fine-tune-chatbot", 5, ["llm"])], "repo_id string, downloads int, tags array<string>")
     run = goals.autopilot(spark, "fine-tune a chatbot llm", cards, lambda name: df)
     assert run.error is None and run.trained.metrics["train_rows"] + run.trained.metrics["eval_rows"] == 40
