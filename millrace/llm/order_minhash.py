@@ -224,8 +224,8 @@ def classes(
     if it agrees on ``agree`` of all sketches (a pair at the threshold of 0.8 falls short of
     three once in 30,000) and its lengths allow the threshold. Links join to classes.
 
-    Texts that share a sketch first meet their smallest, then one text of each class so far
-    meets one of the largest class of its bucket; so a large group of copies costs about one
+    Texts that share a sketch first meet the most typical of them, which lies in the largest
+    buckets, then one text of each class so far meets one of the largest class of its bucket; so a large group of copies costs about one
     alignment per text. What shares ``agree`` sketches with other classes after that meets them
     by its rarest runs: two texts at the threshold must have one of these in common, early
     enough in both, so every likely pair that the links have not joined is aligned, linked
@@ -248,10 +248,14 @@ def classes(
     )
     marks = marked.groupBy("key").agg(F.first("marks").alias("marks"), F.first("runs").alias("runs"))
     members = marked.select("key", F.explode("marks").alias("h")).distinct()
-    stars = checkpointed(
-        members.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "stars"
-    )
-    members = checkpointed(members.join(stars, "h"), "members")
+    sizes = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(members.join(sizes, "h"), "sized")
+    # A text in many large buckets is typical of its group: most of the group is near it.
+    typical = checkpointed(members.groupBy("key").agg(F.sum("n").alias("weight")), "typical")
+    members = checkpointed(members.join(typical, "key").select("h", "key", "weight"), "weighed")
+    stars = members.groupBy("h").agg(F.max(F.struct("weight", "key")).alias("star"))
+    members = members.select("h", "key").join(stars, "h").select("h", "key", F.col("star.key").alias("pivot"), F.col("star.weight").alias("weight"))
+    members = checkpointed(members, "members")
     # Whatever may pass shares at least so many sketches with others.
     wanted = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
     texts = checkpointed(
@@ -265,7 +269,7 @@ def classes(
         )
         fits = F.least("runs", "length") >= F.greatest("runs", "length") * threshold - 1e-9
         found = pairs.join(marks, "key").join(theirs, "pivot").where(fits & (shared >= agree))
-        return checkpointed(found.select("key", "pivot"), "pairs")
+        return checkpointed(found.select(*pairs.columns), "pairs")
 
     def judge(pairs: DataFrame) -> DataFrame:
         other = texts.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
@@ -281,9 +285,9 @@ def classes(
         found = components(links, "key", "pivot")
         return checkpointed(found.select(F.col("node").alias("key"), F.col("component").alias("root")), "labels")
 
-    pairs = likely(members.where("key != pivot").select("key", "pivot").distinct())
-    links = judge(pairs.groupBy("key").agg(F.min("pivot").alias("pivot")))
-    # Every text hangs below a smaller one: two hops reach most roots.
+    pairs = likely(members.where("key != pivot").select("key", "pivot", "weight").distinct())
+    links = judge(pairs.groupBy("key").agg(F.max(F.struct("weight", "pivot"))["pivot"].alias("pivot")))
+    # Every text hangs below one more typical: two hops reach most roots.
     up = links.select(F.col("key").alias("pivot"), F.col("pivot").alias("above"))
     hop = links.join(up, "pivot", "left").select("key", F.coalesce("above", "pivot").alias("root"))
     hop = checkpointed(hop, "hop")
