@@ -185,11 +185,17 @@ def merge_hyperparams(spec: DataFrame, user: DataFrame) -> DataFrame:
     return wanted.select("job", "task", "name", F.coalesce(value, F.col("default")).alias("value"))
 
 
+def lacking(requirements: DataFrame, installed: DataFrame) -> DataFrame:
+    """``task, capability``: one row per capability that a task requires and that is not installed."""
+    wanted = requirements.where("capability IS NOT NULL").select("task", "capability").distinct()
+    return wanted.join(installed.select("capability").distinct(), "capability", "left_anti").select("task", "capability")
+
+
 def task_catalog(requirements: DataFrame, installed: DataFrame) -> DataFrame:
     """Tasks with the capabilities they lack.
 
     ``requirements`` has ``task, capability`` (null for a task without any); ``installed``
-    one row per ``capability`` present.
+    one row per ``capability`` present. A task's list is for showing; :func:`lacking` has it as rows.
     """
     present = installed.select("capability").distinct().withColumn("__here", F.lit(True))
     lacking = F.when(F.col("capability").isNotNull() & F.col("__here").isNull(), F.col("capability"))

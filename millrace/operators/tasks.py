@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from millrace.operators.corpus import build_texts, lm_split
 from millrace.operators.evaluate import row_counts
 from millrace.operators.features import TEST, row_key
-from millrace.operators.registry import DATASET_NOT_READY
+from millrace.operators.registry import DATASET_NOT_READY, task_catalog
 from millrace.operators.train import Trained, save_model, train_tabular, train_text
 from millrace.sources.jsonlines import append_jsonl, metric_points
 
@@ -25,12 +26,18 @@ class Param:
 
 @dataclass(frozen=True)
 class Task:
-    """A task and its trainer, called with a DataFrame, merged values and a log function."""
+    """A task and its trainer, called with a DataFrame, merged values and a log function.
+
+    ``requires`` names the Python modules its trainer needs.
+    """
 
     name: str
     params: tuple[Param, ...]
     train: Callable[[DataFrame, dict, Callable[[str], None]], Trained | dict]
     requires: tuple[str, ...] = ()
+    label: str = ""
+    description: str = ""
+    needs_gpu: bool = False
 
 
 @dataclass
@@ -71,6 +78,20 @@ def requirements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task string, capability string")
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """``capability``: the modules, of those that registered tasks require, that can be imported."""
+    wanted = sorted({c for t in TASKS.values() for c in t.requires})
+    rows = [(c,) for c in wanted if importlib.util.find_spec(c)]
+    return spark.createDataFrame(rows, "capability string")
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """Registered tasks: ``task, label, description, needs_gpu, available, missing_requirements``."""
+    about = [(t.name, t.label or t.name, t.description, t.needs_gpu) for t in TASKS.values()]
+    told = spark.createDataFrame(about, "task string, label string, description string, needs_gpu boolean")
+    return told.join(task_catalog(requirements(spark), capabilities(spark)), "task")
+
+
 def _text(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
@@ -151,6 +172,9 @@ def _tabular(name: str, linear: str) -> Task:
         name,
         (*_TABULAR, algorithm),
         lambda df, hp, say: train_tabular(df, name, hp, say=say),
+        ("numpy",),
+        name.replace("-", " ").capitalize(),
+        f"Learns the values of one column from the others with {', '.join(choices)}.",
     )
 
 
@@ -179,6 +203,9 @@ for _task in (
             Param("seed", "int", 42),
         ),
         lambda df, hp, say: train_text(df, hp, say=say),
+        ("numpy", "pyarrow"),
+        "Text classification",
+        "Learns the label of a text from its words, epoch by epoch.",
     ),
     Task(
         "causal-lm",
@@ -198,6 +225,8 @@ for _task in (
             Param("seed", "int", 42),
         ),
         _count_corpus,
+        label="Language model corpus",
+        description="Builds and splits the texts a language model is fine-tuned on.",
     ),
 ):
     register_task(_task)

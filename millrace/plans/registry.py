@@ -307,6 +307,20 @@ def task_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.task_catalog(wanted, installed)
 
 
+@query(
+    "r_lacking",
+    """
+    SELECT DISTINCT p_brand AS task, p_name AS capability FROM part
+    WHERE p_partkey % 5 <> 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_partkey % 2 = 0)
+    """,
+)
+def lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    wanted = part.select(F.col("p_brand").alias("task"), nulled("p_partkey", 5, "p_name").alias("capability"))
+    installed = part.where("p_size = 50 AND p_partkey % 2 = 0").select(F.col("p_name").alias("capability"))
+    return registry.lacking(wanted, installed)
+
+
 # ---------------------------------------------------------------- metrics
 
 

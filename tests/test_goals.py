@@ -175,3 +175,15 @@ def test_every_task_of_the_table_is_trained(spark):
     cards = spark.createDataFrame([("fine-tune-chatbot", 5, ["llm"])], "repo_id string, downloads int, tags array<string>")
     run = goals.autopilot(spark, "fine-tune a chatbot llm", cards, lambda name: df)
     assert run.error is None and run.trained.metrics["train_rows"] + run.trained.metrics["eval_rows"] == 40
+
+
+def test_catalogue_of_registered_tasks(spark):
+    rows = {r.task: r for r in tasks.catalogue(spark).collect()}
+    assert {"tabular-classification", "tabular-regression", "text-classification", "causal-lm"} <= set(rows)
+    assert all(r.available and r.missing_requirements == "" and r.label for r in rows.values())
+    tasks.register_task(tasks.Task("needy", (), lambda df, hp, say: {}, ("numpy", "no_such_module"), "Needy", needs_gpu=True))
+    try:
+        needy = tasks.catalogue(spark).where("task = 'needy'").head()
+        assert (needy.available, needy.missing_requirements, needy.needs_gpu) == (False, "no_such_module", True)
+    finally:
+        del tasks.TASKS["needy"]
