@@ -23,9 +23,9 @@ _ARROW = pa.schema([("file", pa.string()), ("start", pa.int64()), ("line", pa.st
 
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder, of this machine where it names no scheme."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 class Ranges(InputPartition):
