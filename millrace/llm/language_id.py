@@ -83,10 +83,10 @@ def fit(texts: list[str], names: list[str], smoothing: float = 0.5, margin: floa
     """
     languages = sorted(set(names))
     counts = np.full((len(languages) + 1, (1 << BITS) + 1), smoothing)
-    parts = []
-    for start, end, data, offsets in blocks(pa.array(texts, pa.string())):
+    column = pa.array(texts, pa.string())
+    # Trigrams take many times the memory of their text, so both passes make them block by block.
+    for start, end, data, offsets in blocks(column):
         grams = trigrams(data, offsets)
-        parts.append((start, end, grams, offsets))
         for row in range(end - start):
             own = languages.index(names[start + row])
             counts[own] += np.bincount(grams[offsets[row] : offsets[row + 1]], minlength=counts.shape[1])
@@ -94,12 +94,13 @@ def fit(texts: list[str], names: list[str], smoothing: float = 0.5, margin: floa
     with np.errstate(divide="ignore"):
         tables = np.log(counts / counts[:, :-1].sum(axis=1, keepdims=True))
     tables[:, -1] = 0
-    means = [
-        tables[languages.index(names[start + row])][grams[a:b]].sum() / (grams[a:b] < 1 << BITS).sum()
-        for start, _, grams, offsets in parts
-        for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:]))
-        if (grams[a:b] < 1 << BITS).sum() > 32
-    ]
+    means = []
+    for start, end, data, offsets in blocks(column):
+        grams = trigrams(data, offsets)
+        for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            known = (grams[a:b] < 1 << BITS).sum()
+            if known > 32:
+                means.append(tables[languages.index(names[start + row])][grams[a:b]].sum() / known)
     tables[-1, :-1] = (np.quantile(means, 0.001) if means else -np.log(1 << BITS)) - margin
     return TextModel(languages, tables.astype(np.float32))
 
@@ -137,7 +138,10 @@ def learn(
     # At most ``rows`` hashes of ``most`` languages are broadcast.
     found = hashed.join(F.broadcast(chosen), ["name", "h"]).groupBy("name", "h").agg(F.first("text").alias("text"))
     sample = found.select("name", F.lower("text").alias("text"), "h").orderBy("name", "h").toArrow()
-    return fit(sample.column("text").to_pylist(), sample.column("name").to_pylist())
+    model = fit(sample.column("text").to_pylist(), sample.column("name").to_pylist())
+    del sample
+    release()
+    return model
 
 
 def visible(html: str | Column) -> Column:
