@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.ordered import next_row, running_sum
 from millrace.llm.registry import query, table
 from millrace.llm.words import blocks, mix, release, word_hashes
+from millrace.session import checkpointed, workspace
 
 WIDTHS = (1, 2, 3)
 
@@ -99,7 +101,7 @@ def logits(model: Model, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         act = _activations(model, one, two, w)
         act[padding[: len(act)]] = 0
         pooled.append(np.maximum(np.maximum.reduceat(act, begin, axis=0), 0))
-    return np.concatenate(pooled, axis=1) @ model.weights + model.offset
+    return (np.concatenate(pooled, axis=1) @ model.weights + model.offset).astype(np.float32)
 
 
 def scores(model: Model, words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -124,73 +126,62 @@ def _threshold(z: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
     return float((low[widest] + high[widest]) / 2)
 
 
-def fit(
-    texts: list[str],
-    labels: np.ndarray,
-    calibrate: np.ndarray,
-    share: float,
-    bits: int = 17,
-    size: int = 8,
-    count: int = 8,
-    epochs: int = 6,
-    steps: int = 400,
-    batch: int = 64,
-    rate: float = 0.1,
-    seed: int = 7,
-) -> Model:
-    """Train on whole texts with Adagrad; ``share`` is the share of label 1 outside the sample.
-
-    There are ``epochs`` passes, or as many as make ``steps`` steps.
-
-    Embeddings start at the smoothed log odds of their bucket, the rest at random. Rows marked
-    in ``calibrate`` only set thresholds: one for each language with 20 rows of either label,
-    one over all rows for the others. Without rows of both labels the score is ``share``.
-    """
-    train = np.flatnonzero(~calibrate)
-    if len(set(labels[train].tolist())) < 2:
-        return Model(bits, (), {}, {}, np.zeros(0), float(share), np.zeros(len(FUNCTION_WORDS) + 1))
-    rng = np.random.default_rng(seed)
-    hashed = []
-    for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
-        words, first = word_hashes(data, offsets)
-        hashed += [words[a:b] for a, b in zip(first[:-1], first[1:])]
+def bucket_counts(words: np.ndarray, first: np.ndarray, labels: np.ndarray, bits: int) -> np.ndarray:
+    """Number of texts that have each bucket, by table, label and bucket."""
+    text = np.repeat(np.arange(len(labels)), np.diff(first))
+    out = np.zeros((2, 2, (1 << bits) + 1), np.int64)
+    for n, h in enumerate((words, mix(words + np.uint64(1)))):
+        pairs = np.unique(text << bits | (h >> np.uint64(64 - bits)).astype(np.int64))
+        for label in (0, 1):
+            own = pairs[labels[pairs >> bits] == label] & ((1 << bits) - 1)
+            out[n, label] = np.bincount(own, minlength=out.shape[2])
+    return out
 
-    def together(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.concatenate([[0], np.cumsum([len(hashed[r]) for r in rows])])
-        return (np.concatenate([hashed[r] for r in rows]) if len(rows) else np.zeros(0, np.uint64)), first
 
+def start(seen: np.ndarray, sizes: np.ndarray, bits: int, size: int, count: int, rng: np.random.Generator) -> Model:
+    """A model whose embeddings hold the smoothed log odds of their bucket; the rest is random."""
     tables = tuple(rng.normal(0, 0.05, ((1 << bits) + 1, size)).astype(np.float32) for _ in range(2))
-    found = [np.zeros((2, (1 << bits) + 1)) for _ in range(2)]
-    for r in train:
-        one, two, _ = buckets(np.unique(hashed[r]), np.array([0, len(np.unique(hashed[r]))]), bits)
-        for seen, rows in zip(found, (one, two)):
-            seen[int(labels[r])][np.unique(rows)] += 1
-    sizes = np.bincount(labels[train], minlength=2)
-    for target, seen in zip(tables, found):
-        odds = np.log((seen[1] + 0.5) / (sizes[1] + 1)) - np.log((seen[0] + 0.5) / (sizes[0] + 1))
-        steady = (seen[0] + seen[1]) / (seen[0] + seen[1] + 3)
-        target[:, 0] = np.clip(odds * steady, -3, 3) / 3
+    for target, (zero, one) in zip(tables, seen):
+        odds = np.log((one + 0.5) / (sizes[1] + 1)) - np.log((zero + 0.5) / (sizes[0] + 1))
+        target[:, 0] = np.clip(odds * ((zero + one) / (zero + one + 3)), -3, 3) / 3
         target[-1] = 0
     filters = {w: rng.normal(0, 0.1, (w, 2 * size, count)).astype(np.float32) for w in WIDTHS}
     for w in WIDTHS:
         filters[w][rng.integers(0, w), [0, size], :] += 0.5
     biases = {w: np.full(count, -0.2, np.float32) for w in WIDTHS}
-    model = Model(
+    return Model(
         bits, tables, filters, biases, rng.normal(0.5, 0.1, count * len(WIDTHS)).astype(np.float32), -0.5,
         np.zeros(len(FUNCTION_WORDS) + 1),
     )
-    state = {
-        "tables": tuple(np.full(len(t), 1e-2, np.float32) for t in tables),
-        "filters": {w: np.full_like(f, 1e-2) for w, f in filters.items()},
-        "biases": {w: np.full_like(f, 1e-2) for w, f in biases.items()},
+
+
+def fresh_memory(model: Model) -> dict:
+    """What Adagrad knows before the first step."""
+    return {
+        "tables": tuple(np.full(len(t), 1e-2, np.float32) for t in model.tables),
+        "filters": {w: np.full_like(f, 1e-2) for w, f in model.filters.items()},
+        "biases": {w: np.full_like(f, 1e-2) for w, f in model.biases.items()},
         "weights": np.full_like(model.weights, 1e-2),
         "offset": 1e-2,
     }
-    pad = max(WIDTHS)
-    for _ in range(max(epochs, -(-steps * batch // len(train)))):
-        for rows in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
-            words, first = together(rows)
-            one, two, begin = buckets(words, first, bits)
+
+
+def _together(hashed: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], np.cumsum([len(hashed[r]) for r in rows], dtype=np.int64)])
+    return (np.concatenate([hashed[r] for r in rows]) if len(rows) else np.zeros(0, np.uint64)), first
+
+
+def descend(
+    model: Model, state: dict, hashed: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator,
+    passes: int, batch: int = 64, rate: float = 0.1,
+) -> None:
+    """``passes`` over whole texts, in place, with Adagrad."""
+    tables, filters, biases = model.tables, model.filters, model.biases
+    size, count, pad = tables[0].shape[1], len(biases[WIDTHS[0]]), max(WIDTHS)
+    for _ in range(passes):
+        for rows in np.array_split(rng.permutation(len(hashed)), max(1, len(hashed) // batch)):
+            words, first = _together(hashed, rows)
+            one, two, begin = buckets(words, first, model.bits)
             y = labels[rows].astype(np.float32)
             places, pooled = {}, []
             for w in WIDTHS:
@@ -236,12 +227,51 @@ def fit(
                 g = own.sum(axis=0)
                 state["biases"][w] += g * g
                 biases[w] -= rate * g / np.sqrt(state["biases"][w])
+
+
+def constant(share: float, bits: int = 17) -> Model:
+    """What is known without rows of both labels."""
+    return Model(bits, (), {}, {}, np.zeros(0), float(share), np.zeros(len(FUNCTION_WORDS) + 1))
+
+
+def fit(
+    texts: list[str],
+    labels: np.ndarray,
+    calibrate: np.ndarray,
+    share: float,
+    bits: int = 17,
+    size: int = 8,
+    count: int = 8,
+    epochs: int = 6,
+    steps: int = 400,
+    batch: int = 64,
+    rate: float = 0.1,
+    seed: int = 7,
+) -> Model:
+    """Train on texts at hand; :func:`learn` does the same on a table. ``share`` is that of label 1 outside of them.
+
+    There are ``epochs`` passes, or as many as make ``steps`` steps. Rows marked in ``calibrate``
+    only set thresholds: one for each language with 20 rows of either label, one over all rows
+    for the others. Without rows of both labels the score is ``share``.
+    """
+    train = np.flatnonzero(~calibrate)
+    if len(set(labels[train].tolist())) < 2:
+        return constant(share, bits)
+    rng = np.random.default_rng(seed)
+    hashed = []
+    for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
+        words, first = word_hashes(data, offsets)
+        hashed += [words[a:b] for a, b in zip(first[:-1], first[1:])]
+    seen = bucket_counts(*_together(hashed, train), labels[train], bits)
+    model = start(seen, np.bincount(labels[train], minlength=2), bits, size, count, rng)
+    passes = max(epochs, -(-steps * batch // len(train)))
+    descend(model, fresh_memory(model), [hashed[r] for r in train], labels[train], rng, passes, batch, rate)
     held = np.flatnonzero(calibrate)
     if len(set(labels[held].tolist())) < 2:
         held = train
     z, spoken = [], []
     for rows in np.array_split(held, max(1, len(held) // batch)):
-        words, first = together(rows)
+        words, first = _together(hashed, rows)
         z.append(logits(model, words, first))
         spoken.append(languages(words, first))
     z, spoken, label = np.concatenate(z), np.concatenate(spoken), labels[held]
@@ -260,14 +290,240 @@ def fold(id_column: str | Column) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % 5
 
 
+#: Training rows that one task learns from on its own between two merges, and their words at most.
+SHARD_ROWS = 4096
+_SHARD_WORDS = 1 << 22
+#: Rounded to these, changes add up to the same whatever the order.
+_UNIT = float(1 << 24)
+_PART_BITS = 12
+
+
+def _listed(model: Model, state: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per table the embeddings with their memory behind them, and all other numbers in a row."""
+    rows = [np.concatenate([t, m[:, None]], axis=1) for t, m in zip(model.tables, state["tables"])]
+    few = [model.weights, state["weights"], [model.offset, state["offset"]]]
+    for w in WIDTHS:
+        few += [x.ravel() for x in (model.filters[w], state["filters"][w], model.biases[w], state["biases"][w])]
+    return rows, np.concatenate(few).astype(np.float64)
+
+
+def _restored(model: Model, rows: list[np.ndarray], few: np.ndarray) -> tuple[Model, dict]:
+    """The inverse of :func:`_listed`; shapes are those of ``model``."""
+    at = 0
+
+    def take(like: np.ndarray) -> np.ndarray:
+        nonlocal at
+        at += like.size
+        return few[at - like.size : at].reshape(like.shape).astype(np.float32)
+
+    weights, memory = take(model.weights), take(model.weights)
+    offset, offset_memory = few[at : at + 2].tolist()
+    at += 2
+    filters, biases, state = {}, {}, {"filters": {}, "biases": {}, "weights": memory, "offset": offset_memory}
+    for w in WIDTHS:
+        filters[w], state["filters"][w] = take(model.filters[w]), take(model.filters[w])
+        biases[w], state["biases"][w] = take(model.biases[w]), take(model.biases[w])
+    tables = tuple(np.ascontiguousarray(r[:, :-1], np.float32) for r in rows)
+    state["tables"] = tuple(r[:, -1].astype(np.float32) for r in rows)
+    return Model(model.bits, tables, filters, biases, weights, offset, model.thresholds.copy()), state
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Shard, label and hashed words of every text."""
+    for batch in batches:
+        shards, marks = batch.column("shard").to_pylist(), batch.column("toxic").to_pylist()
+        for begin, _, data, offsets in blocks(batch.column("text")):
+            words, first = word_hashes(data, offsets)
+            for n, (a, b) in enumerate(zip(first[:-1], first[1:]), begin):
+                yield shards[n], marks[n], words[a:b]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """The texts of a shard together; very many words are cut into several."""
+    held: list[np.ndarray] = []
+    marks: list[int] = []
+    size, last = 0, None
+    for shard, mark, words in _hashed(batches):
+        if held and (shard != last or size + len(words) > _SHARD_WORDS):
+            yield last, held, np.array(marks, np.int64)
+            held, marks, size = [], [], 0
+        held.append(words)
+        marks.append(mark)
+        size, last = size + len(words), shard
+    if held:
+        yield last, held, np.array(marks, np.int64)
+
+
+_SUMS = "part int, slots binary, sums binary"
+
+
+def _sums(part: int, slots: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([slots.astype(np.int32).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([sums.astype(np.int64).tobytes()], pa.binary())], names=["part", "slots", "sums"])
+
+
+def _cut(slots: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``sums`` by part; ``slots`` ascend."""
+    parts = slots >> _PART_BITS
+    edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield _sums(int(parts[a]), slots[a:b], sums[a:b])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the rows of equal part and slot."""
+    totals: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for part, slots, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            at = np.frombuffer(slots, np.int32).astype(np.int64)
+            sums = np.frombuffer(sums, np.int64).reshape(len(at), -1)
+            if part not in totals:
+                totals[part] = np.zeros((1 << _PART_BITS, sums.shape[1]), np.int64)
+            totals[part][at - (max(part, 0) << _PART_BITS)] += sums
+    for part, total in totals.items():
+        used = np.flatnonzero(total.any(axis=1))
+        yield _sums(part, used + (max(part, 0) << _PART_BITS), total[used])
+
+
+def _total(partial: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Slots and sums of every part, added up by tasks; their size is that of the model."""
+    out = {}
+    for r in partial.repartition("part").mapInArrow(_added, _SUMS).collect():
+        slots = np.frombuffer(r.slots, np.int32)
+        out[r.part] = slots, np.frombuffer(r.sums, np.int64).reshape(len(slots), -1)
+    return out
+
+
+def _count_texts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, (1 << bits) + 1), np.int64)
+        for _, held, marks in _shards(batches):
+            total += bucket_counts(*_together(held, np.arange(len(held))), marks, bits)
+        flat = total.transpose(0, 2, 1).reshape(-1, 2)
+        used = np.flatnonzero(flat.any(axis=1))
+        yield from _cut(used, flat[used])
+        release()
+
+    return run
+
+
+def _round(shared, seed: list[int], passes: int, batch: int):
+    """What the shards of a task change, each from the same model: embeddings they touch, and the rest as part -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, few = _listed(*shared.value)
+        before = np.concatenate(rows)
+        total, rest = np.zeros((len(before), before.shape[1] + 1), np.int64), np.zeros(len(few) + 1, np.int64)
+        for shard, held, marks in _shards(batches):
+            model, state = _restored(shared.value[0], rows, few)
+            descend(model, state, held, marks, np.random.default_rng([*seed, shard]), passes, batch)
+            now, few_now = _listed(model, state)
+            change = np.rint((np.concatenate(now) - before).astype(np.float64) * _UNIT).astype(np.int64)
+            total[:, :-1] += change
+            total[:, -1] += change.any(axis=1)
+            rest += np.append(np.rint((few_now - few) * _UNIT).astype(np.int64), 1)
+        if rest[-1]:
+            used = np.flatnonzero(total[:, -1])
+            yield from _cut(used, total[used])
+            yield _sums(-1, np.zeros(1, np.int64), rest[None])
+        release()
+
+    return run
+
+
+def _merged(model: Model, state: dict, found: dict) -> tuple[Model, dict]:
+    """Every number moves by the mean of the shards that changed it."""
+    rows, few = _listed(model, state)
+    edge = len(rows[0])
+    every = np.concatenate(rows).astype(np.float64)
+    for part, (slots, sums) in found.items():
+        if part >= 0:
+            every[slots] += sums[:, :-1] / sums[:, -1:] / _UNIT
+    rest = found[-1][1][0]
+    return _restored(model, [every[:edge], every[edge:]], few + rest[:-1] / rest[-1] / _UNIT)
+
+
+def _mark(shared):
+    """Language, logit, its place in a whole-number order, and label of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, data, offsets in blocks(batch.column("text")):
+                words, first = word_hashes(data, offsets)
+                z = logits(shared.value, words, first) + np.float32(0)  # no negative zero
+                at = z.view(np.int32)
+                at = np.where(at < 0, at ^ np.int32(0x7FFFFFFF), at).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(languages(words, first), pa.int32()), pa.array(z.astype(np.float64)), pa.array(at),
+                     batch.column("toxic").slice(begin, end - begin)],
+                    names=["language", "z", "at", "toxic"],
+                )
+        release()
+
+    return run
+
+
+def thresholds(marked: DataFrame, share: float) -> dict[int, float]:
+    """Logit with the least weighted error for all rows (0) and each language with 20 rows of either label.
+
+    It lies in the middle of the widest gap that has this error. Rows of ``marked`` have
+    ``language``, ``z``, ``at`` and ``toxic``; they are counted and summed along in slices.
+    """
+    group = F.explode(F.array_distinct(F.array(F.lit(0), "language"))).alias("group")
+    counts = marked.select(group, "z", "at", "toxic").groupBy("group", "at").agg(
+        F.min("z").alias("z"), F.sum("toxic").alias("ones"), F.count("*").alias("rows")
+    )
+    counts = checkpointed(counts, "logits")
+    found = {
+        r.group: r for r in counts.groupBy("group").agg(
+            F.min("z").alias("low"), F.sum("ones").alias("ones"), F.sum("rows").alias("rows")
+        ).collect()
+    }
+    rate = found[0].ones / found[0].rows
+    one, zero = share / rate, (1 - share) / (1 - rate)
+    # Errors beyond those of a threshold below all rows.
+    cuts = running_sum(counts, ["group"], "at", F.col("ones") * one - (F.col("rows") - F.col("ones")) * zero, "cost")
+    cuts = checkpointed(next_row(cuts, ["group"], "at", ["z"], "above"), "cuts")
+    least = {r.group: min(r.cost, 0.0) for r in cuts.groupBy("group").agg(F.min("cost").alias("cost")).collect()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for g, c in least.items() for x in (g, c + 1e-9 * found[g].rows)]), F.col("group"))
+    high = F.coalesce("above.z", F.col("z") + 2)
+    widest = cuts.where(F.col("cost") <= limit).groupBy("group").agg(
+        F.max(F.struct((high - F.col("z")).alias("gap"), -F.col("at"), ((high + F.col("z")) / 2).alias("cut"))).alias("best")
+    )
+    best = {r.group: r.best for r in widest.collect()}
+    out = {}
+    for n, r in found.items():
+        below = least[n] >= -1e-9 * r.rows and (n not in best or best[n].gap <= 2)
+        if n == 0 or min(r.ones, r.rows - r.ones) >= 20:
+            out[n] = r.low - 1 if below else best[n].cut
+    return out
+
+
+def _met(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` whose ``__id`` may be among ``ids``: most others stay out of the shuffle, by a bitmap of fixed size."""
+    place = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << bits))
+    words = (
+        ids.select(place.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(__at & 63 AS int)))").alias("__bits"))
+    )
+    near = rows.withColumn("__at", place).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word")
+    return near.where("(shiftright(__bits, cast(__at & 63 AS int)) & 1) = 1").drop("__at", "__word", "__bits")
+
+
 def learn(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = 4000
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 17,
+    size: int = 8, count: int = 8, epochs: int = 6, steps: int = 400, batch: int = 64, seed: int = 7,
 ) -> Model:
-    """Fit a model on at most ``rows`` labelled texts of either label, the first by hash of the id.
+    """Fit a model on every labelled text.
 
     Only rows outside fold 0 count; fold 1 sets the thresholds. Several labels of an id count
     as the largest; null ids and labels are left out.
+
+    Texts are dealt to shards by hash of the id. In each of ``epochs`` rounds every shard starts from the
+    same model and passes over its texts, and the changes are averaged over the shards that
+    made them. Few texts are passed over again within a round until all make ``steps`` steps.
     """
+    spark = docs.sparkSession
     truth = (
         labels.where(F.col("toxic").isNotNull() & (fold("doc_id") != 0))
         .groupBy(F.col("doc_id").alias("__id"))
@@ -275,26 +531,45 @@ def learn(
     )
     found = {r["__toxic"]: r["n"] for r in truth.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     share = found.get(1, 0) / max(1, sum(found.values()))
-    texts, marks, folds = [], [], []
-    for label in (0, 1):
-        chosen = (
-            truth.where(F.col("__toxic") == label)
-            .join(docs.select(F.col(id_column).alias("__id")).distinct(), "__id", "left_semi")
-            .orderBy(F.xxhash64("__id"), "__id")
-            .limit(rows)
-        )
-        part = (
-            docs.select(F.col(id_column).alias("__id"), F.lower(F.col(text_column)).alias("__text"))
-            .join(F.broadcast(chosen), "__id")
-            .select("__id", F.coalesce("__text", F.lit("")).alias("__text"), fold("__id").alias("__fold"))
-            .orderBy("__id", "__text")
-            .toArrow()
-        )
-        texts += part.column("__text").to_pylist()
-        folds += part.column("__fold").to_pylist()
-        marks += [label] * part.num_rows
-    model = fit(texts, np.array(marks, np.int64), np.array(folds, np.int64) == 1, share)
-    del texts, part
+    shards = max(1, -(-sum(found.values()) // SHARD_ROWS))
+    texts = docs.select(F.col(id_column).alias("__id"), F.lower(F.col(text_column)).alias("text")).where(fold("__id") != 0)
+    # Labels and texts meet in the shuffle that deals the shards, so texts are moved once.
+    nothing = F.lit(None)
+    both = _met(texts, truth).select("__id", "text", nothing.cast("int").alias("__toxic"), F.lit(True).alias("__doc")).unionByName(
+        truth.where("__toxic IN (0, 1)").select("__id", nothing.cast("string").alias("text"), "__toxic", F.lit(False).alias("__doc"))
+    )
+    both = both.withColumn("shard", F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(shards)).cast("int"))
+    of_id = Window.partitionBy("shard", "__id").orderBy("text")
+    of_id = of_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = both.repartition("shard").withColumn("toxic", F.max("__toxic").over(of_id)).where("__doc AND toxic IS NOT NULL").select(
+        (fold("__id") == 1).alias("calibrate"), "shard", "toxic", F.coalesce("text", F.lit("")).alias("text")
+    )
+    path = workspace(spark, "labelled")
+    known.write.option("compression", "zstd").parquet(path)
+    known = spark.read.schema(known.schema).parquet(path)
+    sizes = {(r.calibrate, r.toxic): r["count"] for r in known.groupBy("calibrate", "toxic").count().collect()}
+    if not all((False, label) in sizes for label in (0, 1)):
+        return constant(share, bits)
+    rows = known.where("NOT calibrate").select("shard", "toxic", "text")
+    seen = np.zeros((2 * ((1 << bits) + 1), 2), np.int64)
+    for slots, sums in _total(rows.mapInArrow(_count_texts(bits), _SUMS)).values():
+        seen[slots] = sums
+    of_label = np.array([sizes[False, 0], sizes[False, 1]])
+    model = start(seen.reshape(2, -1, 2).transpose(0, 2, 1), of_label, bits, size, count, np.random.default_rng(seed))
+    state = fresh_memory(model)
+    passes = max(1, -(-steps * batch // (epochs * int(of_label.sum()))))
+    for n in range(epochs):
+        shared = spark.sparkContext.broadcast((model, state))
+        changes = _total(rows.mapInArrow(_round(shared, [seed, n], passes, batch), _SUMS))
+        model, state = _merged(model, state, changes)
+        shared.unpersist()
+    held = known.where("calibrate") if all((True, label) in sizes for label in (0, 1)) else known.where("NOT calibrate")
+    shared = spark.sparkContext.broadcast(model)
+    marked = held.select("toxic", "text").mapInArrow(_mark(shared), "language int, z double, at bigint, toxic int")
+    cuts = thresholds(marked, share)
+    model.thresholds[:] = cuts[0]
+    for language, cut in cuts.items():
+        model.thresholds[language] = cut
     release()
     return model
 

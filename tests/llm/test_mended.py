@@ -127,3 +127,28 @@ def test_which_documents_go(spark):
     assert kept == every
     one = {r.id: r.class_id for r in order_minhash.classes(docs).collect()}
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()} == set(one.values())
+
+
+def test_every_labelled_text_is_learnt_from(spark):
+    ids = spark.range(7000).select(F.col("id").alias("doc_id"))
+    learnt = ids.where(toxicity.fold("doc_id") != 0).where("doc_id % 8 != 0")
+    # The last by hash of the id: a sample of 4,000 rows by that order has none of them.
+    last = {r.doc_id for r in learnt.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[-800:]}
+    held = {r.doc_id for r in ids.where(toxicity.fold("doc_id") == 0).collect()}
+    rows = []
+    for n in range(7000):
+        word = "menace" if n in last or n in held else "awful"
+        rows.append((n, f"the day was {word} for item{n % 50}" if n % 8 else f"the day was calm for item{n % 50}", int(n % 8 > 0)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    found = {r.doc_id: r.toxicity >= 0.5 for r in toxicity.score_texts(table, model).collect()}
+    wrong = [n for n in held if found[n] != (n % 8 > 0)]
+    assert len(wrong) <= len(held) // 100
+
+
+def test_threshold_of_all_rows(spark):
+    rows = [(1, z, int(z), y) for z, y in [(1.0, 0), (2.0, 0), (2.0, 1), (5.0, 1), (9.0, 1)]]
+    marked = spark.createDataFrame(rows, "language int, z double, at bigint, toxic int")
+    assert toxicity.thresholds(marked, 0.6) == {0: 3.5}
+    many = marked.crossJoin(spark.range(30)).drop("id")
+    assert toxicity.thresholds(many, 0.6) == {0: 3.5, 1: 3.5}
