@@ -10,7 +10,7 @@ from millrace.functions.ordered import running_sum
 from millrace.operators import ledger, policy
 from millrace.operators.paths import argument_paths
 from millrace.plans.common import nulled, query, sql_list, table
-from millrace.session import workspace
+from millrace.session import checkpointed, workspace
 from millrace.sources.jsonlines import append_jsonl, read_ledger
 from millrace.streaming import audit
 from millrace.streaming.tables import current_rows
@@ -373,14 +373,14 @@ def holds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = found.select(F.lit("call").alias("kind"), "*").unionByName(
         releases.select(F.lit("release").alias("kind"), "*"), allowMissingColumns=True
     )
-    span = events.agg(F.max("seq")).head()[0] + 1
+    events = checkpointed(events, "holds-events")
+    span, state = events.agg(F.max("seq")).head()[0] + 1, workspace(spark, "holds-cp")
     for part in range(3):
         low, high = span * part // 3, span * (part + 1) // 3
-        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode(
-            "append"
-        ).parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    audit.stream_holds(stream, out, workspace(spark, "holds-cp")).awaitTermination()
+        events.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(folder)
+        # All files that came are one batch, written and read by many tasks.
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        audit.stream_holds(stream, out, state).awaitTermination()
     return spark.read.parquet(f"{out}/calls").drop("batch_id")
 
 

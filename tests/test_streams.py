@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
+from millrace.plans import audit as plans_audit
 from millrace.session import workspace
 from millrace.streaming import audit, tables
 
@@ -47,3 +49,25 @@ def test_holds_remove_their_intermediates(spark):
     found = spark.read.parquet(f"{out}/calls").collect()
     assert len(found) == 4 and len({r.held_as for r in found}) == 1
     assert folders(f"{out}/work") == [] and folders(f"{out}/open") == ["2", "3"]
+
+
+def test_holds_are_staged_by_many_tasks(spark, monkeypatch):
+    folders = []
+
+    def noted(session, label):
+        folders.append(workspace(session, label))
+        return folders[-1]
+
+    monkeypatch.setattr(plans_audit, "workspace", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = plans_audit.holds_stream(spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # Three batches, each of several files.
+    assert len([n for n in os.listdir(folders[0]) if n.endswith(".parquet")]) > 3
+    assert folders_of_batches(folders[1]) == 3 and found.count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def folders_of_batches(path: str) -> int:
+    return len(folders(f"{path}/calls"))
