@@ -151,8 +151,6 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words not seen before: those of a space and letters in one text, others alone."""
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
         plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
         for start in range(0, len(plain), 1000):
             part = plain[start : start + 1000]
@@ -192,7 +190,12 @@ class WordEncoder:
             known.clear()
         new = {" " + p for parts in split for p in parts[1:] if p not in known}
         matched = {chunk: self.match(chunk) for chunk in new | heads}
-        missing = {w for found in matched.values() for w in found} - self.words.keys()
+        needed = {w for found in matched.values() for w in found}
+        missing = needed - self.words.keys()
+        if len(self.words) + len(missing) > self.most:
+            # Words of these texts that were known go too, so they are learnt again.
+            self.words.clear()
+            missing = needed
         if missing:
             self._learn(sorted(missing))
         words = self.words

@@ -303,3 +303,11 @@ def test_unwanted_payloads_are_not_inflated(tmp_path):
     assert list(reader.pushFilters([warc.EqualTo(("record_type",), "response")])) == []
     (batch,) = [b for part in reader.partitions() for b in reader.read(part)]
     assert batch.column("record_type").to_pylist() == ["response"] and len(batch.column("payload")[0].as_py()) == 500_000
+
+
+def test_words_known_before_a_full_table_is_cleared():
+    path, pattern = repair.vocabulary()
+    encoder = repair.WordEncoder(path, pattern, most=3)
+    for text in ("alpha beta", "alpha gamma delta epsilon", "beta alpha"):
+        found = np.frombuffer(encoder.encode([text])[0], np.uint32)
+        assert found.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
