@@ -320,7 +320,9 @@ def classes(
     common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(common)
     rare = crowd.mapInArrow(_rare_batches(k, threshold, shared), "key binary, h bigint, place bigint, runs bigint")
-    pairs = _meeting(checkpointed(rooted(rare, "h", "place", "runs"), "rare"), threshold)
+    rare = checkpointed(rooted(rare, "h", "place", "runs"), "rare")
+    shared.destroy()
+    pairs = _meeting(rare, threshold)
     new = judge(likely(pairs))
     links = links.unionByName(new)
     if links.isEmpty():

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.functions.ordered import next_row, running_sum
 from millrace.llm.registry import query, table
 from millrace.llm.words import blocks, mix, release, word_hashes
-from millrace.session import checkpointed, workspace
+from millrace.session import checkpointed, shuffles_removed, workspace
 
 WIDTHS = (1, 2, 3)
 
@@ -388,7 +388,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _total(partial: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Slots and sums of every part, added up by tasks; their size is that of the model."""
     out = {}
-    for r in partial.repartition("part").mapInArrow(_added, _SUMS).collect():
+    with shuffles_removed(partial.sparkSession):
+        added = partial.repartition("part").mapInArrow(_added, _SUMS).collect()
+    for r in added:
         slots = np.frombuffer(r.slots, np.int32)
         out[r.part] = slots, np.frombuffer(r.sums, np.int64).reshape(len(slots), -1)
     return out
@@ -545,7 +547,8 @@ def learn(
         (fold("__id") == 1).alias("calibrate"), "shard", "toxic", F.coalesce("text", F.lit("")).alias("text")
     )
     path = workspace(spark, "labelled")
-    known.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        known.write.option("compression", "zstd").parquet(path)
     known = spark.read.schema(known.schema).parquet(path)
     sizes = {(r.calibrate, r.toxic): r["count"] for r in known.groupBy("calibrate", "toxic").count().collect()}
     if not all((False, label) in sizes for label in (0, 1)):
@@ -562,11 +565,12 @@ def learn(
         shared = spark.sparkContext.broadcast((model, state))
         changes = _total(rows.mapInArrow(_round(shared, [seed, n], passes, batch), _SUMS))
         model, state = _merged(model, state, changes)
-        shared.unpersist()
+        shared.destroy()  # its file too
     held = known.where("calibrate") if all((True, label) in sizes for label in (0, 1)) else known.where("NOT calibrate")
     shared = spark.sparkContext.broadcast(model)
     marked = held.select("toxic", "text").mapInArrow(_mark(shared), "language int, z double, at bigint, toxic int")
     cuts = thresholds(marked, share)
+    shared.destroy()
     model.thresholds[:] = cuts[0]
     for language, cut in cuts.items():
         model.thresholds[language] = cut

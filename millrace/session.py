@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -47,13 +49,45 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{tempfile.mkdtemp(prefix='millrace-')}/{name}"
 
 
+#: Spark's switch for removing the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_WRITERS: dict[str, tuple[int, str | None]] = {}
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside remove their shuffle files when they end; the caller's setting comes back after the last.
+
+    Spark would keep them until the driver happens to collect its garbage.
+    """
+    name = spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        count, before = _WRITERS.get(name) or (0, spark.conf.get(CLEANUP, None))
+        _WRITERS[name] = count + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            count, before = _WRITERS.pop(name)
+            if count > 1:
+                _WRITERS[name] = count - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df, label: str, folder: str | None = None):
     """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
 
-    A caller that names a ``folder`` owns what is written below it, and removes it.
+    A caller that names a ``folder`` owns what is written below it, and removes it. What the
+    write has shuffled goes with it, so a chain of steps holds the shuffle files of one of them.
     """
     path = f"{folder}/{label}" if folder else workspace(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

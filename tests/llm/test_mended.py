@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import os
+import time
 
 import pytest
 from conftest import MIDDLE, SMALL
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import language_id, order_minhash, toxicity, warc
+from millrace.session import CLEANUP, checkpointed, shuffles_removed
 
 PAGE = "page_id bigint, url string, html string"
 
@@ -152,3 +155,42 @@ def test_threshold_of_all_rows(spark):
     assert toxicity.thresholds(marked, 0.6) == {0: 3.5}
     many = marked.crossJoin(spark.range(30)).drop("id")
     assert toxicity.thresholds(many, 0.6) == {0: 3.5, 1: 3.5}
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for f in manager.getAllFiles().mkString("\n").split("\n") if (name := f.rpartition("/")[2]).startswith("shuffle_")}
+
+    rows = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    old, before = shuffled(), spark.conf.get(CLEANUP)
+    made = checkpointed(rows.orderBy("n", "k"), "sums")
+    for _ in range(50):
+        if not shuffled() - old:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - old
+    assert spark.conf.get(CLEANUP) == before
+    assert made.agg(F.sum("n"), F.count("*")).first() == (5000, 100) and rows.count() == 100
+
+
+def test_cleanup_setting_survives_nested_and_failed_writes(spark):
+    before = spark.conf.get(CLEANUP)
+    with pytest.raises(ZeroDivisionError), shuffles_removed(spark), shuffles_removed(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(CLEANUP) == before
+
+
+def test_fits_leave_no_broadcast_files(spark, monkeypatch):
+    made = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    docs = spark.createDataFrame([(n, f"{'bad' if n % 2 else 'good'} words number {n}") for n in range(100)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    toxicity.learn(docs, labels, bits=8)
+    assert len(made) == 7 and not any(os.path.exists(b._path) for b in made)
+    made.clear()
+    assert order_minhash.classes(docs).count() == 100
+    assert len(made) == 1 and not os.path.exists(made[0]._path)
