@@ -9,7 +9,9 @@ any range of its ids, can be decoded alone.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,10 @@ SHARD_SCHEMA = (
     "doc_tokens array<int>, rules binary, lengths binary, symbols binary"
 )
 _BITS = 20
+#: The split of the library's byte-level tokenizers, and the characters that their models show bytes as.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNSHOWN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SHOWN = {b: chr(256 + n) for n, b in enumerate(_UNSHOWN)}
 
 
 def compress(
@@ -42,19 +48,22 @@ def compress(
     """
     seq, ends = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
-    count, bar, seed, mask = 0, None, 0, (1 << _BITS) - 1
-    rank_of = np.zeros(1 << _BITS, np.int32)
+    count, bar, seed = 0, None, 0
+    spare = 1 << _BITS  # slot of places that start no pair
+    speaks, rank_of = np.zeros(spare + 1, np.uint64), np.zeros(spare + 1, np.int32)
     while len(seq) > 1:
         seed += 1
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        factor = np.uint64((0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
-        slot = ((key * factor) >> np.uint64(64 - _BITS)).astype(np.int32)
+        key = seq[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seq[1:]
+        slot = key * np.uint64((0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
+        slot >>= np.uint64(64 - _BITS)
+        slot = slot.view(np.int64)
+        slot[ends[:-1]] = spare
         # One pair speaks for each hash slot; a pair it hides is met in a later round.
-        free = ~ends[:-1]
-        speaks = np.zeros(1 << _BITS, np.uint64)
-        speaks[slot[free]] = key[free]
-        own = free & (speaks[slot] == key)
-        found = np.bincount(slot[own], minlength=1 << _BITS)
+        speaks[slot] = key
+        slot[speaks.take(slot) != key] = spare
+        found = np.bincount(slot, minlength=spare + 1)[:spare]
         top = int(found.max(initial=0))
         if top < least:
             break
@@ -63,26 +72,27 @@ def compress(
         last = bar == least
         if len(chosen):
             chosen = chosen[np.argsort(-found[chosen], kind="stable")]
-            rank_of[:] = len(chosen)
-            rank_of[chosen] = np.arange(len(chosen), dtype=np.int32)
-            rank = np.where(own, rank_of[slot], len(chosen))
-            take = rank < len(chosen)
+            none = len(chosen)
+            rank_of.fill(none)
+            rank_of[chosen] = np.arange(none, dtype=np.int32)
+            rank = np.full(len(slot) + 2, none, np.int32)
+            rank[1:-1] = rank_of.take(slot)
+            at = np.flatnonzero(rank[1:-1] < none)
+            own = rank.take(at + 1)
             # Of overlapping pairs the more frequent is taken, of equal ones the first.
-            take[1:] &= rank[1:] < rank[:-1]
-            take[:-1] &= rank[:-1] <= rank[1:]
-            used = np.bincount(rank[take], minlength=len(chosen))[: len(chosen)]
-            worth = used >= 3
-            take[take] = worth[rank[take]]
+            first = (own < rank.take(at)) & (own <= rank.take(at + 2))
+            at, own = at[first], own[first]
+            worth = np.bincount(own, minlength=none) >= 3
+            stays = worth.take(own)
+            at, own = at[stays], own[stays]
             kept = np.flatnonzero(worth)
             if len(kept):
-                name = np.zeros(len(chosen), np.uint32)
+                name = np.zeros(none, np.uint32)
                 name[kept] = base + count + np.arange(len(kept))
                 pairs = speaks[chosen[kept]]
                 rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
                 count += len(kept)
-                at = np.flatnonzero(take)
-                seq = seq.copy()
-                seq[at] = name[rank[at]]
+                seq[at] = name[own]
                 stay = np.ones(len(seq), bool)
                 stay[at + 1] = False
                 ends[at] = ends[at + 1]
@@ -145,29 +155,29 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.size = self.tokenizer.get_vocab_size()
         self.match = regex.compile(pattern).findall
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        #: A match of this pattern is one word of the byte-level split, which the model alone encodes.
+        self.plain = (
+            pattern == _BYTE_LEVEL and not parts["normalizer"] and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True) and not split.get("add_prefix_space")
+        )
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.most = most
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not seen before: those of a space and letters in one text, others alone."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        for start in range(0, len(plain), 1000):
-            part = plain[start : start + 1000]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            places = np.array(found.offsets, np.int64).reshape(-1, 2)
-            # The library counts characters; a word starts where the one before it ends.
-            edges = np.cumsum([0] + [len(w) for w in part])
-            owner = np.searchsorted(edges, places[:, 0], "right") - 1
-            if (np.diff(owner) < 0).any() or len(np.unique(owner)) != len(part):
-                words = words + part
-                continue
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            for word, a, b in zip(part, cuts[:-1], cuts[1:]):
-                self.words[word] = ids[a:b].tobytes()
-        rest = [w for w in words if w not in self.words]
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+        """Encode words not seen before; each is a match of the pattern."""
+        if self.plain:
+            tokenize = self.tokenizer.model.tokenize
+            for word in words:
+                if word.isascii() and word.isprintable():
+                    shown = word.replace(" ", _SHOWN[32])
+                else:
+                    shown = word.encode().decode("latin-1").translate(_SHOWN)
+                self.words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            return
+        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
             self.words[word] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -188,8 +198,15 @@ class WordEncoder:
         known = self.chunks
         if len(known) > self.most:
             known.clear()
-        new = {" " + p for parts in split for p in parts[1:] if p not in known}
-        matched = {chunk: self.match(chunk) for chunk in new | heads}
+        seen: set[str] = set()
+        for parts in split:
+            seen.update(parts[1:])
+        new = {" " + p for p in seen - known.keys()}
+        # A space and letters are one match of the byte-level pattern.
+        matched = {
+            chunk: [chunk] if self.plain and chunk[1:].isascii() and chunk[1:].isalpha() and chunk[0] == " " else self.match(chunk)
+            for chunk in new | heads
+        }
         needed = {w for found in matched.values() for w in found}
         missing = needed - self.words.keys()
         if len(self.words) + len(missing) > self.most:

@@ -311,3 +311,16 @@ def test_words_known_before_a_full_table_is_cleared():
     for text in ("alpha beta", "alpha gamma delta epsilon", "beta alpha"):
         found = np.frombuffer(encoder.encode([text])[0], np.uint32)
         assert found.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_encoded_by_the_model_alone():
+    from types import SimpleNamespace
+
+    path, pattern = repair.vocabulary()
+    encoder = repair.WordEncoder(path, pattern)
+    texts = ["", " ", "a  b\n\n c ", "It's we'll 12 345x", "Èonai, naïve ᠎ 日本語 🙂\x00\x7f\xad", " lead  \t tail\r\n", "ﬁ ſ's é é"]
+    library = [np.array(e.ids, np.uint32).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.tokenizer = SimpleNamespace(model=encoder.tokenizer.model)
+    assert encoder.encode(texts) == library
+    other = repair.WordEncoder(path, pattern + "|$^")
+    assert not other.plain and other.encode(texts) == library
