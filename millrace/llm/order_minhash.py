@@ -225,8 +225,9 @@ def classes(
     three once in 30,000) and its lengths allow the threshold. Links join to classes.
 
     Texts that share a sketch first meet the most typical of them, which lies in the largest
-    buckets, then one text of each class so far meets one of the largest class of its bucket; so a large group of copies costs about one
-    alignment per text. What shares ``agree`` sketches with other classes after that meets them
+    buckets: each the most typical it knows, then those of other classes, while one text of each
+    class so far meets one of the largest class of its bucket; so a large group of copies costs
+    about one alignment per text. What shares ``agree`` sketches with other classes after that meets them
     by its rarest runs: two texts at the threshold must have one of these in common, early
     enough in both, so every likely pair that the links have not joined is aligned, linked
     texts included.
@@ -246,20 +247,22 @@ def classes(
         .mapInArrow(_sketch_batches(k, sketches, minima), "key binary, marks array<bigint>, runs bigint"),
         "sketches",
     )
-    marks = marked.groupBy("key").agg(F.first("marks").alias("marks"), F.first("runs").alias("runs"))
-    members = marked.select("key", F.explode("marks").alias("h")).distinct()
+    marks = checkpointed(marked.groupBy("key").agg(F.first("marks").alias("marks"), F.first("runs").alias("runs")), "marks")
+    members = marks.select("key", F.explode(F.array_distinct("marks")).alias("h"))
     sizes = members.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(members.join(sizes, "h"), "sized")
-    # A text in many large buckets is typical of its group: most of the group is near it.
-    typical = checkpointed(members.groupBy("key").agg(F.sum("n").alias("weight")), "typical")
-    members = checkpointed(members.join(typical, "key").select("h", "key", "weight"), "weighed")
+    # Whatever may pass shares at least so many sketches with others. A text in many large
+    # buckets is typical of its group: most of the group is near it.
+    wanted = checkpointed(
+        members.groupBy("key").agg(F.collect_list("h").alias("marks"), F.sum("n").alias("weight"))
+        .where(F.size("marks") >= agree), "wanted",
+    )
+    members = wanted.select("key", F.explode("marks").alias("h"), "weight")
     stars = members.groupBy("h").agg(F.max(F.struct("weight", "key")).alias("star"))
     members = members.select("h", "key").join(stars, "h").select("h", "key", F.col("star.key").alias("pivot"), F.col("star.weight").alias("weight"))
     members = checkpointed(members, "members")
-    # Whatever may pass shares at least so many sketches with others.
-    wanted = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
     texts = checkpointed(
-        worded.select("key", F.lower("text").alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts"
+        worded.select("key", F.lower("text").alias("text")).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "texts"
     )
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -282,7 +285,8 @@ def classes(
         return side.join(known, "key", "left").select(*columns, "key", F.coalesce("__root", "key").alias("root"))
 
     def joined(links: DataFrame) -> DataFrame:
-        found = components(links, "key", "pivot")
+        below = labels.where("key != root").select("key", F.col("root").alias("pivot"))
+        found = components(below.unionByName(links), "key", "pivot")
         return checkpointed(found.select(F.col("node").alias("key"), F.col("component").alias("root")), "labels")
 
     pairs = likely(members.where("key != pivot").select("key", "pivot", "weight").distinct())
@@ -300,17 +304,14 @@ def classes(
         pairs.join(labels, "key", "left").join(of_pivot, "pivot", "left")
         .where(F.coalesce("root", "key") != F.coalesce("root_pivot", "pivot")).select("key", "pivot")
     )
-    links = links.unionByName(judge(open_pairs))
-    labels = joined(links)
-    members = checkpointed(members.select("h", "key").join(wanted, "key", "left_semi"), "members")
+    members = members.select("h", "key")
     own = checkpointed(rooted(members, "h"), "own")
     of_root = own.groupBy("h", "root").agg(F.min("key").alias("key"))
-    firsts = of_root.join(_split(own), "h").where("root != top")
-    new = judge(likely(firsts.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()))
-    if not new.isEmpty():
-        links = links.unionByName(new)
-        labels = joined(links)
-        own = checkpointed(rooted(members, "h"), "own")
+    firsts = of_root.join(_split(own), "h").where("root != top").select("key", "pivot")
+    met = open_pairs.unionByName(firsts)
+    new = judge(likely(met.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()))
+    labels = joined(new)
+    own = checkpointed(rooted(members, "h"), "own")
     # A likely pair that is still apart shares so many buckets of several roots.
     apart = own.join(_split(own).select("h"), "h", "left_semi")
     apart = apart.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("key")
@@ -324,13 +325,9 @@ def classes(
     shared.destroy()
     pairs = _meeting(rare, threshold)
     new = judge(likely(pairs))
-    links = links.unionByName(new)
-    if links.isEmpty():
-        groups = spark.createDataFrame([], "node binary, component binary")
-    elif new.isEmpty():
-        groups = labels.select(F.col("key").alias("node"), F.col("root").alias("component"))
-    else:
-        groups = checkpointed(components(links, "key", "pivot"), "components")
+    if not new.isEmpty():
+        labels = joined(new)
+    groups = labels.select(F.col("key").alias("node"), F.col("root").alias("component"))
     # Narrow from here on: ids and keys only.
     narrow = rows.select("id", "key").join(
         groups.withColumnRenamed("node", "key"), "key", "left"
