@@ -17,12 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import _LONE, _SAFE
 from millrace.llm.registry import query, table
+from millrace.llm.words import blocks
 from millrace.session import workspace
 
 SHARD_SCHEMA = (
@@ -169,8 +171,11 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Encode words not seen before; each is a match of the pattern."""
         if self.plain:
-            tokenize = self.tokenizer.model.tokenize
+            tokenize, known = self.tokenizer.model.tokenize, self.chunks
             for word in words:
+                if word[0] == " " and word[1:] in known:
+                    self.words[word] = known[word[1:]]
+                    continue
                 if word.isascii() and word.isprintable():
                     shown = word.replace(" ", _SHOWN[32])
                 else:
@@ -193,35 +198,73 @@ class WordEncoder:
             for n, encoding in zip(marked, whole):
                 found[n] = np.array(encoding.ids, np.uint32).tobytes()
             return found
-        split = [_SAFE.split(t) if _LONE.search(t) else t.split(" ") for t in texts]
-        heads = {parts[0] for parts in split}
+        lone = [n for n, t in enumerate(texts) if _LONE.search(t)]
+        if not lone:
+            return self._of_parts(pc.split_pattern(pa.array(texts, pa.large_string()), " "))
+        safe = pa.array([_SAFE.split(texts[n]) for n in lone], pa.list_(pa.large_string()))
+        found = self.encode(["" if n in set(lone) else t for n, t in enumerate(texts)]) if len(lone) < len(texts) else [b""] * len(texts)
+        for n, ids in zip(lone, self._of_parts(safe)):
+            found[n] = ids
+        return found
+
+    def _of_parts(self, split: pa.ListArray) -> list[bytes]:
+        """Ids of texts cut at spaces; the space belongs to the part after it.
+
+        Equal parts of these texts are looked up once.
+        """
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        parts, heads = coded.indices.to_numpy().copy(), edges[:-1]
+        distinct = coded.dictionary.to_pylist()
+        first = [distinct[n] for n in parts[heads].tolist()]
+        parts[heads] = len(distinct) + np.arange(len(heads))
+        met = np.flatnonzero(np.bincount(parts, minlength=len(distinct))[: len(distinct)])
+        if len(met) < len(distinct):
+            distinct = [distinct[n] for n in met.tolist()]
+            place = np.zeros(len(coded.dictionary) + len(heads), np.int64)
+            place[met] = np.arange(len(met))
+            place[len(coded.dictionary) :] = len(met) + np.arange(len(heads))
+            parts = place[parts]
+        pieces = self._pieces(distinct, first)
+        ids = np.frombuffer(b"".join(pieces), np.uint32)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        long = sizes[parts]
+        ends = np.cumsum(long)
+        found = ids[np.repeat(starts[parts] - (ends - long), long) + np.arange(int(long.sum()))].tobytes()
+        cuts = (np.concatenate([[0], ends])[edges] * 4).tolist()
+        return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _pieces(self, parts: list[str], heads: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it, then of each head."""
         known = self.chunks
         if len(known) > self.most:
             known.clear()
-        seen: set[str] = set()
-        for parts in split:
-            seen.update(parts[1:])
-        new = {" " + p for p in seen - known.keys()}
-        # A space and letters are one match of the byte-level pattern.
-        matched = {
-            chunk: [chunk] if self.plain and chunk[1:].isascii() and chunk[1:].isalpha() and chunk[0] == " " else self.match(chunk)
-            for chunk in new | heads
-        }
-        needed = {w for found in matched.values() for w in found}
-        missing = needed - self.words.keys()
-        if len(self.words) + len(missing) > self.most:
+        new = [p for p in parts if p not in known]
+        rest = new
+        if self.plain:
+            # A space and letters are one match of the byte-level pattern.
+            tokenize, space = self.tokenizer.model.tokenize, _SHOWN[32]
+            rest = []
+            for part in new:
+                if part.isascii() and part.isalpha():
+                    known[part] = array("I", [t.id for t in tokenize(space + part)]).tobytes()
+                else:
+                    rest.append(part)
+        matched = [self.match(" " + p) for p in rest]
+        opened = [self.match(h) for h in heads]
+        words = self.words
+        needed = {w for found in (*matched, *opened) for w in found}
+        missing = needed - words.keys()
+        if len(words) + len(missing) > self.most:
             # Words of these texts that were known go too, so they are learnt again.
-            self.words.clear()
+            words.clear()
             missing = needed
         if missing:
             self._learn(sorted(missing))
-        words = self.words
-        for chunk in new:
-            known[chunk[1:]] = b"".join([words[w] for w in matched[chunk]])
-        return [
-            b"".join([words[w] for w in matched[parts[0]]]) + b"".join(map(known.__getitem__, parts[1:]))
-            for parts in split
-        ]
+        for part, found in zip(rest, matched):
+            known[part] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        return [*map(known.__getitem__, parts), *(b"".join([words[w] for w in found]) for found in opened)]
 
 
 @lru_cache(maxsize=2)
@@ -283,8 +326,8 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+            for start, stop, _, _ in blocks(batch.column(1)):
+                rows = batch.slice(start, stop - start)
                 for name, found in zip(
                     rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()])
                 ):

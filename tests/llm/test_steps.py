@@ -1,6 +1,8 @@
 """How many written steps an operator takes: each costs a task per shuffle partition, however few its rows are."""
 
-from millrace.llm import graph, order_minhash
+import numpy as np
+
+from millrace.llm import graph, order_minhash, repair
 
 
 def counted(monkeypatch):
@@ -37,3 +39,21 @@ def test_near_copies_take_few_steps(spark, monkeypatch):
     found = {r["id"]: r["class_id"] for r in order_minhash.classes(docs, threshold=0.7).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6, 8: 6, 9: 9}
     assert labels.count("links") <= 3  # rounds of alignment
+
+
+def test_equal_parts_of_texts_are_looked_up_once():
+    path, pattern = repair.vocabulary()
+    encoder = repair.WordEncoder(path, pattern)
+    asked = []
+
+    class Chunks(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.chunks = Chunks()
+    texts = ["alpha beta, beta, Straße", "", "beta, 7 beta, alpha", "a  beta,\n ", "alpha"]
+    library = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(found, np.uint32).tolist() for found in encoder.encode(texts)] == [e.ids for e in library]
+    assert asked.count("beta,") == 1
+    assert encoder.encode(["", ""]) == [b"", b""] and encoder.encode([]) == []
