@@ -215,7 +215,7 @@ class WordEncoder:
         edges = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         parts, heads = coded.indices.to_numpy().copy(), edges[:-1]
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = [distinct[n] for n in parts[heads].tolist()]
         parts[heads] = len(distinct) + np.arange(len(heads))
         met = np.flatnonzero(np.bincount(parts, minlength=len(distinct))[: len(distinct)])
@@ -326,7 +326,7 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for batch in batches:
-            for start, stop, _, _ in blocks(batch.column(1)):
+            for start, stop, _, _ in blocks(batch.column(1), 1 << 22):
                 rows = batch.slice(start, stop - start)
                 for name, found in zip(
                     rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()])
