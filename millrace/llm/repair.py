@@ -121,8 +121,7 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids that symbols stand for."""
+def _unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     out = symbols
     while True:
         big = out >= base
@@ -137,6 +136,24 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         out = grown
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """Ids that symbols stand for; where there are more symbols than rules, every rule unfolds once."""
+    if len(symbols) <= len(rules) or not len(rules):
+        return _unfold(symbols, rules, base)
+    table = _unfold(np.arange(base, base + len(rules), dtype=symbols.dtype), rules, base)
+    lengths = rule_lengths(rules, base)
+    big = symbols >= base
+    rule = symbols[big].astype(np.int64) - base
+    sizes = np.ones(len(symbols), np.int64)
+    sizes[big] = lengths[rule]
+    out = np.repeat(symbols, sizes)
+    own = lengths[rule]
+    # Where each id of a rule lies in the table of all rules.
+    place = np.repeat((np.cumsum(lengths) - lengths)[rule] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    out[np.repeat(big, sizes)] = table[place]
+    return out
+
+
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` (exclusive); only the symbols that cover them are expanded."""
     sizes = np.where(symbols >= base, lengths[np.maximum(symbols.astype(np.int64) - base, 0)] if len(lengths) else 1, 1)

@@ -57,3 +57,18 @@ def test_equal_parts_of_texts_are_looked_up_once():
     assert [np.frombuffer(found, np.uint32).tolist() for found in encoder.encode(texts)] == [e.ids for e in library]
     assert asked.count("beta,") == 1
     assert encoder.encode(["", ""]) == [b"", b""] and encoder.encode([]) == []
+
+
+def test_every_rule_unfolds_once(monkeypatch):
+    ids = np.tile(np.array([5, 6, 7, 5, 6, 9, 9, 9], np.uint32), 200)
+    ends = np.zeros(len(ids), bool)
+    ends[249::250] = True
+    ends[-1] = True
+    rules, symbols, _ = repair.compress(ids, ends, 10)
+    many = np.concatenate([symbols, np.full(2 * len(rules), 5, np.uint32)])
+    asked = []
+    monkeypatch.setattr(repair, "_unfold", lambda s, *a, f=repair._unfold: asked.append(len(s)) or f(s, *a))
+    assert len(rules) and (repair.expand(many, rules, 10) == np.concatenate([ids, np.full(2 * len(rules), 5)])).all()
+    assert asked == [len(rules)]
+    assert (repair.expand(symbols[:1], rules, 10) == ids[: len(repair.expand(symbols[:1], rules, 10))]).all()
+    assert repair.expand(symbols[:0], rules, 10).tolist() == [] and repair.expand(ids, rules[:0], 10).tolist() == ids.tolist()
