@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.pieces import _LONE, _SAFE
 from millrace.llm.registry import query, table
-from millrace.llm.words import blocks
+from millrace.llm.words import blocks, utf8
 from millrace.session import workspace
 
 SHARD_SCHEMA = (
@@ -35,7 +35,7 @@ _BITS = 20
 #: The split of the library's byte-level tokenizers, and the characters that their models show bytes as.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNSHOWN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-_SHOWN = {b: chr(256 + n) for n, b in enumerate(_UNSHOWN)}
+_SHOWN = [chr(256 + _UNSHOWN.index(b)) if b in _UNSHOWN else chr(b) for b in range(256)]
 
 
 def compress(
@@ -52,7 +52,7 @@ def compress(
     rules: list[np.ndarray] = []
     count, bar, seed = 0, None, 0
     spare = 1 << _BITS  # slot of places that start no pair
-    speaks, rank_of = np.zeros(spare + 1, np.uint64), np.zeros(spare + 1, np.int32)
+    speaks, rank_of = np.zeros(spare, np.uint64), np.zeros(spare, np.int32)
     while len(seq) > 1:
         seed += 1
         key = seq[:-1].astype(np.uint64)
@@ -62,11 +62,22 @@ def compress(
         slot >>= np.uint64(64 - _BITS)
         slot = slot.view(np.int64)
         slot[ends[:-1]] = spare
-        # One pair speaks for each hash slot; a pair it hides is met in a later round.
-        speaks[slot] = key
-        slot[speaks.take(slot) != key] = spare
-        found = np.bincount(slot, minlength=spare + 1)[:spare]
-        top = int(found.max(initial=0))
+        # Pairs that share a slot count together here: only where that reaches the bar are they told apart.
+        bound = np.bincount(slot, minlength=spare + 1)
+        bound[spare] = 0
+        floor = least if bar is None else max(least, bar // step)
+        while True:
+            near = np.flatnonzero((bound >= floor).take(slot))
+            own, pair = slot[near], key[near]
+            # One pair speaks for each hash slot; a pair it hides is met in a later round.
+            speaks[own] = pair
+            spoken = speaks.take(own) == pair
+            near, own = near[spoken], own[spoken]
+            found = np.bincount(own, minlength=spare)
+            top = int(found.max(initial=0))
+            if floor == least or top >= bar:
+                break
+            floor = least
         if top < least:
             break
         bar = max(least, top // step) if bar is None else max(least, min(bar, top) // step)
@@ -75,12 +86,11 @@ def compress(
         if len(chosen):
             chosen = chosen[np.argsort(-found[chosen], kind="stable")]
             none = len(chosen)
-            rank_of.fill(none)
             rank_of[chosen] = np.arange(none, dtype=np.int32)
+            takes = found.take(own) >= bar
+            at, own = near[takes], rank_of.take(own[takes])
             rank = np.full(len(slot) + 2, none, np.int32)
-            rank[1:-1] = rank_of.take(slot)
-            at = np.flatnonzero(rank[1:-1] < none)
-            own = rank.take(at + 1)
+            rank[at + 1] = own
             # Of overlapping pairs the more frequent is taken, of equal ones the first.
             first = (own < rank.take(at)) & (own <= rank.take(at + 2))
             at, own = at[first], own[first]
@@ -164,7 +174,10 @@ def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, ba
 
 
 class WordEncoder:
-    """Ids of texts by the ``tokenizers`` library, each distinct word encoded once per worker."""
+    """Ids of texts by the ``tokenizers`` library, each distinct word encoded once per worker.
+
+    Words and whole parts of texts have ``2 * most`` entries together, which start anew when full.
+    """
 
     def __init__(self, path: str, pattern: str, most: int = 500_000):
         import regex
@@ -188,16 +201,13 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Encode words not seen before; each is a match of the pattern."""
         if self.plain:
-            tokenize, known = self.tokenizer.model.tokenize, self.chunks
+            tokenize, learnt = self.tokenizer.model.tokenize, self.words
             for word in words:
-                if word[0] == " " and word[1:] in known:
-                    self.words[word] = known[word[1:]]
-                    continue
                 if word.isascii() and word.isprintable():
                     shown = word.replace(" ", _SHOWN[32])
                 else:
-                    shown = word.encode().decode("latin-1").translate(_SHOWN)
-                self.words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                    shown = "".join([_SHOWN[b] for b in word.encode()])
+                learnt[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
             return
         for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
             self.words[word] = np.array(found.ids, np.uint32).tobytes()
@@ -227,61 +237,135 @@ class WordEncoder:
     def _of_parts(self, split: pa.ListArray) -> list[bytes]:
         """Ids of texts cut at spaces; the space belongs to the part after it.
 
-        Equal parts of these texts are looked up once.
+        Parts that occur again in these texts are looked up once and kept, the others go by their words.
         """
         edges = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        parts, heads = coded.indices.to_numpy().copy(), edges[:-1]
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        first = [distinct[n] for n in parts[heads].tolist()]
-        parts[heads] = len(distinct) + np.arange(len(heads))
-        met = np.flatnonzero(np.bincount(parts, minlength=len(distinct))[: len(distinct)])
-        if len(met) < len(distinct):
-            distinct = [distinct[n] for n in met.tolist()]
-            place = np.zeros(len(coded.dictionary) + len(heads), np.int64)
-            place[met] = np.arange(len(met))
-            place[len(coded.dictionary) :] = len(met) + np.arange(len(heads))
-            parts = place[parts]
-        pieces = self._pieces(distinct, first)
-        ids = np.frombuffer(b"".join(pieces), np.uint32)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts = np.cumsum(sizes) - sizes
-        long = sizes[parts]
-        ends = np.cumsum(long)
-        found = ids[np.repeat(starts[parts] - (ends - long), long) + np.arange(int(long.sum()))].tobytes()
-        cuts = (np.concatenate([[0], ends])[edges] * 4).tolist()
-        return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-    def _pieces(self, parts: list[str], heads: list[str]) -> list[bytes]:
-        """Ids of each part with a space before it, then of each head."""
+        whole, heads = coded.dictionary, edges[:-1]
+        first = whole.take(coded.indices.take(pa.array(heads)))
+        parts = coded.indices.to_numpy().copy()
+        parts[heads] = len(whole) + np.arange(len(heads))
+        met = np.bincount(parts, minlength=len(whole))[: len(whole)]
+        often, once = np.flatnonzero(met > 1), np.flatnonzero(met == 1)
+        place = np.zeros(len(whole) + len(heads), np.int64)
+        place[np.concatenate([often, once, len(whole) + np.arange(len(heads))])] = np.arange(len(often) + len(once) + len(heads))
+        kept, sizes = _joined(self._kept(_listed(whole.take(pa.array(often)))))
+        rest, more = self._of_pieces(pa.concat_arrays([_spaced(whole.take(pa.array(once))), first]))
+        ids, ends = _gathered(np.concatenate([kept, rest]), np.concatenate([sizes, more]), place[parts])
+        return _cut(ids, np.concatenate([[0], ends])[edges])
+
+    def _kept(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it."""
         known = self.chunks
         if len(known) > self.most:
             known.clear()
         new = [p for p in parts if p not in known]
-        rest = new
-        if self.plain:
-            # A space and letters are one match of the byte-level pattern.
-            tokenize, space = self.tokenizer.model.tokenize, _SHOWN[32]
-            rest = []
-            for part in new:
-                if part.isascii() and part.isalpha():
-                    known[part] = array("I", [t.id for t in tokenize(space + part)]).tobytes()
-                else:
-                    rest.append(part)
-        matched = [self.match(" " + p) for p in rest]
-        opened = [self.match(h) for h in heads]
-        words = self.words
-        needed = {w for found in (*matched, *opened) for w in found}
-        missing = needed - words.keys()
-        if len(words) + len(missing) > self.most:
+        ids, sizes = self._of_pieces(_spaced(pa.array(new, pa.large_string())))
+        known.update(zip(new, _cut(ids, np.concatenate([[0], np.cumsum(sizes)]))))
+        return [*map(known.__getitem__, parts)]
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has; equal words of them are looked up once."""
+        words, edges = self._split(pieces)
+        coded = words.dictionary_encode()
+        ids, ends = _gathered(*_joined(self._words(_listed(coded.dictionary))), coded.indices.to_numpy())
+        return ids, np.diff(np.concatenate([[0], ends])[edges])
+
+    def _split(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of all pieces, and the number of the first word of every piece (and the end)."""
+        if not self.plain:
+            found = [self.match(p) for p in pieces.to_pylist()]
+            return pa.array([w for f in found for w in f], pa.large_string()), np.cumsum([0, *map(len, found)])
+        data, offsets = utf8(pieces)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.flatnonzero(data & 0xC0 != 0x80) if len(points) < len(data) else None
+        opens = offsets if chars is None else np.searchsorted(chars, offsets)
+        starts = word_starts(points, opens)
+        places = np.append(starts if chars is None else chars[starts], len(data))
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data))
+        return words, np.searchsorted(starts, opens)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known = self.words
+        missing = [w for w in words if w not in known]
+        if len(known) + len(missing) > 2 * self.most - min(self.most, len(self.chunks)):
             # Words of these texts that were known go too, so they are learnt again.
-            words.clear()
-            missing = needed
+            known.clear()
+            missing = words
         if missing:
-            self._learn(sorted(missing))
-        for part, found in zip(rest, matched):
-            known[part] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
-        return [*map(known.__getitem__, parts), *(b"".join([words[w] for w in found]) for found in opened)]
+            self._learn(missing)
+        return [*map(known.__getitem__, words)]
+
+
+def _listed(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Texts with a space before each."""
+    return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+
+
+def _joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces and how many each has."""
+    return np.frombuffer(b"".join(pieces), np.uint32), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces that ``parts`` numbers, one after another, and where each ends."""
+    starts = np.cumsum(sizes) - sizes
+    long = sizes[parts]
+    ends = np.cumsum(long)
+    return ids[np.repeat(starts[parts] - (ends - long), long) + np.arange(int(long.sum()))], ends
+
+
+def _cut(ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Bytes of the ids between one edge and the next."""
+    data, cuts = ids.tobytes(), (edges * 4).tolist()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Whether each code point is other (0), a letter (1), a number (2) or white space (3) to the byte-level split."""
+    import regex
+
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+    text, kinds = points.tobytes().decode("utf-32-le"), np.zeros(len(points), np.uint8)
+    for kind, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for found in regex.finditer(pattern, text):
+            kinds[found.start() : found.end()] = kind
+    return np.insert(kinds, 0xD800, np.zeros(0x800, np.uint8))
+
+
+def word_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the matches of the byte-level split start in texts of code points that begin at ``offsets``."""
+    kinds = _kinds()[points]
+    opens = np.zeros(len(points) + 3, bool)  # texts
+    opens[offsets] = True
+    starts = opens[: len(points)].copy()
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    # The last of white space before something else is a match of its own; a space goes with what follows.
+    white = kinds == 3
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~opens[1 : len(points)])
+    starts[last] = True
+    starts[last[points[last] == 32] + 1] = False
+    # An apostrophe that starts a match takes one of some endings.
+    at = np.flatnonzero(points == 39)
+    at = at[starts[at] & ~opens[at + 1] & (at + 1 < len(points))]
+    if len(at):
+        one, two = points[at + 1], np.append(points, 0)[at + 2]
+        double = np.zeros(len(at), bool)
+        for a, b in ("re", "ve", "ll"):
+            double |= (one == ord(a)) & (two == ord(b)) & ~opens[at + 2]
+        takes = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(double, 3, 0))
+        at, takes = at[takes > 0], takes[takes > 0]
+        starts[at + 1] = False
+        after = at + takes
+        starts[after[after < len(points)]] = True
+    return np.flatnonzero(starts)
 
 
 @lru_cache(maxsize=2)
@@ -343,7 +427,7 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for batch in batches:
-            for start, stop, _, _ in blocks(batch.column(1), 1 << 22):
+            for start, stop, _, _ in blocks(batch.column(1), 1 << 23):
                 rows = batch.slice(start, stop - start)
                 for name, found in zip(
                     rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()])

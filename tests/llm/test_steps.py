@@ -1,6 +1,9 @@
 """How many written steps an operator takes: each costs a task per shuffle partition, however few its rows are."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import graph, order_minhash, repair
 
@@ -72,3 +75,44 @@ def test_every_rule_unfolds_once(monkeypatch):
     assert asked == [len(rules)]
     assert (repair.expand(symbols[:1], rules, 10) == ids[: len(repair.expand(symbols[:1], rules, 10))]).all()
     assert repair.expand(symbols[:0], rules, 10).tolist() == [] and repair.expand(ids, rules[:0], 10).tolist() == ids.tolist()
+
+
+def test_a_word_goes_to_the_model_once_whatever_stands_beside_it():
+    path, pattern = repair.vocabulary()
+    encoder = repair.WordEncoder(path, pattern)
+    texts = ["a stone stone, stone. pebble\npebble", "Straße, Straße. stone; 'stone' it's Straße", "boulder  \n boulder"]
+    library = [np.array(e.ids, np.uint32).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    asked = []
+
+    def tokenize(word, f=encoder.tokenizer.model.tokenize):
+        asked.append(word)
+        return f(word)
+
+    encoder.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize))
+    assert encoder.encode(texts) == library
+    assert asked.count("Ġstone") == 1 and len(asked) == len(set(asked))
+    assert "stone," not in encoder.chunks  # met once
+
+
+def test_words_of_the_split():
+    path, pattern = repair.vocabulary()
+    encoder = repair.WordEncoder(path, pattern)
+    pieces = ["", "it's we'll 'tis ''s 's's x'reel 'R", " '  's\n's '", "a \n\t b  ", "　日本 ²Ⅳ1é🙂​\x85\xa0x᠎", "'", "l'l", "'v"]
+    alphabet = " \n's　tmdrevlL1²,é日🙂"
+    rng = np.random.default_rng(1)
+    pieces += ["".join(alphabet[n] for n in rng.integers(0, len(alphabet), size)) for size in range(60)]
+    words, edges = encoder._split(pa.array(pieces, pa.large_string()))
+    assert [words[a : b].to_pylist() for a, b in zip(edges[:-1], edges[1:])] == [encoder.match(p) for p in pieces]
+
+
+def test_pairs_are_told_apart_near_the_bar_only(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([np.tile([1, 2, 3, 4], 5000), rng.integers(10, 40_000, 60_000)]).astype(np.uint32)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    counted = []
+    monkeypatch.setattr(repair.np, "bincount", lambda x, f=np.bincount, **kw: counted.append(len(x)) or f(x, **kw))
+    rules, symbols, _ = repair.compress(ids, ends, 50_000)
+    monkeypatch.undo()
+    assert (repair.expand(symbols, rules, 50_000) == ids).all() and {(1, 2), (3, 4)} & set(map(tuple, rules.tolist()))
+    assert sorted(counted)[0] < 1000 and sum(n >= 60_000 for n in counted) < len(counted) / 2
