@@ -51,29 +51,21 @@ def compress(
     seq, ends = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
     count, bar, seed = 0, None, 0
-    spare = 1 << _BITS  # slot of places that start no pair
-    speaks, rank_of = np.zeros(spare, np.uint64), np.zeros(spare, np.int32)
+    rank_of = np.zeros(1 << _BITS, np.int32)
     while len(seq) > 1:
         seed += 1
         key = seq[:-1].astype(np.uint64)
         key <<= np.uint64(32)
         key |= seq[1:]
-        slot = key * np.uint64((0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
-        slot >>= np.uint64(64 - _BITS)
-        slot = slot.view(np.int64)
-        slot[ends[:-1]] = spare
-        # Pairs that share a slot count together here: only where that reaches the bar are they told apart.
-        bound = np.bincount(slot, minlength=spare + 1)
-        bound[spare] = 0
+        starts = ~ends[:-1]
+        ordered = np.sort(key[starts])
         floor = least if bar is None else max(least, bar // step)
         while True:
-            near = np.flatnonzero((bound >= floor).take(slot))
-            own, pair = slot[near], key[near]
-            # One pair speaks for each hash slot; a pair it hides is met in a later round.
-            speaks[own] = pair
-            spoken = speaks.take(own) == pair
-            near, own = near[spoken], own[spoken]
-            found = np.bincount(own, minlength=spare)
+            # A pair of ``floor`` places or more equals the one so many places further on.
+            pairs = ordered[floor - 1 :]
+            pairs = pairs[pairs == ordered[: len(pairs)]]
+            runs = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+            found = np.diff(runs, append=len(pairs)) + floor - 1
             top = int(found.max(initial=0))
             if floor == least or top >= bar:
                 break
@@ -86,9 +78,21 @@ def compress(
         if len(chosen):
             chosen = chosen[np.argsort(-found[chosen], kind="stable")]
             none = len(chosen)
-            rank_of[chosen] = np.arange(none, dtype=np.int32)
-            takes = found.take(own) >= bar
-            at, own = near[takes], rank_of.take(own[takes])
+            pairs = pairs[runs[chosen]]
+            # Places are found by hash; of pairs that share a slot the more frequent is met now, the others in a later round.
+            odd = np.uint64((0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
+            shift = np.uint64(64 - _BITS)
+            slots = ((pairs * odd) >> shift).view(np.int64)
+            rank_of[slots[::-1]] = np.arange(none - 1, -1, -1, dtype=np.int32)
+            taken = np.zeros(1 << _BITS, bool)
+            taken[slots] = True
+            slot = key * odd
+            slot >>= shift
+            slot = slot.view(np.int64)
+            near = np.flatnonzero(taken.take(slot) & starts)
+            own = rank_of.take(slot.take(near))
+            met = np.flatnonzero(pairs.take(own) == key.take(near))
+            at, own = near.take(met), own.take(met)
             rank = np.full(len(slot) + 2, none, np.int32)
             rank[at + 1] = own
             # Of overlapping pairs the more frequent is taken, of equal ones the first.
@@ -101,7 +105,7 @@ def compress(
             if len(kept):
                 name = np.zeros(none, np.uint32)
                 name[kept] = base + count + np.arange(len(kept))
-                pairs = speaks[chosen[kept]]
+                pairs = pairs[kept]
                 rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
                 count += len(kept)
                 seq[at] = name[own]
