@@ -18,6 +18,7 @@ FORMATS = {
 ACCEPTED = "CSV, TSV, JSON, JSONL, Parquet"
 
 HASH_RANGE = 1 << 32
+MAX_PARTS = (1 << 31) - 1  # an array's length is a 32-bit number
 
 
 def once(value: Column, function) -> Column:
@@ -32,7 +33,8 @@ def not_blank(text: Column) -> Column:
 
 def words(text: Column, max_length: int) -> Column:
     """Lower-case words split at white space, cut to ``max_length`` words."""
-    parts = F.split(F.lower(text), r"(?U)\s+")
+    # One part more for an empty one before leading white space, and one for all that is cut off.
+    parts = F.split(F.lower(text), r"(?U)\s+", min(max_length + 2, MAX_PARTS))
     return F.slice(F.filter(parts, lambda w: w != ""), 1, max_length)
 
 

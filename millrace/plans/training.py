@@ -437,7 +437,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text"), 256).alias("w"))
     return found.select(
         "doc_id", F.size("w").cast("bigint").alias("n_words"),
-        F.get("w", F.lit(0)).alias("first_word"), F.element_at("w", -1).alias("last_word"),
+        F.get("w", F.lit(0)).alias("first_word"), F.get("w", F.size("w") - 1).alias("last_word"),
     )
 
 
