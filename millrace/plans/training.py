@@ -229,8 +229,7 @@ def _metrics(spark: SparkSession, trained: train.Trained) -> DataFrame:
 def _train(name: str, source: str, task: str, label: str, key: str, **hp):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, source)
-        settings = {"label_column": label, "n_estimators": 10, "max_depth": 5, **hp}
-        return _metrics(spark, train.train_tabular(rows, task, settings, key))
+        return _metrics(spark, train.train_tabular(rows, task, {"label_column": label, **hp}, key))
 
     query(name)(run)
 
@@ -258,12 +257,13 @@ def train_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "train_rows bigint, test_rows bigint, kept bigint")
 
 
-_train("e_rf_cls", "customer", CLASSIFY, "c_mktsegment", "c_custkey", algorithm="random_forest")
+_train("e_rf_cls", "customer", CLASSIFY, "c_mktsegment", "c_custkey",
+       algorithm="random_forest", n_estimators=10, max_depth=5)
 _train("e_rf_reg", "part", REGRESS, "p_retailprice", "p_partkey", algorithm="random_forest")
 _train("e_gbt_cls", "orders", CLASSIFY, "o_orderstatus", "o_orderkey",
        algorithm="gradient_boosting", n_estimators=3, max_depth=3)
 _train("e_gbt_reg", "part", REGRESS, "p_retailprice", "p_partkey",
-       algorithm="gradient_boosting", max_depth=3)
+       algorithm="gradient_boosting", n_estimators=10, max_depth=3)
 _train("e_logreg", "customer", CLASSIFY, "c_mktsegment", "c_custkey",
        algorithm="logistic_regression")
 
