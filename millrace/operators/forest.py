@@ -33,7 +33,7 @@ ROWS = 1 << 20
 #: Cells of the sums of large nodes a job adds up at once.
 MAX_CELLS = 1 << 22
 #: Bytes of rows that trees grown or met at once move between tasks.
-MOVED = 512 << 20
+MOVED = 2 << 30
 
 _BLOCK = "block long, labels binary, counts binary, entries binary"
 _TREE = "tree int, node int, feature binary, cut binary, left binary, value binary"
@@ -351,7 +351,7 @@ class _Grower:
             left = None if depth is None else depth - shared.value[1][tree - trees.start][node]
             return pa.Table.from_batches([_batch([[tree], [node], *([p] for p in _packed(grown(y, w, counts, entries, bins, left)))], _TREE)])
 
-        tasks = min(max(len(trees), sum(len(u.feature) for u in upper)), 4 * self.context.defaultParallelism)
+        tasks = _tasks(sum(len(u.feature) for u in upper), self.context)
         lower = self.blocks.mapInArrow(dealt, _LOWER).repartition(tasks, "tree", "node")
         rows = lower.groupBy("tree", "node").applyInArrow(made, _TREE)
         if ended:
@@ -362,6 +362,11 @@ class _Grower:
         return upper
 
 
+def _tasks(groups: int, context) -> int:
+    """More tasks than groups, so that few of them get two, as far as the cluster's cores go."""
+    return min(2 * groups, 16 * context.defaultParallelism)
+
+
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = a + b
     out[-2], out[-1] = min(a[-2], b[-2]), max(a[-1], b[-1])
@@ -531,7 +536,7 @@ def _met(blocks: DataFrame, lower: DataFrame, upper: list[Nodes], trees: range,
         return pa.Table.from_batches([_batch([[key[0].as_py()], [ids.tobytes()], [values.tobytes()]], _SUMS)])
 
     keys = ["tree", "node", "part"]
-    tasks = min(len(trees) * parts, 4 * context.defaultParallelism)
+    tasks = _tasks(sum(len(u.feature) for u in upper) * parts, context)
     left = blocks.mapInArrow(dealt, _ROWS).repartition(tasks, *keys)
     right = lower.where(F.col("tree").between(trees.start, trees.stop - 1))
     right = right.withColumn("part", F.explode(F.array([F.lit(n) for n in range(parts)]))).repartition(tasks, *keys)
