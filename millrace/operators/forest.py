@@ -23,7 +23,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.boosting import _PART, _Shared, bin_edges, binned
+from millrace.operators.boosting import _PART, _Shared, binned
 from millrace.session import checkpointed, remove, workspace
 
 BINS = 255
@@ -32,6 +32,8 @@ LOCAL = 1 << 22
 ROWS = 1 << 20
 #: Cells of the sums of large nodes a job adds up at once.
 MAX_CELLS = 1 << 22
+#: Columns whose quantiles a job finds at once.
+SKETCHES = 8
 #: Bytes of rows that trees grown or met at once move between tasks.
 MOVED = 2 << 30
 
@@ -414,16 +416,24 @@ class ForestRegressor(Estimator, _Shared):
 
 
 def _edges(vectors: DataFrame, size: int) -> list[list[float]]:
-    """Quantiles of each feature, and its lowest value, which has a bin of its own however few rows have it."""
-    found = bin_edges(vectors, "x", size, BINS)
-    for begin in range(0, size, _PART):
-        some = range(begin, min(begin + _PART, size))
-        ends = [f(F.col("x")[j]).alias(f"{n}{j}") for j in some for n, f in (("low", F.min), ("top", F.max))]
-        row = vectors.agg(*ends).first()
-        for j in some:
-            low = row[f"low{j}"]
-            found[j] = sorted({low, *found[j]}) if low < row[f"top{j}"] else []
-    return found
+    """Quantiles of each feature, and its lowest value, which has a bin of its own however few rows have it.
+
+    Features of two values need no quantiles, whose sketches take memory.
+    """
+    x = [F.col("x")[j] for j in range(size)]
+
+    def found(features: list[int], most: int, value) -> dict[int, object]:
+        rows = [vectors.agg(*[value(j).alias(str(j)) for j in features[n : n + most]]).first() for n in range(0, len(features), most)]
+        return {int(name): v for row in rows for name, v in row.asDict().items()}
+
+    ends = found([*range(size)], _PART, lambda j: F.struct(F.min(x[j]).alias("low"), F.max(x[j]).alias("top")))
+    inner = found([*range(size)], _PART, lambda j: F.max((x[j] > ends[j].low) & (x[j] < ends[j].top)))
+    shares = F.lit([n / BINS for n in range(1, BINS)])
+    cuts = found([j for j in inner if inner[j]], SKETCHES, lambda j: F.percentile_approx(x[j], shares, F.lit(20 * BINS)))
+    return [
+        sorted({e.low, *(v for v in cuts.get(j, ()) if v < e.top)}) if e.low < e.top else []
+        for j, e in sorted(ends.items())
+    ]
 
 
 class _Writer(DefaultParamsWriter):
